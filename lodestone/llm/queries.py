@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, sentencepiece_codec, topk_search
+from . import fingerprints, language_id, license_scan, packing, sentencepiece_codec, topk_search
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ QUALIFY rank <= 10
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language_id.fit(docs.where(crc_of_id(4) != 2).select("text", "lang"))
@@ -51,6 +59,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_topk_search": op1_topk_search,
+    "op2_license_scan": op2_license_scan,
+    "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_packing": op10_packing,
