@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +103,104 @@ def word_bounds(data: np.ndarray, is_space: np.ndarray) -> tuple[np.ndarray, np.
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+BLOCK = 1 << 20
+
+
+def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word (a run of other than ASCII white space, A-Z in lower case) of all texts, one after the other, and the number of words of each text. Work is done in blocks of about BLOCK bytes, however long a text is."""
+    hashes: list[np.ndarray] = []
+    counts = np.zeros(len(docs), np.int64)
+    block: list[bytes] = []
+    first, held = 0, 0
+
+    def flush(last: int) -> None:
+        nonlocal block, first, held
+        if block:
+            data = np.frombuffer(b" ".join(block), np.uint8)
+            start, end = word_bounds(data, SPACE)
+            ends = np.cumsum([len(b) + 1 for b in block])
+            counts[first:last] += np.diff(np.searchsorted(start, ends), prepend=0)
+            hashes.append(range_hashes(data, start, end))
+        block, first, held = [], last, 0
+
+    for i, doc in enumerate(docs):
+        raw = doc.encode("utf-8", "replace").lower()
+        if len(raw) <= BLOCK:
+            block.append(raw)
+            held += len(raw)
+            if held >= BLOCK:
+                flush(i + 1)
+            continue
+        flush(i)
+        for part in _cut_at_spaces(raw):
+            data = np.frombuffer(part, np.uint8)
+            own = range_hashes(data, *word_bounds(data, SPACE))
+            counts[i] += len(own)
+            hashes.append(own)
+        first = i + 1
+    flush(len(docs))
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+
+
+def _cut_at_spaces(raw: bytes) -> list[bytes]:
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(at + BLOCK, len(raw))
+        while end < len(raw) and not SPACE[raw[end]]:
+            end += 1
+        parts.append(raw[at:end])
+        at = end
+    return parts
+
+
+def shingle_sets(docs: list[str], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: of `width` words, or of all its words if it has fewer, or none."""
+    words, counts = word_hashes(docs)
+    ends = np.cumsum(counts)
+    n = len(words)
+    shingles = np.zeros(n, np.uint64)
+    factor = np.uint64(0xD6E8FEB86659FD93)
+    for k in range(width):
+        shingles[: n - k] = shingles[: n - k] * factor + words[k:] if k else words
+    shingles = mix(shingles)
+    out = []
+    for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
+        if count >= width:
+            out.append(np.unique(shingles[end - count : end - width + 1]))
+        elif count:
+            own = np.uint64(count)
+            with np.errstate(over="ignore"):
+                for w in words[end - count : end]:
+                    own = own * factor + w
+            out.append(mix(np.array([own ^ np.uint64(0x5851F42D4C957F2D)])))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `most` bytes of that column at most, a longer row by itself."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def distinct_words(docs: pa.Array, separator: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What stands between separators in all texts: the distinct words, each place's number among them, and the number of places of each text."""
+    cut = pc.split_pattern(docs, separator)
+    words = cut.flatten().dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spread(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a text of words becomes if word w is the lengths[w] numbers of flat after those of the words before it: all texts' numbers, and how many each text has."""
+    start = np.cumsum(lengths) - lengths
+    each = lengths[codes]
+    ends = np.cumsum(each)
+    at = np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+    upto = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(counts)]
+    return flat[at], np.diff(upto, prepend=0)
