@@ -107,13 +107,18 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BLOCK = 1 << 20
 
 
-def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (a run of other than ASCII white space, A-Z in lower case) of all texts, one after the other, and the number of words of each text. Work is done in blocks of about BLOCK bytes, however long a text is."""
+def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word (a run of other than ASCII white space, A-Z in lower case) of all texts, one after the other, its last two bytes as a number, and the number of words of each text. Work is done in blocks of about BLOCK bytes, however long a text is."""
     hashes: list[np.ndarray] = []
+    endings: list[np.ndarray] = []
     counts = np.zeros(len(docs), np.int64)
     block: list[bytes] = []
     first, held = 0, 0
 
+    def add(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        hashes.append(range_hashes(data, start, end))
+        endings.append(data[end - 1].astype(np.int64) | (data[np.maximum(end - 2, start)].astype(np.int64) << 8))
+
     def flush(last: int) -> None:
         nonlocal block, first, held
         if block:
@@ -121,7 +126,7 @@ def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
             start, end = word_bounds(data, SPACE)
             ends = np.cumsum([len(b) + 1 for b in block])
             counts[first:last] += np.diff(np.searchsorted(start, ends), prepend=0)
-            hashes.append(range_hashes(data, start, end))
+            add(data, start, end)
         block, first, held = [], last, 0
 
     for i, doc in enumerate(docs):
@@ -135,12 +140,14 @@ def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flush(i)
         for part in _cut_at_spaces(raw):
             data = np.frombuffer(part, np.uint8)
-            own = range_hashes(data, *word_bounds(data, SPACE))
-            counts[i] += len(own)
-            hashes.append(own)
+            start, end = word_bounds(data, SPACE)
+            counts[i] += len(start)
+            add(data, start, end)
         first = i + 1
     flush(len(docs))
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
+    return np.concatenate(hashes), np.concatenate(endings), counts
 
 
 def _cut_at_spaces(raw: bytes) -> list[bytes]:
@@ -156,7 +163,7 @@ def _cut_at_spaces(raw: bytes) -> list[bytes]:
 
 def shingle_sets(docs: list[str], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of `width` words, or of all its words if it has fewer, or none."""
-    words, counts = word_hashes(docs)
+    words, _, counts = word_hashes(docs)
     ends = np.cumsum(counts)
     n = len(words)
     shingles = np.zeros(n, np.uint64)
