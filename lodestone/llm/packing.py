@@ -8,6 +8,7 @@ so a sequence never waits for another task; what a group leaves underfull at its
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -15,52 +16,41 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialise, texts
+from .common import distinct_words, materialise, slices, spread, texts
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids as the tokenizer gives them, word by word: no match of its pattern crosses a blank or a line end, so the words between them (which repeat) are encoded once a worker. cache_chars bounds the memory."""
+    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, so what stands between them is encoded once for all texts of a batch."""
 
-    def __init__(self, path: str, cache_chars: int = 6_000_000) -> None:
+    def __init__(self, path: str) -> None:
         self.lib = Tokenizer.from_file(path)
-        self.cache_chars, self.cached = cache_chars, 0
-        self.cache: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def encode(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's."""
+        words, codes, counts = distinct_words(pc.replace_substring(docs, "\n", " "), " ")
+        flat, lengths = [], []
         for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, docs: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in docs]
-        found = [list(map(self.cache.get, words)) for words in cut]
-        new = {w for words, own in zip(cut, found, strict=True) if None in own for w, f in zip(words, own, strict=True) if f is None}
-        if new:
-            if (more := sum(map(len, new))) + self.cached > self.cache_chars:
-                self.cache, self.cached = {}, 0
-                new = set(chain.from_iterable(cut))
-                more = sum(map(len, new))
-            self.cached += more
-            self.learn(list(new))
-        for words, own in zip(cut, found, strict=True):
-            yield b"".join(map(self.cache.__getitem__, words) if None in own else own)
+            ids = [e.ids for e in self.lib.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            lengths += map(len, ids)
+            flat.append(np.fromiter(chain.from_iterable(ids), "<u4"))
+        return spread(np.concatenate(flat) if flat else np.zeros(0, "<u4"), np.array(lengths, np.int64), codes, counts)
 
 
 _WORDS: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One a worker process, so that words stay known from task to task."""
+    """One a worker process, since loading takes a second."""
     if path not in _WORDS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         _WORDS[path] = WordTokens(path)
     return _WORDS[path]
 
@@ -74,12 +64,14 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b, rows = whole.slice(at, 2000), []
-                for doc, copy, ids in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), own.encode(b.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for k, i in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[i : i + 4 * size]
+            for b in slices(whole):
+                ids, counts = own.encode(b.column("text"))
+                rows, at = [], 0
+                for doc, copy, n in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), counts.tolist(), strict=True):
+                    own_ids = ids[at : at + n].tobytes() + end
+                    at += n
+                    for k, i in enumerate(range(0, len(own_ids), 4 * size)):
+                        part = own_ids[i : i + 4 * size]
                         rows.append((doc, copy, k, i // 4, len(part) // 4, zlib.crc32(part)))
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
