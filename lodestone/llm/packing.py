@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
+from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -28,20 +29,31 @@ PLACED = PIECES + ", sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, so what stands between them is encoded once for all texts of a batch."""
+    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a worker."""
 
-    def __init__(self, path: str) -> None:
-        self.lib = Tokenizer.from_file(path)
+    def __init__(self, path: str, kept: int = 400_000) -> None:
+        self.lib, self.kept = Tokenizer.from_file(path), kept
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        new: dict[str, bytes] = {}
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                new[w] = packed(f"<{len(ids)}I", *ids)
+        return new
 
     def encode(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each text's."""
         words, codes, counts = distinct_words(pc.replace_substring(docs, "\n", " "), " ")
-        flat, lengths = [], []
-        for i in range(0, len(words), 20_000):
-            ids = [e.ids for e in self.lib.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-            lengths += map(len, ids)
-            flat.append(np.fromiter(chain.from_iterable(ids), "<u4"))
-        return spread(np.concatenate(flat) if flat else np.zeros(0, "<u4"), np.array(lengths, np.int64), codes, counts)
+        found = list(map(self.known.get, words))
+        new = self.learn([w for w, f in zip(words, found, strict=True) if f is None])
+        if len(self.known) < self.kept:
+            self.known.update(islice(new.items(), self.kept - len(self.known)))
+        found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return spread(np.frombuffer(b"".join(found), "<u4"), lengths, codes, counts)
 
 
 _WORDS: dict[str, WordTokens] = {}

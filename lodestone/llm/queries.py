@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, sentencepiece_codec, suffix_dedup, topk_search
+from . import fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits for each document: a twentieth of it from its end put in place of as much at a third, then as much taken out at two thirds."""
+    n = F.length("text").cast("long")
+    part = F.floor(n / 20)
+    end = F.expr("right(text, cast(floor(length(text) / 20) as int))")
+    edit = lambda at, upto, new: F.struct(at.alias("start"), upto.alias("end"), new.alias("text"))
+    edits = F.array(edit(F.floor(n / 3), F.floor(n / 3) + part, end), edit(F.floor(2 * n / 3), F.floor(2 * n / 3) + part, F.lit("")))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return token_counts.count(docs.select("doc_id", "text", edits.alias("edits")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm_scoring.score(docs, crc_of_id(5) != 1)
@@ -77,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,

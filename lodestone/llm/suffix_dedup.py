@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import POWERS, materialise, range_hashes, slices, texts
+from .common import POWERS, materialise, range_hashes, slices
 
 NO_ID = -(1 << 63)
 
@@ -303,17 +303,22 @@ def _merged(heads: DataFrame, config: Config) -> DataFrame:
     return heads.repartition(F.xxhash64("string")).mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, text, found): one row for each id, with the starts (lo, hi) of repeated strings, or null.
+def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False) -> DataFrame:
+    """(doc_id, text, found): one row for each id, with the starts (lo, hi) of repeated strings, or null; with whole_rows also the row of docs as a struct.
 
     A null text is empty. Rows that share an id are one document, with the smallest of their texts; the rows without an id come first, as one.
     """
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").groupBy("doc_id").agg(F.min("text").alias("text"))
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    if whole_rows:
+        of_id = docs.select(key, F.struct(text, F.struct(*[docs[c] for c in docs.columns]).alias("row")).alias("both")).groupBy("doc_id").agg(F.min_by("both", "both.text").alias("both"))
+        rows = of_id.select("doc_id", "both.text", "both.row")
+    else:
+        rows = docs.select(key, text).groupBy("doc_id").agg(F.min("text").alias("text"))
     seen = Window.partitionBy("anchor")
-    twice = _anchor_rows(rows, config).withColumn("n", F.count("*").over(seen)).where("n > 1")
+    twice = _anchor_rows(rows.select("doc_id", "text"), config).withColumn("n", F.count("*").over(seen)).where("n > 1")
     split = F.when(F.col("n") > config.hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / config.hot))).otherwise(-1).cast("int")
     around = twice.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "anchor", "split")).alias("around"))
-    segments = _segments(rows.join(around, "doc_id"), config)
+    segments = _segments(rows.join(around, "doc_id").select("doc_id", "text", "around"), config)
     found = materialise(_shards(segments, config))
     starts = found.where(F.col("string").isNull()).select("doc_id", "lo", "hi").unionByName(_merged(found.where(F.col("string").isNotNull()), config))
     return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "doc_id", "left")
@@ -347,3 +352,27 @@ def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
     out = repeats(docs, config).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """The rows of docs, all columns as they are but for text (and n_chars, if there is one), without the repeated strings.
+
+    Halves of characters at a cut go as well. A document goes if nothing but white space is left of it; one of which
+    nothing was removed stays as it is.
+    """
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                kept = [(_kept(t.encode(), f, config.length)[0].decode(errors="ignore") if f else None) for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
+                row = b.column("row")
+                cols = {f.name: row.field(i) for i, f in enumerate(row.type)}
+                old = cols["text"].to_pylist()
+                cols["text"] = pa.array([o if k is None else k for k, o in zip(kept, old, strict=True)], cols["text"].type)
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([n if k is None else len(k) for k, n in zip(kept, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+                stays = pa.array([k is None or bool(k.strip()) for k in kept], pa.bool_())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(stays)
+
+    return repeats(docs, config, whole_rows=True).select("text", "found", "row").mapInArrow(run, schema)
