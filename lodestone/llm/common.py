@@ -12,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = r"[^\x20\x09-\x0D]+"
+#: Stands for a missing id where ids are joined; it sorts before all others.
+NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

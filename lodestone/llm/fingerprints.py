@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import NO_ID, materialise, texts
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -59,8 +59,8 @@ def fingerprint(docs: DataFrame, width: int = 5, scale: int = 10) -> DataFrame:
     by (doc_id, then a hash of the text), after the last the first. A null text is empty. Rows that repeat both id and
     text count once; null ids come first. A single document is its own successor.
     """
-    rows = texts(docs).withColumn("key", F.xxhash64("text"))
-    joins = lambda a, b: F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}key") == F.col(f"{b}key"))
+    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", F.xxhash64("text"))
+    joins = lambda a, b: (F.col(f"{a}doc_id") == F.col(f"{b}doc_id")) & (F.col(f"{a}key") == F.col(f"{b}key"))
     # One exchange of the texts serves both joins.
     held = with_sketch(rows, "text", "sketch", width, scale).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
     order = successors(rows.select("doc_id", "key", F.length("text").alias("n_chars")).distinct())
@@ -70,7 +70,7 @@ def fingerprint(docs: DataFrame, width: int = 5, scale: int = 10) -> DataFrame:
     edited = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) as int)), given)"))
     out = with_sketch(edited, "edited", "edited_sketch", width, scale)
     return out.select(
-        "doc_id",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),

@@ -35,7 +35,7 @@ class Config:
     """hot: occurrences of one anchor that a shard takes; more are dealt over several. gram must be less than length."""
 
     length: int = 100
-    gram: int = 32
+    gram: int = 20
     hot: int = 10_000
     block: int = 1 << 20
 
@@ -133,7 +133,7 @@ def _anchor_rows(docs: DataFrame, config: Config) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         POWERS.grow(config.block + 2 * config.length)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=8 << 20):
                 out: list[list[np.ndarray]] = [[], [], []]
                 group: list[tuple[int, bytes]] = []
                 held = 0
@@ -253,7 +253,7 @@ def _joined(pieces: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _shards(segments: DataFrame, config: Config) -> DataFrame:
-    """A partition is a shard; it is taken in groups of whole anchors of about 16 MB."""
+    """A partition is a shard; it is taken in groups of whole anchors of about 3 MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -270,7 +270,7 @@ def _shards(segments: DataFrame, config: Config) -> DataFrame:
                 continue
             name = b.column("anchor").to_numpy()
             cut = int(np.searchsorted(name, name[-1]))  # rows come sorted by anchor; its last may go on
-            if size > 16 << 20 and (cut or held[-1].column("anchor")[len(held[-1]) - 1].as_py() != name[0]):
+            if size > 3 << 20 and (cut or held[-1].column("anchor")[len(held[-1]) - 1].as_py() != name[0]):
                 held.append(b.slice(0, cut))
                 yield done(held)
                 held, size = [], 0
@@ -345,7 +345,7 @@ def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=8 << 20):
                 raws = [t.encode() for t in b.column("text").to_pylist()]
                 done = [_kept(r, f, config.length) for r, f in zip(raws, b.column("found").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=8 << 20):
                 kept = [(_kept(t.encode(), f, config.length)[0].decode(errors="ignore") if f else None) for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
                 row = b.column("row")
                 cols = {f.name: row.field(i) for i, f in enumerate(row.type)}
