@@ -66,6 +66,11 @@ def preprocess(c: Column) -> Column:
     return join_numbers(join_titles(F.array_join(lines, "\n")))
 
 
+def base64(c: Column) -> Column:
+    """UTF-8 in Base64, in one line."""
+    return F.translate(F.base64(F.encode(c, "UTF-8")), "\r\n", "")
+
+
 def preview(c: Column, n: int = 150) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
 

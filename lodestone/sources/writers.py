@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def vector_store(store: DataFrame, path: str) -> None:
     """Replaces the data sets that `store` holds, and no others."""
@@ -35,7 +37,7 @@ def power_record(record: DataFrame, path: str) -> None:
 
 
 def encoded(content: DataFrame, column: str) -> DataFrame:
-    return content.withColumn(column, F.base64(F.encode(column, "UTF-8")))
+    return content.withColumn(column, text.base64(F.col(column)))
 
 
 def tracking(rows: DataFrame, path: str, site: str | None, token: str | None, url: str | None) -> bool:
