@@ -5,12 +5,14 @@ Rows are (doc, ord, kind, id, title, content, relevantChunksIds); kind is chunk
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text
 
-IN_DOC = Window.partitionBy("doc").orderBy("ord")
+
+def in_doc() -> WindowSpec:
+    return Window.partitionBy("doc").orderBy("ord")
 
 
 def renumbered(items: DataFrame, *by: str) -> DataFrame:
@@ -48,9 +50,9 @@ def delete_chunk(items: DataFrame, deleted: DataFrame) -> DataFrame:
     """
     gone = deleted.select(F.col("doc").alias("of_doc"), F.col("id").alias("of_id"), F.lit(True).alias("deleted"))
     marked = items.join(gone, (F.col("doc") == F.col("of_doc")) & (F.col("id") == F.col("of_id")), "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-    near = lambda n: F.coalesce(F.lag("deleted", n).over(IN_DOC), F.lit(False))
-    joins_before = (F.col("kind") == "text") & near(1) | F.col("deleted") & (F.coalesce(F.lag("kind").over(IN_DOC), F.lit("chunk")) == "text")
-    island = marked.withColumn("starts", (~joins_before).cast("int")).withColumn("island", F.sum("starts").over(IN_DOC))
+    near = lambda n: F.coalesce(F.lag("deleted", n).over(in_doc()), F.lit(False))
+    joins_before = (F.col("kind") == "text") & near(1) | F.col("deleted") & (F.coalesce(F.lag("kind").over(in_doc()), F.lit("chunk")) == "text")
+    island = marked.withColumn("starts", (~joins_before).cast("int")).withColumn("island", F.sum("starts").over(in_doc()))
     whole = island.groupBy("doc", "island").agg(
         F.min("ord").alias("ord"),
         F.when(F.bool_or("deleted"), "text").otherwise(F.min_by("kind", "ord")).alias("kind"),

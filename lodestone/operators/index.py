@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
 
-IN_DATASET = Window.partitionBy("dataset_id").orderBy("ord")
+
+def in_dataset() -> WindowSpec:
+    return Window.partitionBy("dataset_id").orderBy("ord")
 
 
 def indexable(chunks: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def indexable(chunks: DataFrame) -> DataFrame:
 
 def numbered(chunks: DataFrame) -> DataFrame:
     """position: the place in the data set, from 0, whatever the file said."""
-    return chunks.withColumn("position", (F.row_number().over(IN_DATASET) - 1).cast("int"))
+    return chunks.withColumn("position", (F.row_number().over(in_dataset()) - 1).cast("int"))
 
 
 def valid_related(chunks: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def build(chunks: DataFrame, count: Callable[[Column], Column] = text.approx_tok
 
 def batches(chunks: DataFrame, size: int = 10) -> DataFrame:
     """The number of the embedding call that each chunk goes into."""
-    return chunks.withColumn("batch", F.floor((F.row_number().over(IN_DATASET) - 1) / size))
+    return chunks.withColumn("batch", F.floor((F.row_number().over(in_dataset()) - 1) / size))
 
 
 def to_create(requested: DataFrame, store: DataFrame, force: bool = False) -> DataFrame:

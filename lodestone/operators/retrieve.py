@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..conf import EngineConf
 from ..functions import text, vector
 
-OF_QUERY = Window.partitionBy("query_id")
+
 ADMITTED, DUPLICATE, NO_ROOM = "", "duplicate", "context_window"
 
 
+def of_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
+
+
 def score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each query (query_id, dataset_id, query_vector) with every chunk of its data set. It is an equi-join on the data set; norms come from the store."""
     q = queries.withColumn("query_norm", vector.norm(F.col("query_vector")))
@@ -22,7 +26,7 @@ def top_chunks(scored: DataFrame, top_n: int) -> DataFrame:
     """The top_n by score, NaN first, ties to the later position."""
     if top_n < 1:
         raise ValueError("top_n must be 1 or more")
-    ranked = scored.withColumn("rank", F.row_number().over(OF_QUERY.orderBy(F.desc("score"), F.desc("position"))))
+    ranked = scored.withColumn("rank", F.row_number().over(of_query().orderBy(F.desc("score"), F.desc("position"))))
     return ranked.where(F.col("rank") <= top_n)
 
 
@@ -87,7 +91,7 @@ def pack(expanded: DataFrame, limit: int) -> DataFrame:
 
 def pack_flat(top: DataFrame, limit: int) -> DataFrame:
     """Without related chunks and repeats, what is admitted is what the running total allows, up to the first that finds no room."""
-    total = F.sum("num_tokens").over(OF_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("num_tokens").over(of_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return top.withColumn("total", total).withColumn("skip", F.col("total") > limit).withColumn("skip_reason", F.when(F.col("skip"), NO_ROOM).otherwise(ADMITTED))
 
 
