@@ -22,12 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import POWERS, materialise, range_hashes, slices
-
-NO_ID = -(1 << 63)
+from .common import NO_ID, POWERS, range_hashes, slices
 
 
 @dataclass(frozen=True)
@@ -233,7 +232,7 @@ def shard_repeats(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np
         if (wide := head & (split[left] >= 0)[owner[at]]).any():
             raw = data.tobytes()
             heads.append((where_doc[wide], where_lo[wide], [raw[i : i + config.length] for i in at[wide].tolist()]))
-    docs, los, his = (np.concatenate(c) for c in zip(*out, strict=True))
+    docs, los, his = _runs_of_starts(*(np.concatenate(c) for c in zip(*out, strict=True)))
     strings = pa.nulls(len(docs), pa.binary())
     for d, s, text in heads:
         docs, los, his = np.r_[docs, d], np.r_[los, s], np.r_[his, s + 1]
@@ -241,6 +240,14 @@ def shard_repeats(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np
     return {"doc_id": pa.array(docs, pa.int64()), "lo": pa.array(los, pa.int64()), "hi": pa.array(his, pa.int64()), "string": strings}
 
 
+def _runs_of_starts(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of starts that follow one another become one."""
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return doc[first], lo[first], hi[np.r_[first[1:], len(doc)] - 1] if len(doc) else hi
+
+
 def _offsets(pieces: pa.Array) -> np.ndarray:
     return np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
 
@@ -284,14 +291,19 @@ def _shards(segments: DataFrame, config: Config) -> DataFrame:
     return dealt.mapInArrow(run, SHARD_OUT)
 
 
-def _merged(heads: DataFrame, config: Config) -> DataFrame:
-    """Places of strings that another shard has earlier: each distinct string's places are found by binary search in the merged order, and all but the earliest repeat."""
+def _merged(found: DataFrame, config: Config) -> DataFrame:
+    """The starts found, and those of strings that another shard has earlier: each distinct string's places are found by binary search in the merged order, and all but the earliest repeat. Only strings of anchors with several shards come here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+        heads: list[pa.RecordBatch] = []
+        for b in batches:
+            known = pa.compute.is_null(b.column("string"))
+            yield b.select(["doc_id", "lo", "hi"]).filter(known)
+            if (rest := b.filter(pa.compute.invert(known))).num_rows:
+                heads.append(rest)
+        if not heads:
             return
-        t = pa.Table.from_batches(rows)
+        t = pa.Table.from_batches(heads)
         doc, lo = t.column("doc_id").to_numpy(), t.column("lo").to_numpy()
         strings = np.frombuffer(b"".join(t.column("string").to_pylist()), f"S{config.length}")
         merged = np.unique(strings)
@@ -300,7 +312,7 @@ def _merged(heads: DataFrame, config: Config) -> DataFrame:
         later = order[np.r_[False, at[order][1:] == at[order][:-1]]]
         yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(lo[later]), pa.array(lo[later] + 1)], names=["doc_id", "lo", "hi"])
 
-    return heads.repartition(F.xxhash64("string")).mapInArrow(run, "doc_id long, lo long, hi long")
+    return found.repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string"))).mapInArrow(run, "doc_id long, lo long, hi long")
 
 
 def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False) -> DataFrame:
@@ -319,8 +331,8 @@ def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False
     split = F.when(F.col("n") > config.hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / config.hot))).otherwise(-1).cast("int")
     around = twice.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "anchor", "split")).alias("around"))
     segments = _segments(rows.join(around, "doc_id").select("doc_id", "text", "around"), config)
-    found = materialise(_shards(segments, config))
-    starts = found.where(F.col("string").isNull()).select("doc_id", "lo", "hi").unionByName(_merged(found.where(F.col("string").isNotNull()), config))
+    starts = _merged(_shards(segments, config), config)
+    # The texts come from the exchange that the segments came from: it is one query, and the exchange is the same.
     return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "doc_id", "left")
 
 
