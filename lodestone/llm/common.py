@@ -169,7 +169,7 @@ def shingle_sets(docs: list[str], width: int) -> list[np.ndarray]:
     n = len(words)
     shingles = np.zeros(n, np.uint64)
     factor = np.uint64(0xD6E8FEB86659FD93)
-    for k in range(width):
+    for k in range(min(width, n)):
         shingles[: n - k] = shingles[: n - k] * factor + words[k:] if k else words
     shingles = mix(shingles)
     out = []

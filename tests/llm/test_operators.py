@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search
@@ -105,8 +106,28 @@ def test_fingerprints(spark, rows, clashing, empty):  # noqa: ANN001
         if edited == t:
             assert r["near_edited"] == 1
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    long = [r for r in got.values() if r["n_chars"] > 1000 and r["doc_id"] != 64]
-    assert np.mean([r["near_edited"] for r in long]) > 0.5 > 0.2 > np.mean([r["near_next"] for r in long])
+    def sketch(t):  # noqa: ANN001, ANN202
+        words, out = re.findall(r"[^\x20\x09-\x0D]+", t), set()
+        for k in range(max(1, len(words) - 4) if words else 0):
+            h = 42  # each word's hash is the seed of the next
+            for w in words[k : k + 5]:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            out.add(h - (1 << 64) if h >= 1 << 63 else h)
+        below = {h for h in out if h < -(1 << 63) + (1 << 64) // 10}
+        return below or ({min(out)} if out else set())
+
+    def held(a, b):  # noqa: ANN001, ANN202
+        small = min(len(a), len(b))
+        return len(a & b) / small if small else float(len(a) == len(b))
+
+    for k, (i, t, *_) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        m = len(t) // 4
+        own, edited, following = sketch(t), sketch(t[: len(t) - m] + after[:m]), sketch(after)
+        r = got[i]
+        assert r["fingerprint"] == "".join(f"{h % (1 << 64):016x}" for h in sorted(own))
+        assert r["edited_fingerprint"] == "".join(f"{h % (1 << 64):016x}" for h in sorted(edited))
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((held(own, edited), held(own, following)))
     assert fingerprints.fingerprint(empty).collect() == []
     odd = spark.createDataFrame([(None, "a b"), (3, "c d"), (3, "c d")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1) for r in fingerprints.fingerprint(odd).collect()) == [-1, 3]
@@ -184,8 +205,10 @@ def test_suffix_dedup_edges(spark, empty):  # noqa: ANN001
     assert suffix_dedup.deduplicate(empty).collect() == []
     odd = spark.createDataFrame([(None, "y" * 120), (None, "z"), (1, "y" * 120), (1, "y" * 120)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix_dedup.deduplicate(odd).collect()) == [(0, 119), (1, 120)]
-    rest = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "é" * 200, 200, "k"), (2, "é" * 60 + "rest", 64, "k"), (3, "é" * 60, 60, "k"), (4, None, None, None)], "doc_id long, text string, n_chars long, row string"))
-    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rest.where("doc_id <> 4").collect()) == [(1, "é" * 50, 50), (2, "rest", 4)]
+    texts = {1: "é" * 200, 2: "é" * 60 + "rest", 3: "é" * 60, 4: None}
+    rest = suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, t and len(t), "k") for i, t in texts.items()], "doc_id long, text string, n_chars long, row string"))
+    left = {i: x[3].decode(errors="ignore") for i, x in removed_by_force(texts.items(), 100).items()}
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rest.where("doc_id <> 4").collect()) == [(i, left[i], len(left[i])) for i in (1, 2)] and not left[3]
     assert rest.where("doc_id = 4").first()["text"] is None and rest.columns == ["doc_id", "text", "n_chars", "row"]
 
 
