@@ -322,8 +322,8 @@ def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False
     """
     key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     if whole_rows:
-        of_id = docs.select(key, F.struct(text, F.struct(*[docs[c] for c in docs.columns]).alias("row")).alias("both")).groupBy("doc_id").agg(F.min_by("both", "both.text").alias("both"))
-        rows = of_id.select("doc_id", "both.text", "both.row")
+        of_id = docs.select(key, F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("doc_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+        rows = of_id.select("doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "row")
     else:
         rows = docs.select(key, text).groupBy("doc_id").agg(F.min("text").alias("text"))
     seen = Window.partitionBy("anchor")
