@@ -343,6 +343,25 @@ def test_jaccard_join(spark, rows, clashing, config):  # noqa: ANN001
     assert got == components_by_force([(r[0], r[1]) for r in rows] + extra, config)
 
 
+def test_jaccard_lists_of_two(spark):  # noqa: ANN001
+    """A middle set listed with each of its neighbours in a list of two: the first round takes one center for it, the second must take the other."""
+    random.seed(14)
+    rows, config = [], jaccard_join.Config()
+    none = np.zeros(0, np.uint64)
+    while len(rows) < 30:
+        w = [f"v{random.randrange(10**9)}" for _ in range(14)]
+        whole, first, last = jaccard_join.shingle_sets([" ".join(w), " ".join(w[:3]), " ".join(w[-3:])], 3)
+        if set(jaccard_join.keys_of(whole, config, config.boundary(), none, none).tolist()) == {int(first[0]), int(last[0])}:
+            rows += [(len(rows), " ".join(w[:-1])), (len(rows) + 1, " ".join(w[1:])), (len(rows) + 2, " ".join(w))]
+    for _ in range(40):  # chains of near copies
+        w = [f"c{random.randrange(10**9)}" for _ in range(random.randint(10, 40))]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(w)))
+            w = random.choice([w[1:], w[:-1], [*w, "x"], ["y", *w]])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(table, config).collect()} == components_by_force(rows, config)
+
+
 def test_jaccard_edges(spark, empty):  # noqa: ANN001
     assert jaccard_join.components(empty).collect() == []
     few = spark.createDataFrame([(3, "a b c d", "x"), (2, "a b c d", "y"), (9, None, "z"), (8, "", "z")], "doc_id long, text string, rep string")
