@@ -5,9 +5,11 @@ other words (by their last two bytes): a predicted vector is the sum of one vect
 with all outputs' vectors are one matrix product a block, and a softmax over these gives normalised probabilities. A
 word of a class then has its share of the class's count (add-half smoothed, with room for one unknown word).
 
-What is counted covers all training documents: word counts come from a shuffle, and those of rare words reach the
-documents by a join. Only a bounded head of the counts and a bounded sample of documents, on which the vectors are
-trained, pass through the driver. Words are told apart by a 64-bit hash.
+What is learnt covers all training documents: word counts come from a shuffle, and those of rare words reach the
+documents by a join. The vectors are trained in two rounds, the first on one document in eight, the second on all the
+others: documents are dealt into groups by a hash, each group is one pass from the round's shared vectors, and what the
+groups come to is averaged by their tokens. Only a bounded head of the counts and one set of vectors a round pass
+through the driver. Words are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .common import materialise, mix, slices, texts, word_hashes
 
 @dataclass(frozen=True)
 class Config:
-    """words: outputs that are words; classes: of all others. head: words whose counts each worker holds. sample_docs and sample_chars bound what the vectors are trained on."""
+    """words: outputs that are words; classes: of all others. head: words whose counts each worker holds. group_docs: about how many documents one pass of training goes through before vectors are averaged; block_chars: texts are shuffled by tokens within blocks of this length."""
 
     words: int = 384
     classes: int = 127
@@ -35,8 +37,8 @@ class Config:
     noise: int = 128
     batch: int = 1024
     rate: float = 0.15
-    sample_docs: int = 2000
-    sample_chars: int = 50_000
+    group_docs: int = 1024
+    block_chars: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -126,24 +128,47 @@ def sequences(docs: list[str], known: Counts, config: Config) -> tuple[np.ndarra
     return token, context, sizes, word, at
 
 
-def train(docs: list[str], known: Counts, config: Config) -> Model:
-    """One pass of noise-contrastive estimation in a fixed order, with noise by the outputs' frequencies shared in a batch."""
-    n_out = config.words + 1 + config.classes
-    freq = np.full(n_out, 0.5)
+def noise_of(known: Counts, config: Config) -> np.ndarray:
+    """Noise comes by the outputs' frequencies."""
+    freq = np.full(config.words + 1 + config.classes, 0.5)
     np.add.at(freq, known.output[known.own], known.count[known.own])
     freq[config.words] += known.docs
     freq[config.words + 1 :] += known.class_tokens
-    noise_p = freq / freq.sum()
+    return freq / freq.sum()
+
+
+def shapes(config: Config) -> list[tuple[int, ...]]:
+    n_out = config.words + 1 + config.classes
+    return [(config.context, n_out + 1, config.size), (n_out, config.size), (n_out,)]
+
+
+def start(known: Counts, config: Config) -> np.ndarray:
+    """What all groups of the first round start from, in one row: places, vectors and bias, then for each weight its sum of squared gradients."""
     random = np.random.default_rng(7)
-    places = random.normal(0, 0.1, (config.context, n_out + 1, config.size)).astype(np.float32)
-    vectors = random.normal(0, 0.1, (n_out, config.size)).astype(np.float32)
-    bias = np.log(noise_p).astype(np.float32)
-    model = Model(places, vectors, bias)
-    if not docs:
-        return model
+    places, vectors = (random.normal(0, 0.1, shape) for shape in shapes(config)[:2])
+    weights = np.concatenate([places.ravel(), vectors.ravel(), np.log(noise_of(known, config))])
+    return np.concatenate([weights, np.full_like(weights, 1e-2)]).astype(np.float32)
+
+
+def parts_of(state: np.ndarray, config: Config) -> list[np.ndarray]:
+    """Views of places, vectors and bias, and of their sums."""
+    ends = np.cumsum([int(np.prod(shape)) for shape in shapes(config)] * 2)
+    return [x.reshape(shape) for x, shape in zip(np.split(state, ends[:-1]), shapes(config) * 2, strict=True)]
+
+
+def _sums(rows: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sum of the rows of x at each place."""
+    flat = (at.astype(np.int64)[:, None] * x.shape[1] + np.arange(x.shape[1])).ravel()
+    return np.bincount(flat, x.ravel(), rows * x.shape[1]).reshape(rows, x.shape[1]).astype(np.float32)
+
+
+def steps(state: np.ndarray, docs: list[str], known: Counts, config: Config, random: np.random.Generator) -> int:
+    """One pass of noise-contrastive estimation over the texts, with noise shared in a batch; it changes state, and gives the number of tokens."""
+    noise_p = noise_of(known, config)
+    places, vectors, bias, *sums = parts_of(state, config)
+    n_out = len(bias)
     token, context, *_ = sequences(docs, known, config)
     shift = np.log(config.noise * noise_p).astype(np.float32)
-    sums = [np.full_like(x, 1e-2) for x in (places, vectors, bias)]  # of squared gradients, for each weight's own step
     order = random.permutation(len(token))
     for i in range(0, len(order), config.batch):
         some = order[i : i + config.batch]
@@ -155,19 +180,97 @@ def train(docs: list[str], known: Counts, config: Config) -> Model:
         g = 1 / (1 + np.exp(-good)) - 1
         h = 1 / (1 + np.exp(-bad))
         to_q = g[:, None] * vectors[w] + h @ vectors[noise]
-        to_v, to_b = np.zeros_like(vectors), np.zeros_like(bias)
-        np.add.at(to_v, w, g[:, None] * q)
-        np.add.at(to_v, noise, h.T @ q)
-        np.add.at(to_b, w, g)
-        np.add.at(to_b, noise, h.sum(0))
-        to_p = np.zeros_like(places)
-        for k in range(config.context):
-            np.add.at(to_p[k], c[:, k], to_q)
+        to_v = _sums(n_out, w, g[:, None] * q) + _sums(n_out, noise, h.T @ q)
+        to_b = (np.bincount(w, g, n_out) + np.bincount(noise, h.sum(0), n_out)).astype(np.float32)
+        to_p = np.stack([_sums(n_out + 1, c[:, k], to_q) for k in range(config.context)])
         for x, grad, total in zip((places, vectors, bias), (to_p, to_v, to_b), sums, strict=True):
             grad /= len(some)
             total += grad * grad
             x -= config.rate * grad / np.sqrt(total)
-    return model
+    return len(token)
+
+
+def train(docs: list[str], known: Counts, config: Config) -> Model:
+    """One group's pass from the start."""
+    state = start(known, config)
+    if docs:
+        steps(state, docs, known, config, np.random.default_rng(7))
+    return Model(*parts_of(state, config)[:3])
+
+
+#: Weights times tokens are added as whole numbers of this fraction, so that their sum doesn't depend on the order.
+FRACTION = float(1 << 16)
+
+
+def train_round(training: DataFrame, n_groups: int, state: np.ndarray, known: Counts, config: Config) -> tuple[np.ndarray, int]:
+    """The average, by tokens, of what one pass over each group of training (text, key) makes of state; and the number of tokens.
+
+    A group is what has one remainder of key, in the order of key, wherever its rows stand. Each task adds up its groups and sends one row of fixed size.
+    """
+    shared = training.sparkSession.sparkContext.broadcast((known, state))  # bounded by config
+    pieces = 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, begin = shared.value
+        total, tokens = np.zeros(len(begin), np.int64), 0
+        own, group, random, seen, block, held = begin.copy(), None, None, 0, [], 0
+
+        def flush() -> None:
+            nonlocal seen, block, held
+            if block:
+                seen += steps(own, block, known, config, random)
+            block, held = [], 0
+
+        def close() -> None:
+            nonlocal tokens
+            flush()
+            np.add(total, np.rint(own.astype(np.float64) * (seen * FRACTION)).astype(np.int64), out=total)
+            tokens += seen
+
+        for b in batches:
+            for g, text in zip(b.column("group").to_pylist(), b.column("text"), strict=True):
+                if g != group:
+                    if group is not None:
+                        close()
+                    own, group, random, seen = begin.copy(), g, np.random.default_rng([7, g]), 0
+                block.append(text.as_py())
+                held += len(block[-1])
+                if held >= config.block_chars:
+                    flush()
+        if group is not None:
+            close()
+            cut = np.array_split(total, pieces)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "tokens": pa.array([tokens] * pieces, pa.int64()), "total": pa.array([x.tobytes() for x in cut], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for p, n, x in zip(b.column("piece").to_pylist(), b.column("tokens").to_pylist(), b.column("total"), strict=True):
+                own = sums.setdefault(p, [0, 0])
+                own[0] += n
+                own[1] = own[1] + np.frombuffer(x.as_buffer(), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "tokens": pa.array([n for n, _ in sums.values()], pa.int64()), "total": pa.array([x.tobytes() for _, x in sums.values()], pa.binary())})
+
+    schema = "piece int, tokens long, total binary"
+    dealt = training.withColumn("group", F.pmod(F.shiftright("key", 3), F.lit(n_groups))).repartition("group").sortWithinPartitions("group", "key", "text")
+    rows = dealt.select("group", "text").mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).collect()
+    if not rows:
+        return state, 0
+    total = np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(rows, key=lambda r: r["piece"])])
+    return (total / (rows[0]["tokens"] * FRACTION)).astype(np.float32), rows[0]["tokens"]
+
+
+def train_all(training: DataFrame, n_docs: int, known: Counts, config: Config) -> tuple[Model, int]:
+    """Vectors, and the number of tokens they were trained on, from every row of training (doc_id, text): one in eight of them in the first round, all others in the second, which starts from the first one's average."""
+    rows = training.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    state, tokens = start(known, config), 0
+    for early in (True, False):
+        share = n_docs / 8 if early else 7 * n_docs / 8
+        part = rows.where((F.pmod("key", F.lit(8)) == 0) == F.lit(early))
+        state, n = train_round(part, max(1, int(-(-share // config.group_docs))), state, known, config)
+        tokens += n
+    return Model(*parts_of(state, config)[:3]), tokens
 
 
 def log_probabilities(token: np.ndarray, context: np.ndarray, model: Model, block: int = 1024) -> np.ndarray:
@@ -203,10 +306,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
     n_docs = training.select("doc_id").count()
     counts = materialise(word_counts(training.select("text"), config))
     known = summarise(counts, n_docs, config)
-    share = min(1.0, config.sample_docs / max(1, n_docs))
-    unit = F.xxhash64("doc_id", F.lit(3)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
-    sample = training.where((unit < share) & (F.length("text") <= config.sample_chars)).orderBy("doc_id", "text").limit(2 * config.sample_docs)
-    model = train(sample.select("text").toArrow()["text"].to_pylist(), known, config)
+    model, _ = train_all(training, n_docs, known, config)
     shared = docs.sparkSession.sparkContext.broadcast((known, model))  # bounded by config
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +315,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
         per_class = np.log10(known.class_tokens + 0.5 * (known.class_words + 1))
         head_log = np.log10(np.append(known.count, [known.docs, 0]) + 0.5)  # the end at -2, none at -1
         for whole in batches:
-            for b in slices(whole, most=8 << 20):
+            for b in slices(whole, most=2 << 20):
                 ids, copies = b.column("doc_id"), b.column("copy")
                 token, context, sizes, word, at = sequences(b.column("text").to_pylist(), known, config)
                 owner = np.repeat(np.arange(len(sizes)), sizes)

@@ -303,6 +303,22 @@ def test_lm_is_normalised_and_learns():
     assert lm_scoring.log_probabilities(token, context, trained).mean() > math.log10(0.5)
 
 
+def test_lm_learns_from_all_documents(spark):  # noqa: ANN001
+    """Documents of every group and of any length count, and neither the order nor the partitions of rows matter."""
+    texts = {i: " ".join(["aa", "bb", "cc", "dd"] * (20_000 if i == 5 else 30)) for i in range(64)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    config = lm_scoring.Config(words=4, classes=3, group_docs=4, block_chars=1000)
+    known = lm_scoring.summarise(lm_scoring.word_counts(table.select("text"), config), len(texts), config)
+    models = []
+    for t in (table.repartition(5), table.coalesce(1).orderBy(F.desc("doc_id"))):
+        model, n = lm_scoring.train_all(t, len(texts), known, config)
+        assert n == known.tokens
+        models.append(model)
+    assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in ("places", "vectors", "bias"))
+    long = lm_scoring.score(table.where("doc_id = 5"), F.lit(True), lm_scoring.Config(words=4, classes=3)).first()
+    assert long["score"] / long["n_tokens"] > math.log10(0.5)
+
+
 # --- 8 ------------------------------------------------------------------------------
 
 
