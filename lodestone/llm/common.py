@@ -25,6 +25,21 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: A column that numbers rows where ids don't tell them apart.
+ROW = "_lodestone_row"
+
+
+def ids_name_rows(docs: DataFrame) -> bool:
+    """Whether every row has an id, and one of its own."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return ids.where("n > 1 OR doc_id IS NULL").limit(1).count() == 0
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, by their order. It is written, so that each use of it finds the same numbers."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

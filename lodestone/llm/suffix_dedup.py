@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, POWERS, range_hashes, slices
+from .common import NO_ID, POWERS, ROW, ids_name_rows, numbered, range_hashes, slices
 
 
 @dataclass(frozen=True)
@@ -315,14 +315,14 @@ def _merged(found: DataFrame, config: Config) -> DataFrame:
     return found.repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string"))).mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False, by: str = "doc_id") -> DataFrame:
     """(doc_id, text, found): one row for each id, with the starts (lo, hi) of repeated strings, or null; with whole_rows also the row of docs as a struct.
 
-    A null text is empty. Rows that share an id are one document, with the smallest of their texts; the rows without an id come first, as one.
+    A null text is empty. by: the column that holds the ids. Rows that share an id are one document, with the smallest of their texts; the rows without an id come first, as one.
     """
-    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    key, text = F.coalesce(F.col(by).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     if whole_rows:
-        of_id = docs.select(key, F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("doc_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+        of_id = docs.select(key, F.struct(*[docs[c] for c in docs.columns if c != ROW]).alias("row")).groupBy("doc_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
         rows = of_id.select("doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "row")
     else:
         rows = docs.select(key, text).groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -370,7 +370,8 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """The rows of docs, all columns as they are but for text (and n_chars, if there is one), without the repeated strings.
 
     Halves of characters at a cut go as well. A document goes if nothing but white space is left of it; one of which
-    nothing was removed stays as it is.
+    nothing was removed stays as it is. What stood earlier is told by the ids or, where any is null or repeats, by the
+    order of the rows, each of which is a document of its own.
     """
     schema = docs.schema
 
@@ -387,4 +388,5 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
                 stays = pa.array([k is None or bool(k.strip()) for k in kept], pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(stays)
 
-    return repeats(docs, config, whole_rows=True).select("text", "found", "row").mapInArrow(run, schema)
+    known = ids_name_rows(docs)
+    return repeats(docs if known else numbered(docs), config, whole_rows=True, by="doc_id" if known else ROW).select("text", "found", "row").mapInArrow(run, schema)

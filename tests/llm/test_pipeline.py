@@ -45,6 +45,27 @@ def test_stages(spark, tmp_path):  # noqa: ANN001
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(str(type(r)(**{k: v for k, v in r.asDict().items() if k not in {"sequence_id", "offset"}})) for r in packed)
 
 
+def test_null_and_repeated_ids(spark, tmp_path):  # noqa: ANN001
+    """A row goes only as a near copy or when nothing is left of it, whatever its id."""
+    random.seed(22)
+    parts = {"en": ["th", "er", "on", "an", "ing"], "de": ["sch", "ein", "ung", "ch", "ß"]}
+    text = lambda lang: " ".join("".join(random.choices(parts[lang], k=random.randint(2, 4))) for _ in range(60))
+    rows = [(i, text(lang), lang, "s", 0) for i in [*range(40), *[None] * 10, *[7] * 10] for lang in [random.choice(["en", "de"])]]
+    clean = sorted(r[1] for r in rows)
+    rows += [(None, rows[3][1], rows[3][2], "copy", 0), (7, rows[-1][1], rows[-1][2], "copy", 0), (7, "th " + rows[45][1], rows[45][2], "near", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)))
+        seen.append(docs.collect())
+    assert len(seen[0]) == len(rows)
+    # Of the text without an id and its near copy with id 7, the one with an id stays; of the others, the clean ones.
+    expected = sorted([t for t in clean if t != rows[45][1]] + ["th " + rows[45][1]])
+    assert sorted(r["text"] for r in seen[1]) == expected
+    assert sorted(r["text"] for r in seen[2]) == expected and list(seen[2][0].asDict()) == COLUMNS
+    assert len(seen[3]) == len(expected)
+
+
 def test_registered_queries(spark, tmp_path):  # noqa: ANN001
     random.seed(21)
     words = ["the", "mit", "license", "of", "und", "schön"]
