@@ -1,266 +1,272 @@
 """Removal of long strings that stood earlier, by suffix arrays.
 
 A string of `length` bytes counts as repeated where it also starts earlier: in a document with a smaller id, or before
-in the same. To find all of them without sorting every suffix of the corpus:
-
-1. Every such string holds an anchor, the q-gram with the smallest hash in it, and equal strings hold equal anchors at
-   equal places. A join finds anchors that occur more than once; only strings around these can repeat.
-2. The segments around an anchor's occurrences go to one shard; a very frequent anchor's are dealt over several.
-3. A shard sorts its suffixes (Larsson-Sadakane refinement, in numpy), takes the common prefixes of neighbours
-   (Kasai's rule, along runs of reducible places) and so finds equal strings and the earliest of each.
-4. Where an anchor has several shards, the earliest strings of each are merged by binary search.
-
-Byte-identical segments are one suffix: by Kasai's rule, a segment equal to an earlier one repeats at each of its
-starts. Nothing is judged by a hash alone: hashes choose what to compare.
+in the same.
+
+1. The corpus is dealt into shards of about `block` bytes of whole texts (longer ones in blocks that overlap). Each
+   shard's suffixes are sorted (Larsson-Sadakane refinement, in numpy), the common prefixes of neighbours follow by
+   Kasai's rule, and so the shard knows its strings: the earliest of each, and the others, which repeat. From here on
+   only the earliest count, so a passage that stands a thousand times in a shard leaves it once.
+2. Shards can only share a string if they share its anchor, the q-gram with the smallest hash in it. Each shard lists
+   its anchors once, with their places; the anchors of several shards are counted and joined.
+3. The segments around these go to merging shards, which sort them in the same way. A frequent anchor's segments are
+   dealt over several of these, each of which passes on its earliest strings in order.
+4. Such sorted lists are merged by binary search, which leaves the earliest of each string.
+
+Nothing is judged by a hash alone: hashes choose what to compare.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, POWERS, ROW, ids_name_rows, numbered, range_hashes, slices
+from .common import NO_ID, POWERS, ROW, ids_name_rows, materialise, numbered, range_hashes, slices
 
 
 @dataclass(frozen=True)
 class Config:
-    """hot: occurrences of one anchor that a shard takes; more are dealt over several. gram must be less than length."""
+    """gram: bytes of an anchor, less than length. hot: segments of one anchor that a merging shard takes; more are dealt over several. block: bytes of a shard."""
 
     length: int = 100
-    gram: int = 20
-    hot: int = 10_000
+    gram: int = 40
+    hot: int = 1000
     block: int = 1 << 20
 
 
 # --- suffix arrays --------------------------------------------------------------------
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros following the end; one more for the end itself."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
+
+
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """All suffixes sorted by their first `depth` bytes or more (zeros follow the end): the first eight bytes give groups, and each round sorts the groups still larger than one by the rank of what stands as far on as they are sorted to."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    rank = np.zeros(n + 1, np.int64)  # the place of a group's first suffix, plus one; past the end 0
-    head = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, bool)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1
+    if not n:
+        return np.zeros(0, np.int32)
+    key = _words(data)[:n]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    head = np.r_[True, key[1:] != key[:-1]]
+    del key
+    rank = np.zeros(n + 1, np.int32)  # the place of a group's first suffix, plus one; past the end 0
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0)) + 1
     sorted_to = 8
     while sorted_to < depth:
-        single = head & np.r_[head[1:], True]
-        open_ = np.flatnonzero(~single)
+        open_ = np.flatnonzero(~(head & np.r_[head[1:], True])).astype(np.int32)
         if not len(open_):
             break
         at = order[open_]
-        then = rank[np.minimum(at + sorted_to, n)]
-        by = np.lexsort((then, rank[at]))
-        at, then, group = at[by], then[by], rank[at[by]]
+        by = (rank[at].astype(np.int64) << 32) | rank[np.minimum(at + sorted_to, n)]
+        sort = np.argsort(by)
+        at, by = at[sort], by[sort]
         order[open_] = at
-        head[open_] = np.r_[True, (group[1:] != group[:-1]) | (then[1:] != then[:-1])]
+        head[open_] = np.r_[True, by[1:] != by[:-1]]
         rank[at] = open_[np.maximum.accumulate(np.where(head[open_], np.arange(len(at)), 0))] + 1
         sorted_to *= 2
     return order
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in order, the bytes (up to most) it shares with the one before it. By Kasai's rule the next place shares one byte less with the same neighbour's next, so that only where neighbours change bytes are compared."""
+    """For each suffix in order, the bytes (up to most) it shares with the one before it. By Kasai's rule the next place shares one byte less with the same neighbour's next, so that bytes are compared, eight at a time, only where neighbours change, and anew after `most` places."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64)
-    before = np.full(n, -1)
+        return np.zeros(0, np.int32)
+    place = np.arange(n, dtype=np.int32)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     follows = np.zeros(n, bool)
-    follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
-    shared = np.zeros(n, np.int64)
-    todo = np.flatnonzero(~follows & (before >= 0))
-    limit = 2 * most  # runs give one byte less at each place, so some more are counted at their start
-    padded = np.concatenate([data, np.zeros(1, np.uint8)])
-    live, done = todo, 0
-    while len(live) and done < limit:
-        a, b = live + done, before[live] + done
-        same = (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
-        live = live[same]
-        shared[live] += 1
-        done += 1
-    start = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
-    long_run = follows & (shared[start] >= limit) & (np.arange(n) - start > limit - most)
-    shared = np.where(follows, np.maximum(shared[start] - (np.arange(n) - start), 0), shared)
-    for i in np.flatnonzero(long_run):  # a run longer than was counted
-        a, b = data[i : i + most], data[before[i] : before[i] + most]
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[:m] != b[:m])
-        shared[i] = differ[0] if len(differ) else m
+    follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (data[:-1] == data[before[:-1]])
+    start = np.maximum.accumulate(np.where(follows, 0, place))
+    start += (place - start) // most * most
+    live = np.flatnonzero((start == place) & (before >= 0)).astype(np.int32)
+    words, shared, done = _words(data), np.zeros(n, np.int32), 0
+    while len(live) and done < 2 * most:  # what follows within `most` places is one byte less each
+        differ = words[np.minimum(live + done, n)] ^ words[np.minimum(before[live] + done, n)]
+        ended = differ != 0
+        x = differ[ended]
+        shared[live[ended]] = done + sum((x < np.uint64(1 << 8 * k)).astype(np.int32) for k in range(1, 8))
+        live, done = live[~ended], done + 8
+        shared[live] = done
+    shared = np.minimum(shared, n - np.maximum(place, before))
+    shared = np.maximum(shared[start] - (place - start), 0)
     return np.minimum(shared[order], most)
 
 
-# --- anchors ----------------------------------------------------------------------------
+def first_starts(data: np.ndarray, is_start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which starts are the first of their string of `length` bytes in data; and the suffixes in order."""
+    order = suffix_array(data, length)
+    run = np.cumsum(common_prefixes(data, order, length) < length, dtype=np.int32)
+    chosen = is_start[order]
+    at, run = order[chosen], run[chosen]
+    first = np.zeros(len(data), bool)
+    if len(at):  # of suffixes with `length` bytes in common, those that are starts are equal strings
+        first[np.minimum.reduceat(at, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))] = True
+    return first, order
 
 
-def anchors(raw: bytes, config: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one block of bytes: hash of the anchor, first start and number of starts of each run of strings with one anchor."""
-    data = np.frombuffer(raw, np.uint8)
-    n_starts = len(data) - config.length + 1
-    if n_starts < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = len(data) - config.gram + 1
-    at = np.arange(n)
+# --- shards of the corpus -----------------------------------------------------------------
+
+
+def anchor_places(data: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the anchor of each string of data, and the hash of each gram."""
+    at = np.arange(len(data) - config.gram + 1)
     full = range_hashes(data, at, at + config.gram)
-    key = (full & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64)  # the leftmost of equals
+    key = (full & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)  # the leftmost of equals
     width, reach = config.length - config.gram + 1, 1
     while 2 * reach <= width:
         key = np.minimum(key[: len(key) - reach], key[reach:])
         reach *= 2
     if reach < width:
         key = np.minimum(key[: len(key) - (width - reach)], key[width - reach :])
-    place = (key & np.uint64(0xFFFFFF)).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return full[place[start]], start, np.diff(np.r_[start, len(place)])
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int32), full
+
+
+RUN = "struct<doc_id:long,lo:long,n:long>"
+_RUN_TYPE = pa.struct([("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
+
 
+def _listed(keys: pa.Array, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row a key, with the next `size` of the runs."""
+    runs = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64())], fields=list(_RUN_TYPE))
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, runs)], names=["anchor", "runs"])
 
-def _anchor_rows(docs: DataFrame, config: Config) -> DataFrame:
-    """(anchor, doc_id, starts): starts is first start * 256 + number of starts."""
+
+def _runs(at: np.ndarray, *tells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of consecutive places begin, and their lengths; a run is of places of which `tells` say the same."""
+    new = np.r_[True, at[1:] != at[:-1] + 1][: len(at)]
+    for x in tells:
+        new[1:] |= x[at[1:]] != x[at[:-1]]
+    return at[new], np.diff(np.r_[np.flatnonzero(new), len(at)])
+
+
+def corpus_shard(data: np.ndarray, doc: np.ndarray, base: np.ndarray, size: np.ndarray, config: Config) -> Iterator[pa.RecordBatch]:
+    """What a shard of texts says, which stand one after the other in data, in ascending order of (doc, base), base being where a block of a longer text begins: the runs of starts that repeat within it (anchor null), and for each anchor of the others their runs."""
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    begin = np.cumsum(size) - size
+    is_start = np.arange(len(data)) - begin[owner] <= (size - config.length)[owner]
+    if not is_start.any():
+        return
+    first, _ = first_starts(data, is_start, config.length)
+    again = is_start & ~first
+    begin_of, start_of = base[owner] - begin[owner], doc[owner]
+    if again.any():
+        lo, n = _runs(np.flatnonzero(again), owner)
+        yield _listed(pa.nulls(1, pa.int64()), np.array([len(lo)]), start_of[lo], begin_of[lo] + lo, n)
+    place, full = anchor_places(data, config)
+    lo, n = _runs(np.flatnonzero(first), owner, place)
+    anchor = full[place[lo]]
+    order = np.argsort(anchor, kind="stable")
+    anchor, lo, n = anchor[order], lo[order], n[order]
+    head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    yield _listed(pa.array(anchor[head].view(np.int64)), np.diff(np.r_[head, len(anchor)]), start_of[lo], begin_of[lo] + lo, n)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes, one after the other, and the length of each."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    return np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.zeros(0, np.uint8), np.diff(offsets)
+
+
+def corpus_shards(rows: DataFrame, config: Config) -> DataFrame:
+    """What all shards of rows (doc_id, text) say."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         POWERS.grow(config.block + 2 * config.length)
         for whole in batches:
-            for b in slices(whole, most=8 << 20):
-                out: list[list[np.ndarray]] = [[], [], []]
-                group: list[tuple[int, bytes]] = []
-                held = 0
-
-                def flush() -> None:
-                    nonlocal group, held
-                    if not group:
-                        return
-                    hashes, start, count = anchors(b"".join(r for _, r in group), config)
-                    # Strings that cross from a document into the next don't count.
-                    begin = np.cumsum([0] + [len(r) for _, r in group])
-                    for (doc, _), lo, hi in zip(group, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                        last = hi - config.length + 1
-                        if last <= lo:
-                            continue
-                        i, j = np.searchsorted(start, lo, "right") - 1, np.searchsorted(start, last, "left")
-                        s, e = np.maximum(start[i:j], lo), np.minimum(start[i:j] + count[i:j], last)
-                        out[0].append(hashes[i:j])
-                        out[1].append(np.full(j - i, doc))
-                        out[2].append(((s - lo) << 8) | (e - s))
-                    group, held = [], 0
-
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    raw = text.encode()
-                    if len(raw) > config.block:
-                        for lo in range(0, len(raw) - config.length + 1, config.block):
-                            hashes, start, count = anchors(raw[lo : lo + config.block + config.length - 1], config)
-                            for k, v in enumerate((hashes, np.full(len(start), doc), ((start + lo) << 8) | count)):
-                                out[k].append(v)
-                        continue
-                    if held + len(raw) > config.block:
-                        flush()
-                    group.append((doc, raw))
-                    held += len(raw)
-                flush()
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2]).astype(np.int64))], names=["anchor", "doc_id", "starts"])
-
-    return docs.mapInArrow(run, "anchor long, doc_id long, starts long")
+            for b in slices(whole, most=config.block):
+                doc = b.column("doc_id").to_numpy()
+                order = np.argsort(doc, kind="stable")
+                data, size = _bytes_of(b.column("text").take(pa.array(order)))
+                if len(data) <= config.block:
+                    yield from corpus_shard(data, doc[order], np.zeros(len(doc), np.int64), size, config)
+                    continue
+                for lo in range(0, len(data) - config.length + 1, config.block):  # one text
+                    part = data[lo : lo + config.block + config.length - 1]
+                    yield from corpus_shard(part, doc, np.array([lo]), np.array([len(part)]), config)
+
+    return rows.mapInArrow(run, f"anchor long, runs array<{RUN}>")
+
+
+# --- shards of what several have ------------------------------------------------------------
 
 
 def _segments(docs: DataFrame, config: Config) -> DataFrame:
-    """docs has around: array of (starts, anchor, split). A row for each run of starts, with the bytes that its strings span."""
+    """docs (doc_id, text, around) has a list of (lo, n, anchor, split). A row for each run of starts, with the bytes that its strings span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, most=4 << 20):
-                raws = [t.encode() for t in b.column("text").to_pylist()]
+            for b in slices(whole, most=1 << 20):
                 lists = b.column("around")
-                n = np.diff(lists.offsets.to_numpy())
+                n = pc.list_value_length(lists).to_numpy()
                 around = lists.flatten()
-                starts = around.field("starts").to_numpy()
-                lo, count = starts >> 8, starts & 255
-                owner = np.repeat(np.arange(len(raws)), n)
-                piece = [raws[o][s : s + c] for o, s, c in zip(owner.tolist(), lo.tolist(), (count + config.length - 1).tolist(), strict=True)]
-                doc = b.column("doc_id").to_numpy()[owner]
-                yield pa.RecordBatch.from_arrays([around.field("anchor"), around.field("split"), pa.array(doc), pa.array(lo), pa.array(piece, pa.binary())], names=["anchor", "split", "doc_id", "lo", "piece"])
+                lo, count = around.field("lo").to_numpy(), around.field("n").to_numpy()
+                doc = np.repeat(b.column("doc_id").to_numpy(), n)
+                ends = np.cumsum(n)
+                for i, text in enumerate(b.column("text")):
+                    raw, upto = memoryview(text.as_buffer()), int(ends[i])
+                    at = upto - int(n[i])
+                    while at < upto:  # a long text has many segments
+                        to = min(at + 20_000, upto)
+                        piece = [raw[s : s + c + config.length - 1] for s, c in zip(lo[at:to].tolist(), count[at:to].tolist(), strict=True)]
+                        held = (around.field("anchor")[at:to], around.field("split")[at:to], pa.array(doc[at:to]), pa.array(lo[at:to]), pa.array(piece, pa.binary()))
+                        yield pa.RecordBatch.from_arrays(list(held), names=["anchor", "split", "doc_id", "lo", "piece"])
+                        at = to
 
     return docs.mapInArrow(run, "anchor long, split int, doc_id long, lo long, piece binary")
 
 
-SHARD_OUT = "doc_id long, lo long, hi long, string binary"
-
-
-def shard_repeats(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np.ndarray, piece: pa.Array, config: Config) -> dict:
-    """What one shard knows: starts lo..hi that repeat, and of anchors with several shards its earliest place of each string."""
+def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np.ndarray, piece: pa.Array, config: Config) -> pa.RecordBatch:
+    """Runs of starts that repeat among these segments; and, of anchors dealt over several shards, each string's earliest place, with the string, in order."""
     coded = piece.dictionary_encode()
     kind, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    size = np.diff(_offsets(pieces))
+    size = pc.binary_length(pieces).to_numpy().astype(np.int64)
     order = np.lexsort((lo, doc, kind))
-    first = order[np.r_[True, kind[order][1:] != kind[order][:-1]]] if len(order) else order
+    earliest = order[np.r_[True, kind[order][1:] != kind[order][:-1]]]
     again = np.ones(len(kind), bool)
-    again[first] = False
-    n_starts = size[kind] - config.length + 1
-    out = [(doc[again], lo[again], lo[again] + n_starts[again])]
+    again[earliest] = False  # by Kasai's rule, an equal segment repeats at each of its starts
+    found = [(doc[again], lo[again], size[kind[again]] - config.length + 1)]
     # Of equal segments the earliest is left; it needs sorting if its anchor has another, or another shard.
-    names, inverse, n = np.unique(anchor[first], return_inverse=True, return_counts=True)
-    left = first[(n[inverse] > 1) | (split[first] >= 0)]
-    heads: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+    names, inverse, n = np.unique(anchor[earliest], return_inverse=True, return_counts=True)
+    left = earliest[(n[inverse] > 1) | (split[earliest] >= 0)]
+    strings: list[bytes] = []
     if len(left):
-        begin, data = _joined(pieces, kind[left])
-        sa = suffix_array(data, config.length)
-        shared = common_prefixes(data, sa, config.length)
-        length = size[kind[left]]
-        owner = np.repeat(np.arange(len(left)), length)
-        inside = np.arange(len(data)) - begin[owner]
-        is_start = inside < (length - config.length + 1)[owner]
-        # Of a run of suffixes with `length` bytes in common, those that are starts are equal strings.
-        run = np.cumsum(shared < config.length)
-        chosen = is_start[sa]
-        at, run = sa[chosen], run[chosen]
-        where_doc, where_lo = doc[left][owner[at]], lo[left][owner[at]] + inside[at]
-        order = np.lexsort((where_lo, where_doc, run))
-        head = np.zeros(len(at), bool)
-        head[order[np.r_[True, run[order][1:] != run[order][:-1]]]] = True
-        out.append((where_doc[~head], where_lo[~head], where_lo[~head] + 1))
-        if (wide := head & (split[left] >= 0)[owner[at]]).any():
-            raw = data.tobytes()
-            heads.append((where_doc[wide], where_lo[wide], [raw[i : i + config.length] for i in at[wide].tolist()]))
-    docs, los, his = _runs_of_starts(*(np.concatenate(c) for c in zip(*out, strict=True)))
-    strings = pa.nulls(len(docs), pa.binary())
-    for d, s, text in heads:
-        docs, los, his = np.r_[docs, d], np.r_[los, s], np.r_[his, s + 1]
-        strings = pa.concat_arrays([strings, pa.array(text, pa.binary())])
-    return {"doc_id": pa.array(docs, pa.int64()), "lo": pa.array(los, pa.int64()), "hi": pa.array(his, pa.int64()), "string": strings}
-
-
-def _runs_of_starts(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of starts that follow one another become one."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    return doc[first], lo[first], hi[np.r_[first[1:], len(doc)] - 1] if len(doc) else hi
-
-
-def _offsets(pieces: pa.Array) -> np.ndarray:
-    return np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
-
-
-def _joined(pieces: pa.Array, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of the chosen pieces begins when they stand one after the other, and their bytes."""
-    taken = pieces.take(pa.array(which))
-    offsets = _offsets(taken)
-    return offsets[:-1] - offsets[0], np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-
-
-def _shards(segments: DataFrame, config: Config) -> DataFrame:
-    """A partition is a shard; it is taken in groups of whole anchors of about 3 MB."""
+        left = left[np.lexsort((lo[left], doc[left]))]
+        data, size = _bytes_of(pieces.take(pa.array(kind[left])))
+        owner = np.repeat(np.arange(len(left), dtype=np.int32), size)
+        begin = np.cumsum(size) - size
+        at = np.arange(len(data))
+        is_start = at - begin[owner] <= (size - config.length)[owner]
+        first, order = first_starts(data, is_start, config.length)
+        where = lo[left][owner] - begin[owner]
+        more, n = _runs(np.flatnonzero(is_start & ~first), owner)
+        found.append((doc[left][owner[more]], where[more] + more, n))
+        heads = order[(first & (split[left] >= 0)[owner])[order]]
+        raw = data.tobytes()
+        strings = [raw[i : i + config.length] for i in heads.tolist()]
+        found.append((doc[left][owner[heads]], where[heads] + heads, np.ones(len(heads), np.int64)))
+        of = split[left][owner[heads]]
+    docs, los, n = (np.concatenate(c) for c in zip(*found, strict=True))
+    none = len(docs) - len(strings)
+    text = pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(strings, pa.binary())])
+    shard = pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(of if strings else [], pa.int32())])
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(n, pa.int64()), shard, text], names=["doc_id", "lo", "n", "shard", "string"])
+
+
+def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
+    """A partition is sorted in shards of about `block` bytes of whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -268,72 +274,85 @@ def _shards(segments: DataFrame, config: Config) -> DataFrame:
 
         def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows).combine_chunks()
-            cols = [t.column(c).to_numpy() for c in ("anchor", "split", "doc_id", "lo")]
-            piece = t.column("piece")
-            return pa.RecordBatch.from_pydict(shard_repeats(*cols, piece.chunk(0) if piece.num_chunks else pa.array([], pa.binary()), config))
+            return merging_shard(*[t.column(c).to_numpy() for c in ("anchor", "split", "doc_id", "lo")], t.column("piece").chunk(0), config)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            name = b.column("anchor").to_numpy()
-            cut = int(np.searchsorted(name, name[-1]))  # rows come sorted by anchor; its last may go on
-            if size > 3 << 20 and (cut or held[-1].column("anchor")[len(held[-1]) - 1].as_py() != name[0]):
-                held.append(b.slice(0, cut))
-                yield done(held)
-                held, size = [], 0
-                b = b.slice(cut)
-            held.append(b)
-            size += b.nbytes
+        for whole in batches:
+            for b in slices(whole, "piece", most=config.block):
+                name = b.column("anchor").to_numpy()
+                cut = int(np.searchsorted(name, name[-1]))  # rows come sorted by anchor; its last may go on
+                if size > config.block and (cut or held[-1].column("anchor")[len(held[-1]) - 1].as_py() != name[0]):
+                    held.append(b.slice(0, cut))
+                    yield done([h for h in held if h.num_rows])
+                    held, size = [], 0
+                    b = b.slice(cut)
+                held.append(b)
+                size += b.nbytes
         if held:
             yield done(held)
 
-    dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, SHARD_OUT)
+    dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor", "split")
+    return dealt.mapInArrow(run, "doc_id long, lo long, n long, shard int, string binary")
 
 
-def _merged(found: DataFrame, config: Config) -> DataFrame:
-    """The starts found, and those of strings that another shard has earlier: each distinct string's places are found by binary search in the merged order, and all but the earliest repeat. Only strings of anchors with several shards come here."""
+# --- merging sorted shards --------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: list[pa.RecordBatch] = []
-        for b in batches:
-            known = pa.compute.is_null(b.column("string"))
-            yield b.select(["doc_id", "lo", "hi"]).filter(known)
-            if (rest := b.filter(pa.compute.invert(known))).num_rows:
-                heads.append(rest)
-        if not heads:
-            return
-        t = pa.Table.from_batches(heads)
-        doc, lo = t.column("doc_id").to_numpy(), t.column("lo").to_numpy()
-        strings = np.frombuffer(b"".join(t.column("string").to_pylist()), f"S{config.length}")
-        merged = np.unique(strings)
-        at = np.searchsorted(merged, strings)
-        order = np.lexsort((lo, doc, at))
-        later = order[np.r_[False, at[order][1:] == at[order][:-1]]]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(lo[later]), pa.array(lo[later] + 1)], names=["doc_id", "lo", "hi"])
 
-    return found.repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string"))).mapInArrow(run, "doc_id long, lo long, hi long")
+def merged(a: tuple, b: tuple) -> tuple[tuple, tuple]:
+    """Two sorted lists of strings (strings, doc_id, lo), each string once in each, as one with the earliest place of each, by binary search of one in the other; and the places (doc_id, lo) that repeat."""
+    (s, doc, lo), (t, of, at) = a, b
+    to = np.searchsorted(s, t)
+    both = s[np.minimum(to, len(s) - 1)] == t
+    i, j = to[both], np.flatnonzero(both)
+    earlier = (of[j] < doc[i]) | ((of[j] == doc[i]) & (at[j] < lo[i]))
+    later = np.where(earlier, doc[i], of[j]), np.where(earlier, lo[i], at[j])
+    doc, lo = doc.copy(), lo.copy()
+    doc[i], lo[i] = np.where(earlier, of[j], doc[i]), np.where(earlier, at[j], lo[i])
+    new = ~both
+    return (np.insert(s, to[new], t[new]), np.insert(doc, to[new], of[new]), np.insert(lo, to[new], at[new])), later
 
 
-def repeats(docs: DataFrame, config: Config = Config(), whole_rows: bool = False, by: str = "doc_id") -> DataFrame:
-    """(doc_id, text, found): one row for each id, with the starts (lo, hi) of repeated strings, or null; with whole_rows also the row of docs as a struct.
+def merge_shards(found: DataFrame, config: Config) -> DataFrame:
+    """The starts found, and those of strings that another shard has earlier. Strings are dealt by a hash; in each partition the shards' sorted lists are merged two and two."""
 
-    A null text is empty. by: the column that holds the ids. Rows that share an id are one document, with the smallest of their texts; the rows without an id come first, as one.
-    """
-    key, text = F.coalesce(F.col(by).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    if whole_rows:
-        of_id = docs.select(key, F.struct(*[docs[c] for c in docs.columns if c != ROW]).alias("row")).groupBy("doc_id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
-        rows = of_id.select("doc_id", F.coalesce("row.text", F.lit("")).alias("text"), "row")
-    else:
-        rows = docs.select(key, text).groupBy("doc_id").agg(F.min("text").alias("text"))
-    seen = Window.partitionBy("anchor")
-    twice = _anchor_rows(rows.select("doc_id", "text"), config).withColumn("n", F.count("*").over(seen)).where("n > 1")
-    split = F.when(F.col("n") > config.hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / config.hot))).otherwise(-1).cast("int")
-    around = twice.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "anchor", "split")).alias("around"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            known = pc.is_null(b.column("string"))
+            yield b.select(["doc_id", "lo", "n"]).filter(known)
+            if (rest := b.filter(pc.invert(known))).num_rows:
+                held.append(rest)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        strings = np.frombuffer(_bytes_of(t.column("string").chunk(0))[0], f"S{config.length}")
+        shard, doc, lo = (t.column(c).to_numpy() for c in ("shard", "doc_id", "lo"))
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+        lists = [(strings[i:j], doc[i:j], lo[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        while len(lists) > 1:
+            pairs = [merged(a, b) for a, b in zip(lists[::2], lists[1::2], strict=False)]
+            for _, (of, at) in pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(np.ones(len(of), np.int64))], names=["doc_id", "lo", "n"])
+            lists = [m for m, _ in pairs] + lists[len(lists) // 2 * 2 :]
+
+    dealt = found.repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string"))).sortWithinPartitions("shard", "string")
+    return dealt.mapInArrow(run, "doc_id long, lo long, n long")
+
+
+# --- the operator -----------------------------------------------------------------------------
+
+
+def repeats(rows: DataFrame, config: Config = Config()) -> DataFrame:
+    """rows (doc_id, text), an id for each, without nulls, with `found`: the runs (lo, n) of starts of repeated strings, or null."""
+    shards = materialise(corpus_shards(rows, config))
+    listed = shards.where(F.col("anchor").isNotNull())
+    several = listed.groupBy(F.col("anchor").alias("shared")).agg(F.count("*").alias("n_shards"), F.sum(F.size("runs")).alias("n_runs")).where("n_shards > 1")
+    run = listed.join(several, F.col("anchor") == F.col("shared")).select("anchor", "n_runs", F.inline("runs"))
+    split = F.when(F.col("n_runs") > config.hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_runs") / config.hot))).otherwise(-1).cast("int")
+    around = run.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "anchor", "split")).alias("around"))
     segments = _segments(rows.join(around, "doc_id").select("doc_id", "text", "around"), config)
-    starts = _merged(_shards(segments, config), config)
+    starts = merge_shards(merging_shards(segments, config), config).unionByName(shards.where(F.col("anchor").isNull()).select(F.inline("runs")))
     # The texts come from the exchange that the segments came from: it is one query, and the exchange is the same.
-    return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "doc_id", "left")
+    return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "doc_id", "left")
 
 
 def _kept(raw: bytes, found: list | None, length: int) -> tuple[bytes, int, int]:
@@ -341,7 +360,7 @@ def _kept(raw: bytes, found: list | None, length: int) -> tuple[bytes, int, int]
     if not found:
         return raw, 0, 0
     kept, at, removed, runs, reach = [], 0, 0, 0, -1
-    for lo, hi in sorted((x["lo"], x["hi"] + length - 1) for x in found):
+    for lo, hi in sorted((x["lo"], x["lo"] + x["n"] + length - 1) for x in found):
         if lo > reach:
             runs += 1
             kept.append(raw[at:lo])
@@ -353,16 +372,22 @@ def _kept(raw: bytes, found: list | None, length: int) -> tuple[bytes, int, int]
 
 
 def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): what is left of every whole text, in bytes; a cut may fall inside a character."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept): what is left of every whole text, in bytes; a cut may fall inside a character.
+
+    A null text is empty. Rows that share an id are one document, with the smallest of their texts; the rows without an id come first, as one.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if not ids_name_rows(docs):
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, most=8 << 20):
-                raws = [t.encode() for t in b.column("text").to_pylist()]
+            for b in slices(whole, most=2 << 20):
+                raws = [t.as_buffer().to_pybytes() for t in b.column("text")]
                 done = [_kept(r, f, config.length) for r, f in zip(raws, b.column("found").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = repeats(docs, config).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = repeats(rows, config).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -373,20 +398,27 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
     nothing was removed stays as it is. What stood earlier is told by the ids or, where any is null or repeats, by the
     order of the rows, each of which is a document of its own.
     """
-    schema = docs.schema
+    known = ids_name_rows(docs)
+    docs = docs if known else numbered(docs)
+    key = F.coalesce(F.col("doc_id" if known else ROW).cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, most=8 << 20):
-                kept = [(_kept(t.encode(), f, config.length)[0].decode(errors="ignore") if f else None) for t, f in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True)]
-                row = b.column("row")
-                cols = {f.name: row.field(i) for i, f in enumerate(row.type)}
-                old = cols["text"].to_pylist()
-                cols["text"] = pa.array([o if k is None else k for k, o in zip(kept, old, strict=True)], cols["text"].type)
-                if "n_chars" in cols:
-                    cols["n_chars"] = pa.array([n if k is None else len(k) for k, n in zip(kept, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+            for b in slices(whole, most=2 << 20):
+                found = b.column("found").to_pylist()
+                kept = [_kept(t.as_buffer().to_pybytes(), f, config.length)[0].decode(errors="ignore") if f else None for t, f in zip(b.column("text"), found, strict=True)]
                 stays = pa.array([k is None or bool(k.strip()) for k in kept], pa.bool_())
-                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(stays)
-
-    known = ids_name_rows(docs)
-    return repeats(docs if known else numbered(docs), config, whole_rows=True, by="doc_id" if known else ROW).select("text", "found", "row").mapInArrow(run, schema)
+                text = pc.if_else(pa.array([k is None for k in kept], pa.bool_()), b.column("text"), pa.array(kept, pa.string()))
+                changed = pa.array([len(k) if k is not None else None for k in kept], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, changed], names=["_lodestone_key", "_lodestone_text", "_lodestone_chars"]).filter(stays)
+
+    left = repeats(rows, config).mapInArrow(run, "_lodestone_key long, _lodestone_text string, _lodestone_chars long")
+    # A null text of which nothing was removed stays null.
+    no_text = docs.withColumn("_lodestone_null", F.col("text").isNull()).drop("text").withColumn("_lodestone_id", key)
+    of = {
+        "text": F.when(~F.col("_lodestone_null"), F.col("_lodestone_text")).cast(docs.schema["text"].dataType),
+        "n_chars": F.coalesce("_lodestone_chars", F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None,
+    }
+    columns = [of[c].alias(c) if of.get(c) is not None else F.col(f"`{c}`") for c in docs.columns if c != ROW]
+    return no_text.join(left, F.col("_lodestone_id") == F.col("_lodestone_key")).select(*columns)
