@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, POWERS, ROW, ids_name_rows, materialise, numbered, range_hashes, slices
+from .common import NO_ID, POWERS, ROW, ids_name_rows, materialise, mix, numbered, range_hashes, slices
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Config:
     """gram: bytes of an anchor, less than length. hot: segments of one anchor that a merging shard takes; more are dealt over several. block: bytes of a shard."""
 
     length: int = 100
-    gram: int = 40
+    gram: int = 24
     hot: int = 1000
     block: int = 1 << 20
 
@@ -132,15 +132,20 @@ def anchor_places(data: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndar
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int32), full
 
 
-RUN = "struct<doc_id:long,lo:long,n:long>"
-_RUN_TYPE = pa.struct([("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
+#: A shard's row: anchor and the first of its runs; `more` has its other runs, as doc_id, starts, doc_id, starts... starts is lo * 2**16 + n. again: a run that repeats within the shard, under any anchor.
+LISTED = "anchor long, again boolean, doc_id long, starts long, more array<long>"
 
 
-def _listed(keys: pa.Array, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A row a key, with the next `size` of the runs."""
-    runs = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64())], fields=list(_RUN_TYPE))
-    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, runs)], names=["anchor", "runs"])
+def _listed(anchor: np.ndarray, again: bool, sizes: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row an anchor, with the next `size` of the runs."""
+    starts = (lo << 16) | n
+    head = np.cumsum(sizes) - sizes
+    other = np.ones(len(doc), bool)
+    other[head] = False
+    flat = np.column_stack([doc[other], starts[other]]).ravel()
+    offsets = pa.array(np.r_[0, np.cumsum(2 * (sizes - 1))].astype(np.int32), mask=np.r_[sizes == 1, False])
+    more = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.full(len(head), again)), pa.array(doc[head]), pa.array(starts[head]), more], names=["anchor", "again", "doc_id", "starts", "more"])
 
 
 def _runs(at: np.ndarray, *tells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,11 +153,12 @@ def _runs(at: np.ndarray, *tells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.r_[True, at[1:] != at[:-1] + 1][: len(at)]
     for x in tells:
         new[1:] |= x[at[1:]] != x[at[:-1]]
+    new |= np.arange(len(at)) % 0x8000 == 0  # a length fits 16 bits
     return at[new], np.diff(np.r_[np.flatnonzero(new), len(at)])
 
 
 def corpus_shard(data: np.ndarray, doc: np.ndarray, base: np.ndarray, size: np.ndarray, config: Config) -> Iterator[pa.RecordBatch]:
-    """What a shard of texts says, which stand one after the other in data, in ascending order of (doc, base), base being where a block of a longer text begins: the runs of starts that repeat within it (anchor null), and for each anchor of the others their runs."""
+    """What a shard of texts says, which stand one after the other in data, in ascending order of (doc, base), base being where a block of a longer text begins: the runs of starts that repeat within it, and for each anchor of the others their runs."""
     owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     begin = np.cumsum(size) - size
     is_start = np.arange(len(data)) - begin[owner] <= (size - config.length)[owner]
@@ -163,14 +169,15 @@ def corpus_shard(data: np.ndarray, doc: np.ndarray, base: np.ndarray, size: np.n
     begin_of, start_of = base[owner] - begin[owner], doc[owner]
     if again.any():
         lo, n = _runs(np.flatnonzero(again), owner)
-        yield _listed(pa.nulls(1, pa.int64()), np.array([len(lo)]), start_of[lo], begin_of[lo] + lo, n)
+        of = start_of[lo]
+        yield _listed(mix(of), True, np.ones(len(lo), np.int64), of, begin_of[lo] + lo, n)
     place, full = anchor_places(data, config)
     lo, n = _runs(np.flatnonzero(first), owner, place)
     anchor = full[place[lo]]
     order = np.argsort(anchor, kind="stable")
     anchor, lo, n = anchor[order], lo[order], n[order]
     head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    yield _listed(pa.array(anchor[head].view(np.int64)), np.diff(np.r_[head, len(anchor)]), start_of[lo], begin_of[lo] + lo, n)
+    yield _listed(anchor[head], False, np.diff(np.r_[head, len(anchor)]), start_of[lo], begin_of[lo] + lo, n)
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +204,14 @@ def corpus_shards(rows: DataFrame, config: Config) -> DataFrame:
                     part = data[lo : lo + config.block + config.length - 1]
                     yield from corpus_shard(part, doc, np.array([lo]), np.array([len(part)]), config)
 
-    return rows.mapInArrow(run, f"anchor long, runs array<{RUN}>")
+    return rows.mapInArrow(run, LISTED)
 
 
 # --- shards of what several have ------------------------------------------------------------
 
 
 def _segments(docs: DataFrame, config: Config) -> DataFrame:
-    """docs (doc_id, text, around) has a list of (lo, n, anchor, split). A row for each run of starts, with the bytes that its strings span."""
+    """docs (doc_id, text, around) has a list of (starts, anchor, split). A row for each run of starts, with the bytes that its strings span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -212,7 +219,8 @@ def _segments(docs: DataFrame, config: Config) -> DataFrame:
                 lists = b.column("around")
                 n = pc.list_value_length(lists).to_numpy()
                 around = lists.flatten()
-                lo, count = around.field("lo").to_numpy(), around.field("n").to_numpy()
+                starts = around.field("starts").to_numpy()
+                lo, count = starts >> 16, starts & 0xFFFF
                 doc = np.repeat(b.column("doc_id").to_numpy(), n)
                 ends = np.cumsum(n)
                 for i, text in enumerate(b.column("text")):
@@ -343,14 +351,18 @@ def merge_shards(found: DataFrame, config: Config) -> DataFrame:
 
 def repeats(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """rows (doc_id, text), an id for each, without nulls, with `found`: the runs (lo, n) of starts of repeated strings, or null."""
-    shards = materialise(corpus_shards(rows, config))
-    listed = shards.where(F.col("anchor").isNotNull())
-    several = listed.groupBy(F.col("anchor").alias("shared")).agg(F.count("*").alias("n_shards"), F.sum(F.size("runs")).alias("n_runs")).where("n_shards > 1")
-    run = listed.join(several, F.col("anchor") == F.col("shared")).select("anchor", "n_runs", F.inline("runs"))
+    of_anchor = Window.partitionBy("anchor", "again")  # a row a shard, however often the shard has it
+    n_runs = F.sum(F.coalesce(F.size("more") / 2, F.lit(0)).cast("long") + 1)
+    counted = corpus_shards(rows, config).withColumn("n_shards", F.count("*").over(of_anchor)).withColumn("n_runs", n_runs.over(of_anchor))
+    several = materialise(counted.where("again OR n_shards > 1").drop("n_shards"))
+    pair = lambda i: F.struct(F.get("more", 2 * i).alias("doc_id"), F.get("more", 2 * i + 1).alias("starts"))
+    others = several.where("NOT again AND more IS NOT NULL").select("anchor", "n_runs", F.inline(F.transform(F.sequence(F.lit(0), (F.size("more") / 2).cast("int") - 1), pair)))
+    run = several.where("NOT again").select("anchor", "n_runs", "doc_id", "starts").unionByName(others)
     split = F.when(F.col("n_runs") > config.hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_runs") / config.hot))).otherwise(-1).cast("int")
-    around = run.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "anchor", "split")).alias("around"))
+    around = run.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "anchor", "split")).alias("around"))
     segments = _segments(rows.join(around, "doc_id").select("doc_id", "text", "around"), config)
-    starts = merge_shards(merging_shards(segments, config), config).unionByName(shards.where(F.col("anchor").isNull()).select(F.inline("runs")))
+    within = several.where("again").select("doc_id", F.shiftright("starts", 16).alias("lo"), F.col("starts").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("n"))
+    starts = merge_shards(merging_shards(segments, config), config).unionByName(within)
     # The texts come from the exchange that the segments came from: it is one query, and the exchange is the same.
     return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "doc_id", "left")
 
