@@ -37,7 +37,7 @@ class Config:
     length: int = 100
     gram: int = 24
     hot: int = 1000
-    block: int = 1 << 20
+    block: int = 1 << 19
 
 
 # --- suffix arrays --------------------------------------------------------------------
@@ -274,7 +274,7 @@ def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np
 
 
 def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
-    """A partition is sorted in shards of about `block` bytes of whole anchors."""
+    """A partition is sorted in shards of about `block` bytes of whole anchors, or of whole parts of anchors that are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,9 +286,9 @@ def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
 
         for whole in batches:
             for b in slices(whole, "piece", most=config.block):
-                name = b.column("anchor").to_numpy()
-                cut = int(np.searchsorted(name, name[-1]))  # rows come sorted by anchor; its last may go on
-                if size > config.block and (cut or held[-1].column("anchor")[len(held[-1]) - 1].as_py() != name[0]):
+                name, split = b.column("anchor").to_numpy(), b.column("split").to_numpy()
+                cut = b.num_rows - int(((name == name[-1]) & (split == split[-1]))[::-1].argmin() or b.num_rows)  # rows come sorted; the last part of an anchor may go on
+                if size > config.block and (cut or [held[-1].column(c)[len(held[-1]) - 1].as_py() for c in ("anchor", "split")] != [name[0], split[0]]):
                     held.append(b.slice(0, cut))
                     yield done([h for h in held if h.num_rows])
                     held, size = [], 0
@@ -367,20 +367,25 @@ def repeats(rows: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "doc_id", "left")
 
 
-def _kept(raw: bytes, found: list | None, length: int) -> tuple[bytes, int, int]:
-    """The bytes left, the number removed, and the number of removed runs."""
-    if not found:
+def _kept(raw: bytes, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[bytes, int, int]:
+    """The bytes left without the runs of repeated starts, the number removed, and the number of removed runs of bytes."""
+    if not len(lo):
         return raw, 0, 0
-    kept, at, removed, runs, reach = [], 0, 0, 0, -1
-    for lo, hi in sorted((x["lo"], x["lo"] + x["n"] + length - 1) for x in found):
-        if lo > reach:
-            runs += 1
-            kept.append(raw[at:lo])
-        removed += max(0, hi - max(lo, reach))
-        reach = max(reach, hi)
-        at = reach
-    kept.append(raw[at:])
-    return b"".join(kept), removed, runs
+    order = np.argsort(lo)
+    lo, reach = lo[order], np.maximum.accumulate((lo + n)[order] + length - 1)
+    head = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]])
+    start, end = lo[head], reach[np.r_[head[1:] - 1, len(lo) - 1]]
+    cuts = [0, *np.column_stack([start, end]).ravel().tolist(), len(raw)]
+    return b"".join(raw[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)), int((end - start).sum()), len(head)
+
+
+def _rests(b: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, int, int, bool]]:
+    """For each row (text, found): what _kept gives, and whether anything was found."""
+    runs = b.column("found").flatten()
+    lo, n = runs.field("lo").to_numpy(), runs.field("n").to_numpy()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column("found")), 0).to_numpy()).tolist()
+    for text, i, j in zip(b.column("text"), [0, *ends[:-1]], ends, strict=True):
+        yield *_kept(text.as_buffer().to_pybytes(), lo[i:j], n[i:j], length), j > i
 
 
 def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -395,9 +400,8 @@ def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, most=2 << 20):
-                raws = [t.as_buffer().to_pybytes() for t in b.column("text")]
-                done = [_kept(r, f, config.length) for r, f in zip(raws, b.column("found").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(r) for r in raws], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                done = list(_rests(b, config.length))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(d[0]) + d[1] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = repeats(rows, config).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
@@ -418,8 +422,7 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, most=2 << 20):
-                found = b.column("found").to_pylist()
-                kept = [_kept(t.as_buffer().to_pybytes(), f, config.length)[0].decode(errors="ignore") if f else None for t, f in zip(b.column("text"), found, strict=True)]
+                kept = [left.decode(errors="ignore") if any_ else None for left, _, _, any_ in _rests(b, config.length)]
                 stays = pa.array([k is None or bool(k.strip()) for k in kept], pa.bool_())
                 text = pc.if_else(pa.array([k is None for k in kept], pa.bool_()), b.column("text"), pa.array(kept, pa.string()))
                 changed = pa.array([len(k) if k is not None else None for k in kept], pa.int64())

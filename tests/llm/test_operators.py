@@ -201,6 +201,38 @@ def test_suffix_dedup(spark, rows, clashing, config):  # noqa: ANN001
     assert got == removed_by_force(every, config.length)
 
 
+def test_merging_is_on_the_ordinary_path(spark, monkeypatch):  # noqa: ANN001
+    """A passage of more documents than a merging shard takes comes by the sorted lists that binary search merges."""
+    random.seed(18)
+    word = lambda n: " ".join(f"{random.randrange(10**6)}" for _ in range(n))
+    passage = word(40)
+    rows = [(i, f"{word(15)} {passage} {word(15)}") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    config = suffix_dedup.Config(hot=7)
+    merge, seen = suffix_dedup.merge_shards, []
+    monkeypatch.setattr(suffix_dedup, "merge_shards", lambda found, config: seen.append(found) or merge(found, config))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.deduplicate(table, config).collect()}
+    assert got == removed_by_force(rows, 100)
+    lists = seen[0].where("string IS NOT NULL").groupBy("shard").count().collect()
+    assert len(lists) > 1 and min(r["count"] for r in lists) >= 100
+
+
+def test_merged_lists():
+    random.seed(19)
+    for _ in range(50):
+        lists = []
+        for k in range(2):
+            strings = sorted({"".join(random.choices("ab", k=3)).encode() for _ in range(random.randint(1, 8))})
+            lists.append((np.array(strings, "S3"), np.array([random.randint(0, 3) for _ in strings]), np.array([100 * k + random.randint(0, 50) for _ in strings])))
+        places = {}
+        for strings, doc, lo in lists:
+            for s, d, at in zip(strings.tolist(), doc.tolist(), lo.tolist(), strict=True):
+                places.setdefault(s, []).append((d, at))
+        (strings, doc, lo), (of, at) = suffix_dedup.merged(*lists)
+        assert list(zip(strings.tolist(), doc.tolist(), lo.tolist(), strict=True)) == [(s, *min(p)) for s, p in sorted(places.items())]
+        assert sorted(zip(of.tolist(), at.tolist(), strict=True)) == sorted(max(p) for p in places.values() if len(p) > 1)
+
+
 def test_suffix_dedup_edges(spark, empty):  # noqa: ANN001
     assert suffix_dedup.deduplicate(empty).collect() == []
     odd = spark.createDataFrame([(None, "y" * 120), (None, "z"), (1, "y" * 120), (1, "y" * 120)], "doc_id long, text string")
