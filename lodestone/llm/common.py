@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a missing id where ids are joined; it sorts before all others.
@@ -20,8 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, so that neither an executor nor its Python workers hold more of long texts at a time.
+BATCH_BYTES = "2m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the size of Arrow batches for the session, where it is left at Spark's default."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that no other column can clash; a null text is empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -41,16 +52,16 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share, which the session must name: a local one would lose rows on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: it cuts lineage, survives lost executors, and the rows are computed once."""
+    bound_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,12 +71,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z alone. lower() would also touch other letters, so it serves only texts without them."""
-    upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, small))
-
-
 # --- vectorised hashing of byte ranges -------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, mix, texts
+from .common import bound_batches, materialise, mix, slices, texts
 
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -34,15 +35,14 @@ class Config:
     max_ngrams: int = 50_000
     slots_log2: int = 20
     hashes: int = 3
-    max_languages: int = 64
 
 
 @dataclass(frozen=True)
 class Filters:
-    """table: a bitmask of languages for each slot; by_chance: for each language the rate at which its filter admits an n-gram it doesn't hold."""
+    """tables: a bitmask of 64 languages for each slot, as many as it takes; by_chance: for each language the rate at which its filter admits an n-gram it doesn't hold."""
 
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     by_chance: np.ndarray
     config: Config
 
@@ -89,54 +89,59 @@ def _slots(key: np.ndarray, config: Config) -> Iterator[np.ndarray]:
 
 
 def fit(labelled: DataFrame, config: Config = Config()) -> Filters:
-    """Filters from rows of (text, lang), without null languages: at most about sample_docs rows of each, chosen by a hash of the text, and of these n-grams at most max_ngrams a language, the most frequent.
+    """Filters from rows of (text, lang), without null languages: at most about sample_docs distinct texts of each, chosen by their hash, and of these n-grams at most max_ngrams a language, the most frequent.
 
-    Only these counts (bounded by max_languages * max_ngrams) reach the driver. Without labelled rows there is no language, and every prediction is und.
+    Only these n-grams, and their counts for each language that has them, reach the driver. Every language counts, in
+    masks of 64. Without labelled rows there is no language, and every prediction is und.
     """
-    rows = labelled.where(F.col("lang").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(config.max_languages).collect()}
+    bound_batches(labelled.sparkSession)
+    rows = labelled.where(F.col("lang").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("of_text", F.xxhash64("text"))
+    # Texts are told apart by their hash, so that a large group of copies counts once.
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "of_text").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
+    tables = [np.zeros(1 << config.slots_log2, np.uint64) for _ in range(0, len(languages), 64)]
     if not languages:
-        return Filters([], np.zeros(1 << config.slots_log2, np.uint64), np.zeros(0), config)
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, config.sample_docs / sizes[k])))])
-    unit = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1))) / F.lit(float(1 << 30))
-    sample = rows.where(F.col("lang").isin(languages)).where(unit < F.element_at(share, F.col("lang")))
+        return Filters([], tables, np.zeros(0), config)
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, config.sample_docs / sizes[k])) for k in languages], "of_lang string, share double")
+    unit = F.col("of_text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("of_lang")).where(unit < F.col("share"))  # a row a language
+    sample = chosen.groupBy("lang", "of_text").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs = np.array(b.column("lang").to_pylist(), object)
-            docs = b.column("text").to_pylist()
-            for lang in sorted(set(langs)):
-                own = [docs[i] for i in np.flatnonzero(langs == lang)]
-                key, n = np.unique(ngrams(own, config.n)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    wide = materialise(counts.groupBy("gram").pivot("lang", languages).agg(F.sum("n")).fillna(0))
-    total = wide.agg(*[F.sum(f"`{k}`").alias(k) for k in languages]).first().asDict()
-    rate = [F.col(f"`{k}`") / F.lit(float(total[k] or 1)) for k in languages]
-    best = F.greatest(*rate, F.lit(0.0))
-    table = np.zeros(1 << config.slots_log2, np.uint64)
+        for whole in batches:
+            for b in slices(whole, most=1 << 20):
+                langs = np.array(b.column("lang").to_pylist(), object)
+                docs = b.column("text").to_pylist()
+                for lang in sorted(set(langs)):
+                    own = [docs[i] for i in np.flatnonzero(langs == lang)]
+                    key, n = np.unique(ngrams(own, config.n)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+    counts = materialise(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    best = rate.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
+    own = best.where((F.col("n") >= config.min_count) & (F.col("rate") >= config.min_share * F.col("best")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    held = own.withColumn("place", first).where(F.col("place") <= config.max_ngrams).select("lang", "gram").toArrow()
+    langs, grams = held["lang"].to_numpy(), held["gram"].to_numpy().view(np.uint64)
     fill = np.zeros(len(languages))
     for i, k in enumerate(languages):
-        own = wide.where((F.col(f"`{k}`") >= config.min_count) & (rate[i] >= config.min_share * best)).orderBy(F.desc(f"`{k}`"), "gram").limit(config.max_ngrams)
-        key = np.array([r["gram"] for r in own.select("gram").collect()], np.int64).view(np.uint64)
-        for s in _slots(key, config):
-            table[s] |= np.uint64(1 << i)
-        fill[i] = float(np.mean((table >> np.uint64(i)) & np.uint64(1)))
-    return Filters(languages, table, fill**config.hashes, config)
+        table, bit = tables[i // 64], np.uint64(i % 64)
+        for s in _slots(grams[langs == k], config):
+            table[s] |= np.uint64(1) << bit
+        fill[i] = float(np.mean((table >> bit) & np.uint64(1)))
+    return Filters(languages, tables, fill**config.hashes, config)
 
 
 def predict_batch(docs: list[str], filters: Filters) -> tuple[list[str], np.ndarray]:
     """The language of each text, and its score: the corrected share of the text's n-grams that the language holds."""
     key, owner = ngrams(docs, filters.config.n)
-    mask = np.full(len(key), np.uint64((1 << 64) - 1))
-    for s in _slots(key, filters.config):
-        mask &= filters.table[s]
+    slots = list(_slots(key, filters.config))
+    masks = [np.bitwise_and.reduce([table[s] for s in slots]) for table in filters.tables]
     total = np.bincount(owner, minlength=len(docs)).astype(float)
     held = np.zeros((len(filters.languages), len(docs)))
     for i in range(len(filters.languages)):
-        held[i] = np.bincount(owner[(mask >> np.uint64(i)) & np.uint64(1) != 0], minlength=len(docs))
+        held[i] = np.bincount(owner[(masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1) != 0], minlength=len(docs))
     chance = filters.by_chance[:, None]
     share = np.clip((held / np.maximum(total, 1) - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
     if not len(filters.languages):
@@ -145,46 +150,36 @@ def predict_batch(docs: list[str], filters: Filters) -> tuple[list[str], np.ndar
     return [filters.languages[b] if t and any(map(str.isalpha, d)) else UNKNOWN for b, t, d in zip(best.tolist(), total, docs, strict=True)], np.where(total > 0, share[best, np.arange(len(docs))], 0.0)
 
 
-def _blocks(docs: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
-    block, n = [], 0
-    for d in docs:
-        block.append(d)
-        n += len(d)
-        if n >= chars:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+def _predicted(b: pa.RecordBatch, filters: Filters) -> tuple[list[str], np.ndarray]:
+    return predict_batch(pc.fill_null(b.column("text"), "").to_pylist(), filters)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """lang_pred and score of every row's whole text: und and 0 where it is null or has no letter. Nothing but the text is looked at; rows that repeat get the same."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot, whatever the input
+    """lang_pred and score of every row's whole text: und and 0 where it is null or has no letter.
+
+    Nothing but the text is looked at; rows that repeat get the same. Of languages with equal scores the first in
+    alphabetical order is taken. Texts are worked on in slices of about a megabyte, a longer one by itself.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot and 64 languages, whatever the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = [], []
-            for block in _blocks(b.column("text").to_pylist()):
-                x, y = predict_batch(block, shared.value)
-                langs += x
-                scores += y.tolist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for whole in batches:
+            for b in slices(whole, most=1 << 20):
+                langs, scores = _predicted(b, shared.value)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return texts(docs).mapInArrow(run, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.1) -> DataFrame:
     """The rows of docs, all columns as they are, whose language is known with a score of at least `least`."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores = [], []
-            for block in _blocks([t or "" for t in b.column("text").to_pylist()]):
-                x, y = predict_batch(block, shared.value)
-                langs += x
-                scores += y.tolist()
-            keep = pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_())
-            yield b.filter(keep)
+        for whole in batches:
+            for b in slices(whole, most=1 << 20):
+                langs, scores = _predicted(b, shared.value)
+                yield b.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(flag, T.StructType(docs.schema.fields))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, POWERS, ROW, ids_name_rows, materialise, mix, numbered, range_hashes, slices
+from .common import NO_ID, POWERS, ROW, bound_batches, ids_name_rows, materialise, mix, numbered, range_hashes, slices
 
 
 @dataclass(frozen=True)
@@ -351,6 +351,7 @@ def merge_shards(found: DataFrame, config: Config) -> DataFrame:
 
 def repeats(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """rows (doc_id, text), an id for each, without nulls, with `found`: the runs (lo, n) of starts of repeated strings, or null."""
+    bound_batches(rows.sparkSession)
     of_anchor = Window.partitionBy("anchor", "again")  # a row a shard, however often the shard has it
     n_runs = F.sum(F.coalesce(F.size("more") / 2, F.lit(0)).cast("long") + 1)
     counted = corpus_shards(rows, config).withColumn("n_shards", F.count("*").over(of_anchor)).withColumn("n_runs", n_runs.over(of_anchor))

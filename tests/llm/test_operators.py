@@ -167,11 +167,43 @@ def test_language(spark, docs, empty):  # noqa: ANN001
 
 
 def test_language_masks():
-    filters = language_id.Filters(["a", "b"], np.zeros(1 << 20, np.uint64), np.zeros(2), language_id.Config())
-    key, _ = language_id.ngrams(["abc"], 3)
-    for s in language_id._slots(key[:2], filters.config):
-        filters.table[s] |= np.uint64(2)
-    assert language_id.predict_batch(["abc"], filters)[0] == ["b"]
+    """Masks, popcounts and correction against sets of n-grams and plain counting, with languages in two mask words."""
+    random.seed(7)
+    config = language_id.Config(slots_log2=14)
+    words = ["".join(random.choices("abcdefgh", k=4)) for _ in range(300)]
+    names = [f"l{k:02d}" for k in range(70)]
+    held = {k: set(language_id.ngrams([" ".join(random.sample(words, 40))], 3)[0].tolist()) for k in names}
+    tables, fill = [np.zeros(1 << 14, np.uint64) for _ in range(2)], []
+    for i, k in enumerate(names):
+        for s in language_id._slots(np.array(sorted(held[k]), np.uint64), config):
+            tables[i // 64][s] |= np.uint64(1 << i % 64)
+        fill.append(np.mean((tables[i // 64] >> np.uint64(i % 64)) & np.uint64(1)))
+    filters = language_id.Filters(names, tables, np.array(fill) ** 3, config)
+    docs = [" ".join(random.choices(words, k=30)) for _ in range(20)]
+    langs, scores = language_id.predict_batch(docs, filters)
+    for doc, lang, score in zip(docs, langs, scores, strict=True):
+        grams = language_id.ngrams([doc], 3)[0].tolist()
+        by_slot = {g: [int(s[0]) for s in language_id._slots(np.array([g], np.uint64), config)] for g in set(grams)}
+        shares = []
+        for i, k in enumerate(names):
+            n = sum(all(int(tables[i // 64][s]) >> i % 64 & 1 for s in by_slot[g]) for g in grams)
+            assert n >= sum(g in held[k] for g in grams)
+            shares.append(min(1, max(0, (n / len(grams) - fill[i] ** 3) / (1 - fill[i] ** 3))))
+        assert (lang, score) == (names[shares.index(max(shares))], pytest.approx(max(shares)))
+
+
+def test_no_language_is_left_out(spark):  # noqa: ANN001
+    """Seventy languages, of which one has a group of copies, in columns of names that are used inside."""
+    random.seed(8)
+    rows = [(100 * k + i, " ".join(chr(0x4E00 + 20 * k + random.randrange(8)) * 3 for _ in range(12)), f"l{k:02d}") for k in range(70) for i in range(6)]
+    rows += [(100_000 + i, rows[0][1], "l00") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("of_text", "of_lang", "share", "gram", "n", "rate", "best", "place")})
+    filters = language_id.fit(table, language_id.Config(min_count=1))
+    assert len(filters.languages) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(table, filters).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    kept = language_id.keep_identified(table, filters)
+    assert kept.columns == table.columns and kept.count() == len(rows)
 
 
 # --- 5 ------------------------------------------------------------------------------
