@@ -407,7 +407,7 @@ def components_by_force(rows, config):  # noqa: ANN001, ANN201
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("config", [jaccard_join.Config(), jaccard_join.Config(width=5, num=80), jaccard_join.Config(width=1, num=60, sample=1), jaccard_join.Config(width=2, num=100)])
+@pytest.mark.parametrize("config", [jaccard_join.Config(), jaccard_join.Config(width=5, num=80), jaccard_join.Config(width=1, num=60, sample=1), jaccard_join.Config(width=2, num=100), *(jaccard_join.Config(light=n, num=80) for n in (0, 12, 30))])
 def test_jaccard_join(spark, rows, clashing, config):  # noqa: ANN001
     random.seed(12)
     base = [f"w{k}" for k in range(60)]
@@ -423,15 +423,32 @@ def test_jaccard_join(spark, rows, clashing, config):  # noqa: ANN001
     assert got == components_by_force([(r[0], r[1]) for r in rows] + extra, config)
 
 
+def test_boundary_follows_the_data(spark):  # noqa: ANN001
+    """Small sets with long lists are enumerated, and the same sets with lists of their own are listed."""
+    random.seed(17)
+    config = jaccard_join.Config(width=1, num=80, sample=1)
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    crowded = [(i, " ".join([*(f"w{k}" for k in range(9)), f"e{i}"])) for i in range(400)]
+    apart = [(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(400)]
+    light = {}
+    for name, rows in (("crowded", crowded), ("apart", apart)):
+        costs = jaccard_join.list_costs(spark.createDataFrame(rows, "doc_id long, text string"), config, none)
+        assert costs[10][0] == 400
+        light[name] = config.boundary(costs)
+    assert light["apart"] < 10 <= light["crowded"]
+    table = spark.createDataFrame(crowded[:60], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(table, config).collect()} == components_by_force(crowded[:60], config)
+
+
 def test_jaccard_lists_of_two(spark):  # noqa: ANN001
     """A middle set listed with each of its neighbours in a list of two: the first round takes one center for it, the second must take the other."""
     random.seed(14)
-    rows, config = [], jaccard_join.Config()
+    rows, config = [], jaccard_join.Config(light=9)
     none = np.zeros(0, np.uint64)
     while len(rows) < 30:
         w = [f"v{random.randrange(10**9)}" for _ in range(14)]
         whole, first, last = jaccard_join.shingle_sets([" ".join(w), " ".join(w[:3]), " ".join(w[-3:])], 3)
-        if set(jaccard_join.keys_of(whole, config, config.boundary(), none, none).tolist()) == {int(first[0]), int(last[0])}:
+        if set(jaccard_join.keys_of(whole, config, 9, none, none).tolist()) == {int(first[0]), int(last[0])}:
             rows += [(len(rows), " ".join(w[:-1])), (len(rows) + 1, " ".join(w[1:])), (len(rows) + 2, " ".join(w))]
     for _ in range(40):  # chains of near copies
         w = [f"c{random.randrange(10**9)}" for _ in range(random.randint(10, 40))]
