@@ -15,23 +15,21 @@ from .common import NO_ID, materialise, texts
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def with_sketch(rows: DataFrame, text: str, name: str, width: int = 5, scale: int = 10) -> DataFrame:
-    """Adds the sketch of a text column: the sorted distinct hashes of its shingles below 1/scale of all.
+def with_sketch(rows: DataFrame, text: str, name: str, width: int = 5, scale: int = 5) -> DataFrame:
+    """Adds the sketch of a text column: the sorted distinct hashes of its shingles below 1/scale of all, whatever its length.
 
-    A text of fewer words is one shingle; if no hash lies below, the smallest is kept; without words the sketch is empty.
+    A text of fewer words is one shingle. A sketch of which no hash lies below, or of a text without words, is empty.
     """
     words, hashes = f"{name}_words", f"{name}_hashes"
     below = -(1 << 63) + (1 << 64) // scale
     rows = rows.withColumn(words, F.array_remove(F.split(text, SPACES), ""))
     shingle = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, width)]))
     rows = rows.withColumn(hashes, F.slice(shingle, F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))))
-    kept = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(below))))
-    least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn(name, F.when(F.exists(hashes, lambda h: h < F.lit(below)), kept).otherwise(least)).drop(words, hashes)
+    return rows.withColumn(name, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(below))))).drop(words, hashes)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller sketch that the other holds; 1 for two empty ones."""
+    """The share of the smaller sketch that the other holds; 1 for two empty ones, 0 where one alone is empty."""
     smaller = F.least(F.size(a), F.size(b))
     return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -52,7 +50,7 @@ def successors(ids: DataFrame) -> DataFrame:
     return led.join(F.broadcast(everywhere)).select("doc_id", "key", "n_chars", F.coalesce("next", after["first"]).alias("next"))
 
 
-def fingerprint(docs: DataFrame, width: int = 5, scale: int = 10) -> DataFrame:
+def fingerprint(docs: DataFrame, width: int = 5, scale: int = 5) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row's whole text.
 
     Edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialise, mix, slices, texts
+from .common import bound_batches, materialise, mix, slices, texts, tidy
 
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, config: Config = Config()) -> Filters:
                     key, n = np.unique(ngrams(own, config.n)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counts = materialise(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = materialise(sample.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     best = rate.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
     own = best.where((F.col("n") >= config.min_count) & (F.col("rate") >= config.min_share * F.col("best")))
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 langs, scores = _predicted(b, shared.value)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.1) -> DataFrame:
@@ -182,4 +182,4 @@ def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.1) -> Da
                 langs, scores = _predicted(b, shared.value)
                 yield b.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(flag, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(tidy(flag), T.StructType(docs.schema.fields))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, texts, word_hashes
+from .common import materialise, mix, slices, texts, tidy, word_hashes
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame, config: Config) -> DataFrame:
                 word, first, n = np.unique(words, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(class_of(ending[first], config)), pa.array(n, pa.int64())], names=["word", "class", "n"])
 
-    return docs.mapInArrow(run, "word long, class long, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "word long, class long, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
 
 
 def summarise(counts: DataFrame, docs: int, config: Config) -> Counts:
@@ -254,7 +254,7 @@ def train_round(training: DataFrame, n_groups: int, state: np.ndarray, known: Co
 
     schema = "piece int, tokens long, total binary"
     dealt = training.withColumn("group", F.pmod(F.shiftright("key", 3), F.lit(n_groups))).repartition("group").sortWithinPartitions("group", "key", "text")
-    rows = dealt.select("group", "text").mapInArrow(run, schema).repartition("piece").mapInArrow(add, schema).collect()
+    rows = dealt.select("group", "text").mapInArrow(tidy(run), schema).repartition("piece").mapInArrow(tidy(add), schema).collect()
     if not rows:
         return state, 0
     total = np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(rows, key=lambda r: r["piece"])])
@@ -335,7 +335,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
                     names=["doc_id", "copy", "word", "times", "n_tokens", "n_known", "base", "score"],
                 )
 
-    parts = materialise(rows.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(run, PARTS))
+    parts = materialise(rows.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(tidy(run), PARTS))
     of_word = counts.select(F.col("word").alias("of"), F.col("n"))
     rare = parts.where(F.col("word").isNotNull()).join(of_word, F.col("word") == F.col("of"), "left")
     seen = rare.select("copy", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"))

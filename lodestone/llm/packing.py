@@ -2,7 +2,7 @@
 
 A fixed number of bins is open. Each stands in a bitset under its free space, so that the tightest bin that still
 holds a piece is the lowest set bit from the piece's length on. When a piece fits nowhere and all bins are open, the
-fullest closes and a new one opens. The pieces of a group come longest first. Groups are dealt by a hash of doc_id,
+fullest closes and a new one opens. The pieces of a group come longest first. Groups are dealt by a hash of the piece,
 so a sequence never waits for another task; what a group leaves underfull at its end is a fixed number of bins.
 """
 
@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import distinct_words, materialise, slices, spread, texts
+from .common import distinct_words, materialise, slices, spread, texts, tidy
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
 class WordTokens:
-    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a worker."""
+    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a task."""
 
-    def __init__(self, path: str, kept: int = 400_000) -> None:
+    def __init__(self, path: str, kept: int = 200_000) -> None:
         self.lib, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[str, bytes] = {}
 
@@ -75,6 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes()
+        own.known.clear()
         for whole in batches:
             for b in slices(whole):
                 ids, counts = own.encode(b.column("text"))
@@ -88,7 +89,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(run, PIECES)
+        own.known.clear()  # a worker that waits for its next task holds no words
+
+    return texts(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(tidy(run), PIECES)
 
 
 def best_fit(lengths: list[int], size: int, n_open: int) -> tuple[list[int], list[int]]:
@@ -132,7 +135,7 @@ def pack(cut: DataFrame, size: int = 2048, n_open: int = 1024, group_rows: int =
         where, offset = best_fit(group["length"].tolist(), size, n_open)
         return group.assign(sequence_id=group["bucket"].iloc[0] * (1 << 32) + np.array(where, "int64"), offset=offset).drop(columns="bucket")
 
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(n_groups)))
     return dealt.groupBy("bucket").applyInPandas(place, PLACED)
 
 

@@ -5,8 +5,8 @@ first among equals. The best pair merges, its two neighbouring pairs are looked
 (split before each word mark) never share a piece, so the agenda runs over all new words of an Arrow batch at once,
 as a matrix with one word a row, and each word is worked out once a worker.
 
-Every new word is also encoded by the sentencepiece library. Where the two differ, the library's ids count, and the
-word is counted in n_corrected (none in any test).
+Every new word is also encoded by the sentencepiece library; words on which the two differ are counted in n_differing
+(none in any test). The ids are the agenda's.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import slices, texts, tidy
 
 MARK = "▁"
 LONG_WORD = 64
-SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string, n_corrected long"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long"
+SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string, n_differing long"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long"
 
 
 class Codec:
@@ -69,7 +69,7 @@ class Codec:
         self.pairs = pairs
         self.cache_chars, self.cached = cache_chars, 0
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.corrected = 0
+        self.differing = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the piece that each pair forms, -1 where none."""
@@ -153,9 +153,7 @@ class Codec:
                 marked = [MARK + w for w in part]
                 own = self.agenda(marked) if length < LONG_WORD else map(self.heap_agenda, marked)
                 for w, ids, check in zip(part, own, self.library(part), strict=True):
-                    if ids != check:
-                        self.corrected += 1
-                        ids = check
+                    self.differing += ids != check
                     self.cache[w] = tuple([self.ints[i] for i in ids])
 
     def library(self, words: list[str]) -> list[list[int]]:
@@ -201,44 +199,44 @@ def codec(model: str) -> Codec:
     return _CODECS[model]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        yield from slices(b, most=4 << 20)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """Ids and decoded text of every row's whole text.
 
     A null text is empty: no ids, an empty decoded text. Rows that repeat are encoded each; other columns don't matter.
+    Texts are worked on in slices of about four megabytes, a longer one by itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for b in _batches(batches):
-            before = own.corrected
+            before = own.differing
             ids = list(own.encode(b.column("text").to_pylist()))
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([own.lib.decode(i) if i else "" for i in ids], pa.string()), pa.array([own.corrected - before] + [0] * (n - 1) if n else [], pa.int64())],
-                names=["doc_id", "n_tokens", "ids", "decoded", "n_corrected"],
+                [b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([own.lib.decode(i) if i else "" for i in ids], pa.string()), pa.array([own.differing - before] + [0] * (n - 1) if n else [], pa.int64())],
+                names=["doc_id", "n_tokens", "ids", "decoded", "n_differing"],
             )
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
-    """The same, with SHA-256 of the decimal ids joined by commas and of the decoded text in place of both; n_corrected stands at the first row of each batch."""
+    """The same, with SHA-256 of the decimal ids joined by commas and of the decoded text in place of both; n_differing stands at the first row of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for b in _batches(batches):
-            before, rows = own.corrected, []
+            before, rows = own.differing, []
             for ids in own.encode(b.column("text").to_pylist()):
                 decoded = own.lib.decode(ids) if ids else ""
                 rows.append((len(ids), hashlib.sha256(own.in_decimals(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
-            fixed = [own.corrected - before] + [0] * (len(rows) - 1) if rows else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(fixed, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"])
+            fixed = [own.differing - before] + [0] * (len(rows) - 1) if rows else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(fixed, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_differing"])
 
-    return texts(docs).mapInArrow(run, DIGESTS)
+    return texts(docs).mapInArrow(tidy(run), DIGESTS)

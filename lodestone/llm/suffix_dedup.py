@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, POWERS, ROW, bound_batches, ids_name_rows, materialise, mix, numbered, range_hashes, slices
+from .common import NO_ID, POWERS, ROW, bound_batches, ids_name_rows, materialise, mix, numbered, range_hashes, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Config:
     length: int = 100
     gram: int = 24
     hot: int = 1000
-    block: int = 1 << 19
+    block: int = 1 << 18
 
 
 # --- suffix arrays --------------------------------------------------------------------
@@ -204,7 +204,7 @@ def corpus_shards(rows: DataFrame, config: Config) -> DataFrame:
                     part = data[lo : lo + config.block + config.length - 1]
                     yield from corpus_shard(part, doc, np.array([lo]), np.array([len(part)]), config)
 
-    return rows.mapInArrow(run, LISTED)
+    return rows.mapInArrow(tidy(run), LISTED)
 
 
 # --- shards of what several have ------------------------------------------------------------
@@ -233,7 +233,7 @@ def _segments(docs: DataFrame, config: Config) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(list(held), names=["anchor", "split", "doc_id", "lo", "piece"])
                         at = to
 
-    return docs.mapInArrow(run, "anchor long, split int, doc_id long, lo long, piece binary")
+    return docs.mapInArrow(tidy(run), "anchor long, split int, doc_id long, lo long, piece binary")
 
 
 def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np.ndarray, piece: pa.Array, config: Config) -> pa.RecordBatch:
@@ -299,7 +299,7 @@ def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
             yield done(held)
 
     dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor", "split")
-    return dealt.mapInArrow(run, "doc_id long, lo long, n long, shard int, string binary")
+    return dealt.mapInArrow(tidy(run), "doc_id long, lo long, n long, shard int, string binary")
 
 
 # --- merging sorted shards --------------------------------------------------------------------
@@ -343,7 +343,7 @@ def merge_shards(found: DataFrame, config: Config) -> DataFrame:
             lists = [m for m, _ in pairs] + lists[len(lists) // 2 * 2 :]
 
     dealt = found.repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string"))).sortWithinPartitions("shard", "string")
-    return dealt.mapInArrow(run, "doc_id long, lo long, n long")
+    return dealt.mapInArrow(tidy(run), "doc_id long, lo long, n long")
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -404,7 +404,7 @@ def deduplicate(docs: DataFrame, config: Config = Config()) -> DataFrame:
                 done = list(_rests(b, config.length))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(d[0]) + d[1] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[0] for d in done], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = repeats(rows, config).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = repeats(rows, config).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -429,7 +429,7 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
                 changed = pa.array([len(k) if k is not None else None for k in kept], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, changed], names=["_lodestone_key", "_lodestone_text", "_lodestone_chars"]).filter(stays)
 
-    left = repeats(rows, config).mapInArrow(run, "_lodestone_key long, _lodestone_text string, _lodestone_chars long")
+    left = repeats(rows, config).mapInArrow(tidy(run), "_lodestone_key long, _lodestone_text string, _lodestone_chars long")
     # A null text of which nothing was removed stays null.
     no_text = docs.withColumn("_lodestone_null", F.col("text").isNull()).drop("text").withColumn("_lodestone_id", key)
     of = {

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 BLOCK = 128
 CONTEXT = 3  # pre-tokens before an edit that are cut anew
@@ -219,4 +219,4 @@ def count(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 cols = np.array(out, np.int64).reshape(-1, 6).T
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols)], names=["doc_id", "n_chars", "n_tokens", "n_edits", "edited_n_chars", "edited_n_tokens", "n_reencoded"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidy(run), SCHEMA)
