@@ -416,25 +416,25 @@ def remove_repeats(docs: DataFrame, config: Config = Config()) -> DataFrame:
     order of the rows, each of which is a document of its own.
     """
     known = ids_name_rows(docs)
+    columns = docs.columns
+    schema = docs.select(*columns).schema
     docs = docs if known else numbered(docs)
     key = F.coalesce(F.col("doc_id" if known else ROW).cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # The other columns go by the id alone and meet the text where the found runs have met it.
+    other = docs.select(key.alias("own_id"), F.col("text").isNull().alias("no_text"), *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns) if c != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, most=2 << 20):
                 kept = [left.decode(errors="ignore") if any_ else None for left, _, _, any_ in _rests(b, config.length)]
+                same = pa.array([k is None for k in kept], pa.bool_())
+                old = pc.if_else(b.column("no_text"), pa.nulls(len(kept), pa.string()), b.column("text"))
+                cols = {c: b.column(f"own_{i}") for i, c in enumerate(columns) if c != "text"}
+                cols["text"] = pc.if_else(same, old, pa.array(kept, pa.string()))
+                if "n_chars" in cols:
+                    cols["n_chars"] = pc.if_else(same, cols["n_chars"], pa.array([None if k is None else len(k) for k in kept], cols["n_chars"].type))
                 stays = pa.array([k is None or bool(k.strip()) for k in kept], pa.bool_())
-                text = pc.if_else(pa.array([k is None for k in kept], pa.bool_()), b.column("text"), pa.array(kept, pa.string()))
-                changed = pa.array([len(k) if k is not None else None for k in kept], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, changed], names=["_lodestone_key", "_lodestone_text", "_lodestone_chars"]).filter(stays)
-
-    left = repeats(rows, config).mapInArrow(tidy(run), "_lodestone_key long, _lodestone_text string, _lodestone_chars long")
-    # A null text of which nothing was removed stays null.
-    no_text = docs.withColumn("_lodestone_null", F.col("text").isNull()).drop("text").withColumn("_lodestone_id", key)
-    of = {
-        "text": F.when(~F.col("_lodestone_null"), F.col("_lodestone_text")).cast(docs.schema["text"].dataType),
-        "n_chars": F.coalesce("_lodestone_chars", F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None,
-    }
-    columns = [of[c].alias(c) if of.get(c) is not None else F.col(f"`{c}`") for c in docs.columns if c != ROW]
-    return no_text.join(left, F.col("_lodestone_id") == F.col("_lodestone_key")).select(*columns)
+                yield pa.RecordBatch.from_arrays([cols[c] for c in columns], names=columns).filter(stays)
+
+    return repeats(rows, config).join(other, F.col("doc_id") == F.col("own_id")).drop("doc_id", "own_id").mapInArrow(tidy(run), schema)
