@@ -60,10 +60,16 @@ def join_numbers(c: Column) -> Column:
     return c
 
 
+#: The words that begin a heading, and its mark.
+MARKS = [("KAPITEL", "#"), ("ABSCHNITT", "##"), ("Artikel", "###")]
+
+
 def preprocess(c: Column) -> Column:
-    """A regulation's text as Markdown: blank lines go, headings get their marks and titles, enumerators their text."""
-    lines = F.transform(F.split(py_strip(F.array_join(nonblank_lines(c), "\n")), "\n"), heading)
-    return join_numbers(join_titles(F.array_join(lines, "\n")))
+    """A regulation's text as Markdown: blank lines go, headings get their marks and titles, enumerators their text. Each step is one expression over the whole text."""
+    lines = py_strip(F.regexp_replace(F.regexp_replace(c, LINE_END, "\n"), rf"\n[{PY_SPACE}]*\n", "\n"))
+    for word, mark in MARKS:
+        lines = F.regexp_replace(lines, rf"(?dm)^{word}", f"{mark} {word}")
+    return join_numbers(join_titles(lines))
 
 
 def base64(c: Column) -> Column:
@@ -81,8 +87,8 @@ def or_else(c: Column, other: Column) -> Column:
 
 
 def rule_before_titles(c: Column) -> Column:
-    """A rule before each line that begins with a source's title."""
-    lines = F.transform(F.split(c, "\n"), lambda x: F.when(F.startswith(js_trim(x), F.lit("Titel:")), F.concat(F.lit("<hr>\n"), x)).otherwise(x))
+    """A rule right before each line that begins with a source's title."""
+    lines = F.transform(F.split(c, "\n"), lambda x: F.when(F.startswith(js_trim(x), F.lit("Titel:")), F.concat(F.lit("<hr>"), x)).otherwise(x))
     return F.array_join(lines, "\n")
 
 
@@ -107,3 +113,27 @@ def fill_template(template: str, context: Column, query: Column) -> Column:
 def embedding_text(c: Column, role: str, model: str) -> Column:
     """What is embedded: with its role in front for the models that were trained so. role: query or passage."""
     return F.concat(F.lit(f"{role}: "), c) if "multilingual-e5" in model else c
+
+
+def hover(title: Column, length: Column, content: Column, most: int = 3000) -> Column:
+    """What a node of the graph shows."""
+    return F.concat(F.lit("Title: "), title, F.lit(" | Content Length: "), length.cast("string"), F.lit(" | "), F.left(F.coalesce(content, F.lit("No content available")), F.lit(most)), F.lit("..."))
+
+
+def mail_link(to: str, subject: Column, body: Column) -> Column:
+    """A mailto link; a blank is %20 there, not +."""
+    # Beyond letters and digits, these stand as they are: - _ . ! ~ * ' ( )
+    plain = {"+": "%20", "%21": "!", "%7E": "~", "%27": "'", "%28": "(", "%29": ")"}
+
+    def encoded(c: Column) -> Column:
+        c = F.url_encode(c)
+        for k, v in plain.items():
+            c = F.replace(c, F.lit(k), F.lit(v))
+        return c
+
+    return F.concat(F.lit(f"mailto:{to}?subject="), encoded(subject), F.lit("&body="), encoded(body))
+
+
+def root_of(path: Column, at: str = "src") -> Column:
+    """What stands in a path before the first place of a folder's name."""
+    return F.split_part(path, F.lit(at), F.lit(1))

@@ -37,7 +37,7 @@ def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataF
     """ALIGNED rows: each chunk's lines (chunk_idx, lines array of normalised lines) against the reference (line_no, de, en) in ascending order.
 
     A line takes the first reference line that begins with it, and following lines while the text joined stays a
-    beginning. Lines come with their candidates by a join on their beginnings, so the fold over one chunk sees only
+    beginning; the entry holds the whole reference line in both languages. Lines come with their candidates by a join on their beginnings, so the fold over one chunk sees only
     those. compat: a blank line between lines taken doesn't count among them, so that the last of them comes again.
     """
     lines = chunks.select("chunk_idx", F.posexplode("lines").alias("at", "line"))
@@ -63,7 +63,7 @@ def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataF
                                     break
                                 whole, taken, upto = f"{whole} {items[k]['line']}", taken + 1, k + 1
                             k += 1
-                        out.append((idx, seq, whole, en, True))
+                        out.append((idx, seq, de, en, True))
                         seq += 1
                     elif line:
                         out.append((idx, seq, line, "", False))
@@ -74,10 +74,31 @@ def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataF
     return per_chunk.mapInPandas(fold, ALIGNED)
 
 
-def consolidate(aligned: DataFrame) -> DataFrame:
-    """(chunk_idx, content, original_content): the lines of each chunk in order; a chunk without any isn't there."""
+ATTRIBUTES = {"id": "string", "title": "string", "relevantChunksIds": "array<string>", "keywords": "array<string>"}
+NONE_YET = ("availableKeywords", "negativeKeywords", "parameters")
+
+
+def consolidate(aligned: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(chunk_idx, content, original_content): the lines of each chunk in order; a chunk without any isn't there.
+
+    With chunks (chunk_idx and any of ATTRIBUTES), their attributes as well, and empty lists of those that are none yet.
+    """
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]), "\n").alias(c)
-    return aligned.groupBy("chunk_idx").agg(joined("content"), joined("original_content"))
+    whole = aligned.groupBy("chunk_idx").agg(joined("content"), joined("original_content"))
+    if chunks is None:
+        return whole
+    none = F.array().cast("array<string>")
+    default = {"title": F.lit("N/A"), "relevantChunksIds": none, "keywords": none}
+    own = {k: F.coalesce(F.col(k), default[k]) if k in default else F.col(k) for k in ATTRIBUTES if k in chunks.columns}
+    named = {k: own.get(k, default.get(k, F.lit(None).cast(t))) for k, t in ATTRIBUTES.items()}
+    attributes = chunks.select(F.col("chunk_idx").alias("of_idx"), *[v.alias(k) for k, v in named.items()])
+    return whole.join(attributes, F.col("chunk_idx") == F.col("of_idx")).select("chunk_idx", *ATTRIBUTES, *[none.alias(k) for k in NONE_YET], "content", "original_content")
+
+
+def counts(chunks: DataFrame, aligned: DataFrame) -> DataFrame:
+    """One row: how many chunks there are and were consolidated, how many entries, and how many of these are unmatched."""
+    of = aligned.agg(F.countDistinct("chunk_idx").alias("n_consolidated"), F.count("*").alias("n_entries"), F.count_if(~F.col("matched")).alias("n_unmatched"))
+    return chunks.agg(F.count("*").alias("n_chunks")).join(of)
 
 
 def unmatched(aligned: DataFrame) -> DataFrame:

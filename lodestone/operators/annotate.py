@@ -44,7 +44,7 @@ def create_chunk(items: DataFrame, selections: DataFrame) -> DataFrame:
 
 
 def delete_chunk(items: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Turns the chunks (doc, id) into plain text and joins it with the texts right before and after, without a separator; blank texts go.
+    """Turns the chunks (doc, id) into plain text and joins it with the texts right before and after, without a separator; then every blank item of that document goes.
 
     Only the direct neighbours join: texts that already stood side by side stay apart.
     """
@@ -60,9 +60,9 @@ def delete_chunk(items: DataFrame, deleted: DataFrame) -> DataFrame:
         F.when(~F.bool_or("deleted"), F.min_by("title", "ord")).alias("title"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "").alias("content"),
         F.when(F.bool_or("deleted"), F.array().cast("array<string>")).otherwise(F.min_by("relevantChunksIds", "ord")).alias("relevantChunksIds"),
-        F.bool_or("deleted").alias("touched"),
     )
-    return renumbered(whole.where(~(F.col("touched") & (text.js_trim(F.col("content")) == ""))), "ord").drop("island", "touched")
+    kept = whole.join(deleted.select(F.col("doc").alias("of_doc"), F.lit(True).alias("purged")).distinct(), F.col("doc") == F.col("of_doc"), "left")
+    return renumbered(kept.where(F.col("purged").isNull() | (text.js_trim(F.col("content")) != "")), "ord").drop("island", "of_doc", "purged")
 
 
 def update_property(items: DataFrame, id_: str, name: str, value: Column) -> DataFrame:
@@ -93,5 +93,16 @@ def related_options(items: DataFrame) -> DataFrame:
     return items.where(F.col("kind") == "chunk").select("doc", F.col("id").alias("value"), text.or_else(F.col("title"), F.col("id")).alias("label"))
 
 
+def other_options(options: Column, id_: Column) -> Column:
+    """A chunk's options, an array of (value, label), without itself."""
+    return F.filter(options, lambda o: o["value"] != id_)
+
+
+def option_labels(values: DataFrame, options: DataFrame, key: str = "value") -> DataFrame:
+    """values with the label of each, or the value itself where no option has it."""
+    of = options.select(F.col("value").alias("of_value"), F.col("label").alias("of_label"))
+    return values.join(of, F.col(key) == F.col("of_value"), "left").withColumn("label", F.coalesce("of_label", key)).drop("of_value", "of_label")
+
+
 def selection_valid(start: Column, end: Column, id_: Column) -> Column:
     return (start != end) & (end > 0) & (start >= 0) & (id_ != "")

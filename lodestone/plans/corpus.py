@@ -60,9 +60,10 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", text.preview(F.col("text")).alias("preview"), F.length("text").alias("n_chars"))
 
 
-def title_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titled = docs(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("KI-Servicestelle "), F.col("source"))).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(""))
-    return titled.where((F.col("title") != "") & ~F.startswith("title", F.lit("KI-Servicestelle"))).select("doc_id", "title")
+def title_filter(spark: SparkSession, sf_dir: str, prefix: str = "Service ") -> DataFrame:
+    """Documents whose title isn't empty and doesn't begin with a prefix."""
+    titled = docs(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(prefix), F.col("source"))).when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise(""))
+    return titled.where((F.col("title") != "") & ~F.startswith("title", F.lit(prefix))).select("doc_id", "title")
 
 
 def base64_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +92,8 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold over each chunk; tests hold it against a plain restatement."""
-    return align.consolidate(aligned(spark, sf_dir))
+    """A fold over each chunk."""
+    return align.consolidate(aligned(spark, sf_dir)).select("chunk_idx", F.sha2("content", 256).alias("content_sha"), F.sha2("original_content", 256).alias("original_sha"))
 
 
 def align_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), kind.alias("kind"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.when(kind == "chunk", "").alias("title"), F.col("text").alias("content"), F.array().cast("array<string>").alias("relevantChunksIds"))
 
 
+def with_blanks(items_: DataFrame) -> DataFrame:
+    """A blank text and a blank chunk at the end of every conversation."""
+    last = items_.groupBy("doc").agg(F.max("ord").alias("last"))
+    blank = lambda n, kind: last.select("doc", (F.col("last") + n).alias("ord"), F.lit(kind).alias("kind"), F.concat_ws("/", F.lit("blank"), F.col("doc").cast("string"), F.lit(str(n))).alias("id"), F.lit(None).cast("string").alias("title"), F.lit(" \n ").alias("content"), F.array().cast("array<string>").alias("relevantChunksIds"))
+    return items_.unionByName(blank(1, "chunk")).unionByName(blank(2, "text"))
+
+
 ITEMS = "items AS (SELECT conv_id AS doc, turn AS ord, CASE WHEN role = 'user' THEN 'chunk' ELSE 'text' END AS kind, conv_id || '/' || turn AS id, text AS content FROM conversations)"
+BLANKS = f"""plain_{ITEMS}, ends AS (SELECT doc, max(ord) AS top FROM plain_items GROUP BY 1),
+items AS (SELECT * FROM plain_items UNION ALL SELECT doc, top + 1, 'chunk', 'blank/' || doc || '/1', ' ' || chr(10) || ' ' FROM ends UNION ALL SELECT doc, top + 2, 'text', 'blank/' || doc || '/2', ' ' || chr(10) || ' ' FROM ends)"""
 
 
 def create_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +130,9 @@ def create_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = items(spark, sf_dir)
-    deleted = own.where("kind = 'chunk'").groupBy("doc").agg(F.min_by("id", "ord").alias("id"))
+    """The first chunk of every second conversation goes; blank items stay in the others alone."""
+    own = with_blanks(items(spark, sf_dir))
+    deleted = own.where("kind = 'chunk' AND doc % 2 = 0").groupBy("doc").agg(F.min_by("id", "ord").alias("id"))
     return annotate.delete_chunk(own, deleted).select("doc", "ord", "kind", F.sha2("content", 256).alias("sha"))
 
 
@@ -316,8 +327,33 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", F.round(F.col("value") / 100, 4).alias("score"), F.replace(numbers.german_decimal(F.lit(0.5), 2), F.lit(","), F.lit(".")).cast("double").alias("half"), numbers.german_integer(F.col("event_id") * 12345).alias("grouped"), F.round(numbers.gib(F.col("event_id") * 1e9), 6).alias("gib"), F.round(numbers.seconds_from_nano(F.col("event_id") * 1000), 9).alias("seconds"))
-
+    return e.select("event_id", F.round(F.col("value") / 100, 4).alias("score"), numbers.percent(F.col("value") / 1000).alias("percent"), numbers.german_decimal(F.col("value"), 1).alias("tenths"), numbers.german_decimal(F.col("value") / 1000, 6).alias("millionths"), numbers.german_integer(F.col("event_id") * 12345).alias("grouped"), F.round(numbers.gib(F.col("event_id") * 1e9), 6).alias("gib"), F.round(numbers.seconds_from_nano(F.col("event_id") * 1000), 9).alias("seconds"))
+
+
+#: printf rounds exact halves to even places, toFixed() up; with one place, only odd quarters are halves.
+TIE = "CASE WHEN {0} * 4 = floor({0} * 4) AND CAST(floor({0} * 4) AS BIGINT) % 2 = 1 THEN {0} + 0.01 ELSE {0} END"
+#: A walk over the lines of each chunk: a row is the line at hand; taking counts those that a reference line has taken on from it.
+ALIGNED = f"""ref AS (SELECT item_id AS line_no, trim(regexp_replace(text, '{RE_SPACE}+', ' ', 'g')) AS de, 'EN ' || item_id AS en FROM benchmark),
+built AS (SELECT CAST(line_no AS INTEGER) AS chunk_idx, [array_to_string(string_split(de, ' ')[1:4], ' '), '', array_to_string(string_split(de, ' ')[5:], ' '), 'Q q q'] AS lines FROM ref),
+own AS (SELECT CAST(doc_id + 1000000 AS INTEGER) AS chunk_idx, list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '{RE_SPACE}+', ' ', 'g'))) AS lines FROM documents),
+line AS (SELECT chunk_idx, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM (SELECT * FROM built UNION ALL SELECT * FROM own)),
+distinct_line AS (SELECT DISTINCT line FROM line WHERE line <> ''),
+hit AS (SELECT line, min(line_no) AS line_no FROM distinct_line JOIN ref ON starts_with(de, line) GROUP BY 1),
+starts AS (SELECT l.chunk_idx, l.place, l.line, r.de, r.en FROM line l JOIN hit h USING (line) JOIN ref r ON r.line_no = h.line_no),
+run AS (
+  SELECT chunk_idx, place, de, line AS whole, place AS upto, 1 AS taken FROM starts
+  UNION ALL
+  SELECT r.chunk_idx, r.place, r.de, CASE WHEN l.line = '' THEN r.whole ELSE r.whole || ' ' || l.line END, l.place, r.taken + CASE WHEN l.line = '' THEN 0 ELSE 1 END
+  FROM run r JOIN line l ON l.chunk_idx = r.chunk_idx AND l.place = r.upto + 1 WHERE l.line = '' OR starts_with(r.de, r.whole || ' ' || l.line)
+), took AS (SELECT chunk_idx, place, max(taken) AS taken FROM run GROUP BY 1, 2),
+walk AS (
+  SELECT chunk_idx, 1::BIGINT AS place FROM (SELECT DISTINCT chunk_idx FROM line)
+  UNION ALL
+  SELECT w.chunk_idx, w.place + coalesce(t.taken, 1) FROM walk w JOIN line l ON l.chunk_idx = w.chunk_idx AND l.place = w.place LEFT JOIN took t ON t.chunk_idx = w.chunk_idx AND t.place = w.place
+), entries AS (
+  SELECT w.chunk_idx, w.place, coalesce(s.de, l.line) AS original_content, coalesce(s.en, '') AS content, s.de IS NOT NULL AS matched
+  FROM walk w JOIN line l ON l.chunk_idx = w.chunk_idx AND l.place = w.place LEFT JOIN starts s ON s.chunk_idx = w.chunk_idx AND s.place = w.place WHERE l.line <> ''
+)"""
 
 QUERIES = {
     f.__name__: f
@@ -330,6 +366,12 @@ SQL = {
     "heading_markup": f"SELECT doc_id, sha256(array_to_string(list_transform(string_split({REGULATION}, chr(10)), lambda l: CASE WHEN starts_with(l, 'KAPITEL') THEN '# ' || l WHEN starts_with(l, 'ABSCHNITT') THEN '## ' || l WHEN starts_with(l, 'Artikel') THEN '### ' || l ELSE l END), chr(10))) AS sha FROM documents",
     "subtitle_join": r"SELECT doc_id, sha256(regexp_replace('# KAPITEL IV' || chr(10) || text || chr(10) || '### Artikel 7' || chr(10) || 'Title' || chr(10) || 'ANHANG X' || chr(10) || 'more', '(# KAPITEL\s+[IVXLCDM]+|## ABSCHNITT\s+\d+|ANHANG\s+[IVXLCDM]+)\n([^\n]+)|(### \bArtikel\s+\d+)\n([^\n]+)', '\1\3: \2\4', 'g')) AS sha FROM documents",
     "enumerator_join": rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace({REGULATION}, '\((\d+)\)\s*\n', '(\1) ', 'g'), '([a-z])\)\s*\n', '\1) ', 'g'), '(\d+)\.\s*\n', '\1. ', 'g')) AS sha FROM documents",
+    "preprocess": rf"""WITH r AS (SELECT doc_id, trim(regexp_replace({REGULATION}, '\n{RE_SPACE}*\n', chr(10), 'g')) AS t FROM documents),
+      h AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: CASE WHEN starts_with(l, 'KAPITEL') THEN '# ' || l WHEN starts_with(l, 'ABSCHNITT') THEN '## ' || l WHEN starts_with(l, 'Artikel') THEN '### ' || l ELSE l END), chr(10)) AS t FROM r),
+      j AS (SELECT doc_id, regexp_replace(t, '(# KAPITEL\s+[IVXLCDM]+|## ABSCHNITT\s+\d+|ANHANG\s+[IVXLCDM]+)\n([^\n]+)|(### \bArtikel\s+\d+)\n([^\n]+)', '\1\3: \2\4', 'g') AS t FROM h)
+      SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '\((\d+)\)\s*\n', '(\1) ', 'g'), '([a-z])\)\s*\n', '\1) ', 'g'), '(\d+)\.\s*\n', '\1. ', 'g')) AS sha FROM j""",
+    "align_consolidate": f"WITH RECURSIVE {ALIGNED} SELECT chunk_idx, sha256(string_agg(content, chr(10) ORDER BY place)) AS content_sha, sha256(string_agg(original_content, chr(10) ORDER BY place)) AS original_sha FROM entries GROUP BY 1",
+    "align_unmatched": f"WITH RECURSIVE {ALIGNED} SELECT chunk_idx, count(*) AS n_unmatched FROM entries WHERE NOT matched GROUP BY 1",
     "previews": "SELECT doc_id, CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS preview, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
     "title_filter": "SELECT doc_id, source AS title FROM documents WHERE doc_id % 3 = 1",
     "base64_text": "SELECT doc_id, to_base64(encode(text)) AS encoded, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
@@ -341,11 +383,11 @@ SQL = {
         UNION ALL SELECT doc, ord, 1, 'chunk', trim(substr(content, k + 1, k), ' ' || chr(10) || chr(9)) FROM t WHERE kind = 'text' AND k > 0
         UNION ALL SELECT doc, ord, 2, 'text', trim(substr(content, 2 * k + 1), ' ' || chr(10) || chr(9)) FROM t WHERE kind = 'text' AND k > 0)
       SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ord, part) - 1 AS INTEGER) AS ord, kind, CAST(length(content) AS INTEGER) AS n_chars, sha256(content) AS sha FROM p WHERE NOT (content = '' AND part <> 1 AND kind = 'text')""",
-    "delete_chunk_merge": f"""WITH {ITEMS}, d AS (SELECT doc, min(ord) AS del FROM items WHERE kind = 'chunk' GROUP BY 1),
+    "delete_chunk_merge": f"""WITH {BLANKS}, d AS (SELECT doc, min(ord) AS del FROM items WHERE kind = 'chunk' AND doc % 2 = 0 GROUP BY 1),
       n AS (SELECT i.*, del, lag(kind) OVER w AS before, lag(ord) OVER w AS ob, lead(ord) OVER w AS oa FROM items i LEFT JOIN d USING (doc) WINDOW w AS (PARTITION BY doc ORDER BY ord)),
       g AS (SELECT *, CASE WHEN ord = del THEN CASE WHEN before = 'text' THEN ob ELSE ord END WHEN kind = 'text' AND ob = del THEN coalesce((SELECT CASE WHEN x.before = 'text' THEN x.ob ELSE x.ord END FROM n x WHERE x.doc = n.doc AND x.ord = n.del), ord) ELSE ord END AS grp FROM n),
       m AS (SELECT doc, grp, CASE WHEN bool_or(coalesce(ord = del, false)) THEN 'text' ELSE min(kind) END AS kind, string_agg(content, '' ORDER BY ord) AS content FROM g GROUP BY 1, 2)
-      SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY grp) - 1 AS INTEGER) AS ord, kind, sha256(content) AS sha FROM m""",
+      SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY grp) - 1 AS INTEGER) AS ord, kind, sha256(content) AS sha FROM m WHERE doc NOT IN (SELECT doc FROM d) OR trim(content, ' ' || chr(10)) <> ''""",
     "update_property": f"WITH {ITEMS} SELECT id, CASE WHEN id = '0/0' THEN 'new' WHEN kind = 'chunk' THEN '' END AS title FROM items",
     "related_options": f"WITH {ITEMS} SELECT doc, id AS value, id AS label FROM items WHERE kind = 'chunk'",
     "tag_edit": "WITH t AS (SELECT doc_id, [lang, source] AS tags, CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN ' ' ELSE 'new' END AS v FROM documents) SELECT doc_id, array_to_string(CASE WHEN trim(v) <> '' AND NOT list_contains(tags, v) THEN list_append(tags, v) ELSE tags END, ',') AS added, array_to_string(CASE WHEN list_contains(tags, v) THEN tags ELSE list_append(tags, v) END, ',') AS selected, array_to_string(list_filter(tags, lambda x: x <> v), ',') AS removed FROM t",
@@ -370,5 +412,5 @@ SQL = {
     "tumbling_windows": "SELECT CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "session_windows": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM n GROUP BY user_id, k",
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
-    "score_formats": "SELECT event_id, round(value / 100, 4) AS score, 0.5::DOUBLE AS half, replace(format('{:,}', event_id * 12345), ',', '.') AS grouped, round(event_id * 1e9 / 1073741824, 6) AS gib, round(event_id * 1000 / 1e9, 9) AS seconds FROM events",
+    "score_formats": f"SELECT event_id, round(value / 100, 4) AS score, printf('%.1f%%', {TIE.format('value / 1000 * 100')}) AS percent, replace(printf('%.1f', {TIE.format('value')}), '.', ',') AS tenths, replace(printf('%.6f', value / 1000), '.', ',') AS millionths, replace(format('{{:,}}', event_id * 12345), ',', '.') AS grouped, round(event_id * 1e9 / 1073741824, 6) AS gib, round(event_id * 1000 / 1e9, 9) AS seconds FROM events",
 }

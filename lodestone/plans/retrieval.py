@@ -256,7 +256,7 @@ SQL = {
     "render_prompt": f"""WITH RECURSIVE {PACKED}{ADMITTED}, con AS (SELECT query_id, trim(string_agg({PIECE}, '' ORDER BY rank, place), ' ' || chr(10)) AS context FROM adm GROUP BY 1),
       q AS (SELECT vec_id AS query_id, CAST(label AS VARCHAR) AS dataset_id, 'What of {{context_str}} ' || vec_id || '?' AS prompt, coalesce(context, '') AS context FROM embeddings LEFT JOIN con ON query_id = vec_id WHERE vec_id % 20 = 0),
       r AS (SELECT query_id, CASE WHEN dataset_id = '0' THEN 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || prompt ELSE context || chr(10) || '---' || chr(10) || prompt || ' {{end}}' END AS p FROM q)
-      SELECT query_id, array_to_string(list_transform(string_split(p, chr(10)), lambda l: CASE WHEN starts_with(ltrim(l), 'Titel:') THEN '<hr>' || chr(10) || l ELSE l END), chr(10)) AS rendered FROM r""",
+      SELECT query_id, array_to_string(list_transform(string_split(p, chr(10)), lambda l: CASE WHEN starts_with(ltrim(l), 'Titel:') THEN '<hr>' || l ELSE l END), chr(10)) AS rendered FROM r""",
     "list_datasets": f"WITH {STORE} SELECT DISTINCT dataset_id FROM store",
     "index_build": f"WITH {CHUNKS}, kept AS (SELECT * FROM chunks WHERE trim(content) <> ''), ids AS (SELECT dataset_id, list(id) AS known FROM kept GROUP BY 1) SELECT dataset_id, id, title, array_to_string(list_filter(related, lambda x: list_contains(known, x)), ',') AS related, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY ord) - 1 AS INTEGER) AS position, CAST(ceil(length(content) / 4.0) AS INTEGER) AS num_tokens FROM kept JOIN ids USING (dataset_id)",
     "valid_related_semi": f"WITH {CHUNKS}, ids AS (SELECT dataset_id, list(id) AS known FROM chunks GROUP BY 1) SELECT id, CAST(len(list_filter(related, lambda x: list_contains(known, x))) AS INTEGER) AS n_valid FROM chunks JOIN ids USING (dataset_id)",

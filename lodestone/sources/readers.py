@@ -70,6 +70,14 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """(scenario, prompt_no, prompt) of a Markdown list of scenarios, each a heading in brackets with quoted questions."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", "\ufeff|\r", "")), r"\n## (?=\[)")).alias("s"))
+    of = whole.where(F.startswith("s", F.lit("[")))
+    prompts = F.transform(F.regexp_extract_all("s", F.lit(r'(?m)^Frage:[ \t]*\n+"(.*)"[ \t]*$'), 1), text.py_strip)
+    return of.select(text.py_strip(F.regexp_extract("s", r"\A\[([^\]]*)\]", 1)).alias("scenario"), F.posexplode(prompts).alias("prompt_no", "prompt"))
+
+
 def json_map(raw: str, spark: SparkSession) -> DataFrame:
     """(key, value) of a JSON object of strings that aren't blank; anything else is an error."""
     parsed = spark.createDataFrame([(raw,)], "raw string").select(F.from_json("raw", "map<string,string>", {"mode": "FAILFAST"}).alias("m"))

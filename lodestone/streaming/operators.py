@@ -12,20 +12,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 ACTIVE = "key string, seq long, change int, active long"
 
 
-def active_requests(changes: DataFrame) -> DataFrame:
-    """changes (key, seq, change) with `active`, the counter after each; rows of a batch count in the order of seq."""
+def active_requests(changes: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
+    """changes (key, seq, change) with `active`, the counter after each; rows of a batch count in the order of seq. A key that stays idle for idle_ms is forgotten, and starts at zero again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         active = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = sorted((r for b in batches for r in zip(b["seq"].tolist(), b["change"].tolist(), strict=True)))
         out = []
-        for change in rows["change"]:
-            active = max(0, active + int(change))
-            out.append(active)
+        for seq, change in rows:
+            active = max(0, active + change)
+            out.append((key[0], seq, change, active))
         state.update((active,))
-        yield rows.assign(key=key[0], active=out)[["key", "seq", "change", "active"]]
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["key", "seq", "change", "active"])
 
-    return changes.groupBy("key").applyInPandasWithState(step, ACTIVE, "active long", "append", GroupStateTimeout.NoTimeout)
+    return changes.groupBy("key").applyInPandasWithState(step, ACTIVE, "active long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def utc(events: DataFrame, ts: str = "ts") -> DataFrame:

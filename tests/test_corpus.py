@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def test_preprocess(spark):  # noqa: ANN001
 def test_preview_and_rule(spark):  # noqa: ANN001
     assert of(spark, "x" * 151, text.preview) == "x" * 150 + "..."
     assert of(spark, "x" * 150, text.preview) == "x" * 150
-    assert of(spark, "a\n  Titel: b", text.rule_before_titles) == "a\n<hr>\n  Titel: b"
+    assert of(spark, "a\n  Titel: b", text.rule_before_titles) == "a\n<hr>  Titel: b"
 
 
 def lines(spark, chunks, de, en, compat=True):  # noqa: ANN001, ANN201
@@ -54,6 +56,11 @@ def test_alignment(spark):  # noqa: ANN001
     assert [r["original_line"] for r in align.unmatched(got).collect()] == ["Q"]
     blank = [(0, "A\n\nB C\nQ")]
     assert [r["original_content"] for r in lines(spark, blank, ["A B C"], ["E1"]).orderBy("seq").collect()] == ["A B C", "B C", "Q"]
+    cut = lines(spark, [(0, "A")], ["A B C"], ["E1"])
+    assert cut.first()["original_content"] == "A B C"  # the whole reference line
+    own = spark.createDataFrame([(0, "i", None, ["r"])], "chunk_idx int, id string, title string, relevantChunksIds array<string>")
+    assert align.consolidate(cut, own).first().asDict() == {"chunk_idx": 0, "id": "i", "title": "N/A", "relevantChunksIds": ["r"], "keywords": [], "availableKeywords": [], "negativeKeywords": [], "parameters": [], "content": "E1", "original_content": "A B C"}
+    assert align.counts(own, cut).first().asDict() == {"n_chunks": 1, "n_consolidated": 1, "n_entries": 1, "n_unmatched": 0}
     assert [r["original_content"] for r in lines(spark, blank, ["A B C"], ["E1"], False).orderBy("seq").collect()] == ["A B C", "Q"]
 
 
@@ -75,7 +82,7 @@ def restated(content, de, en):  # noqa: ANN001, ANN201
                     break
                 whole, taken = whole + " " + items[k], taken + 1
             k += 1
-        out.append((whole, en[hit]))
+        out.append((de[hit], en[hit]))
         at += taken
     return out
 
@@ -101,6 +108,70 @@ def test_delete_merges_direct_neighbours(spark):  # noqa: ANN001
     assert [(r["ord"], r["kind"], r["content"]) for r in annotate.delete_chunk(items, gone).orderBy("ord").collect()] == [(0, "text", "a"), (1, "text", "bcd"), (2, "text", "e")]
 
 
+def test_delete_purges_blanks(spark):  # noqa: ANN001
+    rows = [(d, i, k, f"i{i}", None, c, []) for d in (1, 2) for i, (k, c) in enumerate([("text", " "), ("chunk", "x"), ("chunk", "c"), ("chunk", "\n")])]
+    got = annotate.delete_chunk(spark.createDataFrame(rows, ITEMS), spark.createDataFrame([(1, "i2")], "doc long, id string"))
+    assert [(r["doc"], r["ord"], r["kind"], r["content"]) for r in got.orderBy("doc", "ord").collect()] == [(1, 0, "chunk", "x"), (1, 1, "text", "c"), (2, 0, "text", " "), (2, 1, "chunk", "x"), (2, 2, "chunk", "c"), (2, 3, "chunk", "\n")]
+
+
+def test_fixed(spark):  # noqa: ANN001
+    random.seed(6)
+    values = [0.1235, 1.005, 0.5, 2.5, 1.25, -0.04, 0.0, 1e-9, 123456.7890625, 4_000_000.125, *[random.uniform(-1, 1) * 10 ** random.randint(-6, 6) for _ in range(400)], *[random.randint(0, 2000) / 8 for _ in range(100)]]
+    table = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2, 6):
+        for v, (got,) in zip(values, table.select(numbers.fixed(F.col("x"), places)).collect(), strict=True):
+            own = str(Decimal(abs(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+            assert got == ("-" if v < 0 else "") + own.replace("0E-6", "0.000000"), (v, places)
+    row = table.limit(1).select(numbers.percent(F.lit(0.1235)), numbers.german_decimal(F.lit(1.005), 2), numbers.json_number(F.lit(float("nan"))), numbers.power_label(F.lit("power_prompt")), numbers.power_label(F.lit("user")), numbers.next_step(F.lit("sources"), F.lit("research")), numbers.next_step(F.lit("assistant"), F.lit("output")), numbers.dataset_of(F.lit("fr"), {"en": "e", "de": "d"}), numbers.dataset_of(F.lit("en"), {"en": "e", "de": "d"})).first()
+    assert list(row) == ["12.3%", "1,00", None, numbers.POWER_LABELS["power_prompt"], "", "prompt", "output", "d", "e"]
+
+
+def test_small_texts(spark):  # noqa: ANN001
+    one = spark.range(1)
+    assert one.select(text.mail_link("a@b", F.lit("S t"), F.lit("x+y\n(é)!"))).first()[0] == "mailto:a@b?subject=S%20t&body=x%2By%0A(%C3%A9)!"
+    assert one.select(text.root_of(F.lit("/a/b/src/c"))).first()[0] == "/a/b/"
+    assert one.select(text.hover(F.lit("T"), F.lit(3), F.lit("xyz"))).first()[0] == "Title: T | Content Length: 3 | xyz..."
+    options = spark.createDataFrame([("a", "A"), ("b", "B")], "value string, label string")
+    assert {tuple(r) for r in annotate.option_labels(spark.createDataFrame([("a",), ("z",)], "value string"), options).collect()} == {("a", "A"), ("z", "z")}
+    listed = options.agg(F.collect_list(F.struct("value", "label")).alias("o"))
+    assert [o["value"] for o in listed.select(annotate.other_options(F.col("o"), F.lit("a"))).first()[0]] == ["b"]
+    with pytest.raises(ValueError, match="HOST"):
+        validate.require_services({"HOST": None}, {})
+    with pytest.raises(ValueError, match="embedding"):
+        validate.require_services({"HOST": "h"}, {"embedding": [""]})
+
+
+STREAMED = "request_id string, ts timestamp, seq long, type string, content string, total_kWh double, user_id long"
+
+
+def streamed(spark, tmp_path, rows, make, mode):  # noqa: ANN001, ANN201
+    """What a stream of the rows, each a file of its own in order, leaves in memory."""
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], STREAMED).coalesce(1).write.parquet(str(tmp_path / f"in/{i:02d}"))
+    source = spark.readStream.schema(STREAMED).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    name = f"out_{mode}_{random.randrange(10**9)}"
+    make(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_stream_of_parts_and_sessions(spark, tmp_path):  # noqa: ANN001
+    at = lambda ms: datetime(2026, 1, 1) + timedelta(milliseconds=ms)
+    rows = [("a", at(10), 1, "assistant", "y", 1.0, 1), ("a", at(5), 0, "assistant", "x", 1.0, 1), ("a", at(150), 2, "assistant", "z", 1.0, 1), ("b", at(20), 0, "user", "q", 2.0, 2), ("b", at(10_000_000), 1, "user", "r", 2.0, 2)]
+    got = streamed(spark, tmp_path / "w", rows, streaming.coalesced, "append")
+    assert {(r["request_id"], r["content"]) for r in got} >= {("a", "xy"), ("a", "z"), ("b", "q")}
+    got = streamed(spark, tmp_path / "s", rows, lambda s: streaming.sessions(s).select("user_id", "n"), "append")
+    assert {tuple(r) for r in got} >= {(1, 3)}
+    got = streamed(spark, tmp_path / "t", rows, streaming.totals, "complete")
+    assert {tuple(r) for r in got} == {("a", 3.0, 3), ("b", 4.0, 2)}
+
+
+def test_dispatch(spark):  # noqa: ANN001
+    batch = spark.createDataFrame([("user", "q"), ("assistant", "a"), ("error", "e")], "type string, content string")
+    seen = {}
+    streaming.dispatch(batch, {k: lambda rows, k=k: seen.setdefault(k, [r["content"] for r in rows.collect()]) for k in ("user", "assistant", "sources")})
+    assert seen == {"user": ["q"], "assistant": ["a"], "sources": []}
+
+
 def test_create_chunk(spark):  # noqa: ANN001
     items = spark.createDataFrame([(1, 0, "text", "t", None, "ab  cd", []), (1, 1, "chunk", "c", "", "xyz", [])], ITEMS)
     cut = lambda *s: [(r["kind"], r["content"]) for r in annotate.create_chunk(items, spark.createDataFrame([(1, *s)], "doc long, id string, start long, end long")).orderBy("ord").collect()]
@@ -175,6 +246,8 @@ def test_text_sources(spark, tmp_path):  # noqa: ANN001
     (tmp_path / "m.xlf").write_text('<xliff><file><body><trans-unit id="u"><source>S</source><target state="translated">T</target><context-group purpose="location"><context context-type="sourcefile">f.html</context><context context-type="linenumber">3</context></context-group></trans-unit><trans-unit id="v"><source>S2</source><target>T2</target></trans-unit></body></file></xliff>')
     got = readers.catalogue(spark, str(tmp_path / "m.xlf")).orderBy("id").collect()
     assert [(r["id"], r["source"], r["target"], r["target_state"], r["file"], r["line"]) for r in got] == [("u", "S", "T", "translated", "f.html", 3), ("v", "S2", "T2", None, None, None)]
+    (tmp_path / "inj.md").write_text('# [X](#x)\n\n## [First one]\nFrage:  \n"Say "no" now"  \n![i](u)\n\n## [Second] \nFrage:  \n"a"  \n\nFrage:  \n"b"\n')
+    assert [tuple(r) for r in readers.scenarios(spark, str(tmp_path / "inj.md")).orderBy("scenario", "prompt_no").collect()] == [("First one", 0, 'Say "no" now'), ("Second", 0, "a"), ("Second", 1, "b")]
     assert {r["key"]: r["value"] for r in readers.json_map('{"a": "b"}', spark).collect()} == {"a": "b"}
 
 
