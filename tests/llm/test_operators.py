@@ -52,12 +52,37 @@ def test_topk(spark):  # noqa: ANN001
     rows += [(900, None, 0), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (902, [math.nan] * 6, 0), (903, [math.inf] + [0.0] * 5, 0), (904, [], 0), (None, [0.1] * 6, 0), (1000, [0.5, 0.5], 0), (1001, [0.5, 0.1], 0)]
     rows += rows[:3] + [(7, [0.9] * 6, 0)] + [(2000 + i, [0.25] * 6, 0) for i in range(40)]
     table = spark.createDataFrame(rows, VECTORS).withColumns({"rank": F.lit(1), "shard": F.lit(2), "dim": F.lit(3), "score": F.lit(4)})
-    for size in ({}, {"shard_rows": 100, "block_rows": 8, "leaf": 4}):
+    for size in ({}, {"shard_rows": 100, "block_rows": 3, "page_shards": 4, "leaf": 4}):
         got = topk_search.search(table, F.col("vec_id") % 100 == 0, 10, **size)
         assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == best_by_force(rows, 10)
     assert topk_search.search(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_topk_large_components(spark):  # noqa: ANN001
+    rows = [(0, [0.5, 1.0], 0)] + [(i, [3.0e6 + i % 7, -1.0], 0) for i in range(1, 30)]  # products stay below 2**53
+    got = topk_search.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, 3, shard_rows=8, leaf=2)
+    assert {tuple(r) for r in got.collect()} == best_by_force(rows, 3)
+
+
+def test_topk_sends_only_what_can_win(spark, monkeypatch):  # noqa: ANN001
+    """Of vectors in far groups, a query asks a few shards beside its first one; a stored tree answers as a built one does."""
+    rng = np.random.default_rng(3)
+    groups = rng.normal(size=(16, 8)) * 3
+    rows = [(i, (groups[i % 16] + rng.normal(size=8) * 0.01).tolist(), 0) for i in range(3200)]
+    sent = []
+    visit = topk_search._visit
+    monkeypatch.setattr(topk_search, "_visit", lambda trees, asking, k: sent.append((trees.count(), asking.select(F.sum(F.size("query_ids"))).first()[0] or 0)) or visit(trees, asking, k))
+    got = topk_search.search(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 100 == 0, 10, shard_rows=100, leaf=16)
+    assert {tuple(r) for r in got.collect()} == best_by_force(rows, 10)
+    (shards, first), (_, later) = sent
+    assert first == 32 and later < 32 * (shards - 1) / 2
+    ids, m = np.arange(300), rng.integers(-50, 50, (300, 5)).astype(float)
+    tree = topk_search.BallTree.built(ids, m, 8)
+    for q in range(20):
+        want = sorted(((int(s), -j) for j, s in enumerate((m @ m[q]).astype(int)) if j != q), reverse=True)[:4]
+        assert sorted(tree.search(m[q], q, 4, float("-inf")), reverse=True) == want
+
+
 # --- 2 ------------------------------------------------------------------------------
 
 
