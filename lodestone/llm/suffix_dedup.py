@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, POWERS, ROW, bound_batches, ids_name_rows, materialise, mix, numbered, range_hashes, slices, tidy
+from .common import NO_ID, POWERS, ROW, bound_batches, ids_name_rows, materialise, mix, numbered, partitions, range_hashes, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,7 @@ def _segments(docs: DataFrame, config: Config) -> DataFrame:
     return docs.mapInArrow(tidy(run), "anchor long, split int, doc_id long, lo long, piece binary")
 
 
-def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np.ndarray, piece: pa.Array, config: Config) -> pa.RecordBatch:
+def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np.ndarray, piece: pa.Array, config: Config) -> Iterator[pa.RecordBatch]:
     """Runs of starts that repeat among these segments; and, of anchors dealt over several shards, each string's earliest place, with the string, in order."""
     coded = piece.dictionary_encode()
     kind, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
@@ -249,7 +249,6 @@ def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np
     # Of equal segments the earliest is left; it needs sorting if its anchor has another, or another shard.
     names, inverse, n = np.unique(anchor[earliest], return_inverse=True, return_counts=True)
     left = earliest[(n[inverse] > 1) | (split[earliest] >= 0)]
-    strings: list[bytes] = []
     if len(left):
         left = left[np.lexsort((lo[left], doc[left]))]
         data, size = _bytes_of(pieces.take(pa.array(kind[left])))
@@ -262,15 +261,26 @@ def merging_shard(anchor: np.ndarray, split: np.ndarray, doc: np.ndarray, lo: np
         more, n = _runs(np.flatnonzero(is_start & ~first), owner)
         found.append((doc[left][owner[more]], where[more] + more, n))
         heads = order[(first & (split[left] >= 0)[owner])[order]]
-        raw = data.tobytes()
-        strings = [raw[i : i + config.length] for i in heads.tolist()]
-        found.append((doc[left][owner[heads]], where[heads] + heads, np.ones(len(heads), np.int64)))
-        of = split[left][owner[heads]]
+        windows = np.lib.stride_tricks.sliding_window_view(data, config.length)
+        for some in np.split(heads, range(STRINGS, len(heads), STRINGS)):
+            strings = _binary(windows[some], config.length)
+            yield _found(doc[left][owner[some]], where[some] + some, np.ones(len(some), np.int64), pa.array(split[left][owner[some]]), strings)
     docs, los, n = (np.concatenate(c) for c in zip(*found, strict=True))
-    none = len(docs) - len(strings)
-    text = pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(strings, pa.binary())])
-    shard = pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(of if strings else [], pa.int32())])
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(n, pa.int64()), shard, text], names=["doc_id", "lo", "n", "shard", "string"])
+    yield _found(docs, los, n, pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary()))
+
+
+#: Strings of a batch that a merging shard passes on.
+STRINGS = 1 << 15
+
+
+def _binary(rows: np.ndarray, length: int) -> pa.Array:
+    """Rows of bytes as binary values."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(length)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _found(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, shard: pa.Array, string: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), shard, string], names=["doc_id", "lo", "n", "shard", "string"])
 
 
 def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
@@ -280,9 +290,9 @@ def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size = 0
 
-        def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def done(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(rows).combine_chunks()
-            return merging_shard(*[t.column(c).to_numpy() for c in ("anchor", "split", "doc_id", "lo")], t.column("piece").chunk(0), config)
+            yield from merging_shard(*[t.column(c).to_numpy() for c in ("anchor", "split", "doc_id", "lo")], t.column("piece").chunk(0), config)
 
         for whole in batches:
             for b in slices(whole, "piece", most=config.block):
@@ -290,13 +300,13 @@ def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
                 cut = b.num_rows - int(((name == name[-1]) & (split == split[-1]))[::-1].argmin() or b.num_rows)  # rows come sorted; the last part of an anchor may go on
                 if size > config.block and (cut or [held[-1].column(c)[len(held[-1]) - 1].as_py() for c in ("anchor", "split")] != [name[0], split[0]]):
                     held.append(b.slice(0, cut))
-                    yield done([h for h in held if h.num_rows])
+                    yield from done([h for h in held if h.num_rows])
                     held, size = [], 0
                     b = b.slice(cut)
                 held.append(b)
                 size += b.nbytes
         if held:
-            yield done(held)
+            yield from done(held)
 
     dealt = segments.repartition("anchor", "split").sortWithinPartitions("anchor", "split")
     return dealt.mapInArrow(tidy(run), "doc_id long, lo long, n long, shard int, string binary")
@@ -304,6 +314,9 @@ def merging_shards(segments: DataFrame, config: Config) -> DataFrame:
 
 # --- merging sorted shards --------------------------------------------------------------------
 
+#: Bytes of strings that are merged at a time.
+PART_BYTES = 4 << 20
+
 
 def merged(a: tuple, b: tuple) -> tuple[tuple, tuple]:
     """Two sorted lists of strings (strings, doc_id, lo), each string once in each, as one with the earliest place of each, by binary search of one in the other; and the places (doc_id, lo) that repeat."""
@@ -319,19 +332,11 @@ def merged(a: tuple, b: tuple) -> tuple[tuple, tuple]:
     return (np.insert(s, to[new], t[new]), np.insert(doc, to[new], of[new]), np.insert(lo, to[new], at[new])), later
 
 
-def merge_shards(found: DataFrame, config: Config) -> DataFrame:
-    """The starts found, and those of strings that another shard has earlier. Strings are dealt by a hash; in each partition the shards' sorted lists are merged two and two."""
+def merge_shards(found: DataFrame, n_parts: int, config: Config) -> DataFrame:
+    """The starts found, and those of strings that another shard has earlier. A hash deals the strings over n_parts; in each part the shards' sorted lists are merged two and two, and a task holds one part at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            known = pc.is_null(b.column("string"))
-            yield b.select(["doc_id", "lo", "n"]).filter(known)
-            if (rest := b.filter(pc.invert(known))).num_rows:
-                held.append(rest)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
+    def merge(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows).combine_chunks()
         strings = np.frombuffer(_bytes_of(t.column("string").chunk(0))[0], f"S{config.length}")
         shard, doc, lo = (t.column(c).to_numpy() for c in ("shard", "doc_id", "lo"))
         cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
@@ -342,8 +347,25 @@ def merge_shards(found: DataFrame, config: Config) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(at), pa.array(np.ones(len(of), np.int64))], names=["doc_id", "lo", "n"])
             lists = [m for m, _ in pairs] + lists[len(lists) // 2 * 2 :]
 
-    dealt = found.repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string"))).sortWithinPartitions("shard", "string")
-    return dealt.mapInArrow(tidy(run), "doc_id long, lo long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            known = pc.is_null(b.column("string"))
+            yield b.select(["doc_id", "lo", "n"]).filter(known)
+            rest = b.filter(pc.invert(known))
+            part = rest.column("part").to_numpy()
+            for piece in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+                if not len(piece):
+                    continue
+                if held and held[-1].column("part")[0].as_py() != part[piece[0]]:
+                    yield from merge(held)
+                    held = []
+                held.append(rest.slice(piece[0], len(piece)))
+        if held:
+            yield from merge(held)
+
+    dealt = found.withColumn("part", F.pmod(F.when(F.col("string").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("string")), F.lit(n_parts)))
+    return dealt.repartition("part").sortWithinPartitions("part", "shard", "string").mapInArrow(tidy(run), "doc_id long, lo long, n long")
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -359,11 +381,14 @@ def repeats(rows: DataFrame, config: Config = Config()) -> DataFrame:
     pair = lambda i: F.struct(F.get("more", 2 * i).alias("doc_id"), F.get("more", 2 * i + 1).alias("starts"))
     others = several.where("NOT again AND more IS NOT NULL").select("anchor", "n_runs", F.inline(F.transform(F.sequence(F.lit(0), (F.size("more") / 2).cast("int") - 1), pair)))
     run = several.where("NOT again").select("anchor", "n_runs", "doc_id", "starts").unionByName(others)
+    n_strings = run.where(F.col("n_runs") > config.hot).agg(F.sum(F.col("starts").bitwiseAND(F.lit(0xFFFF).cast("long")))).first()[0] or 0
     split = F.when(F.col("n_runs") > config.hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_runs") / config.hot))).otherwise(-1).cast("int")
     around = run.withColumn("split", split).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "anchor", "split")).alias("around"))
     segments = _segments(rows.join(around, "doc_id").select("doc_id", "text", "around"), config)
     within = several.where("again").select("doc_id", F.shiftright("starts", 16).alias("lo"), F.col("starts").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("n"))
-    starts = merge_shards(merging_shards(segments, config), config).unionByName(within)
+    # At most so many strings are passed on; a part of them is about as large as a shard's.
+    n_parts = partitions(rows.sparkSession) + n_strings * config.length // PART_BYTES
+    starts = merge_shards(merging_shards(segments, config), n_parts, config).unionByName(within)
     # The texts come from the exchange that the segments came from: it is one query, and the exchange is the same.
     return rows.join(starts.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "doc_id", "left")
 

@@ -273,7 +273,7 @@ def test_merging_is_on_the_ordinary_path(spark, monkeypatch):  # noqa: ANN001
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
     config = suffix_dedup.Config(hot=7)
     merge, seen = suffix_dedup.merge_shards, []
-    monkeypatch.setattr(suffix_dedup, "merge_shards", lambda found, config: seen.append(found) or merge(found, config))
+    monkeypatch.setattr(suffix_dedup, "merge_shards", lambda found, *more: seen.append(found) or merge(found, *more))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.deduplicate(table, config).collect()}
     assert got == removed_by_force(rows, 100)
     lists = seen[0].where("string IS NOT NULL").groupBy("shard").count().collect()
