@@ -224,7 +224,7 @@ def _segments(docs: DataFrame, config: Config) -> DataFrame:
                 doc = np.repeat(b.column("doc_id").to_numpy(), n)
                 ends = np.cumsum(n)
                 for i, text in enumerate(b.column("text")):
-                    raw, upto = memoryview(text.as_buffer()), int(ends[i])
+                    raw, upto = text.as_buffer().to_pybytes(), int(ends[i])  # slices of a memoryview are never freed by pa.array
                     at = upto - int(n[i])
                     while at < upto:  # a long text has many segments
                         to = min(at + 20_000, upto)
