@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.conf import EngineConf
 from lodestone.functions import text, vector
-from lodestone.operators import index, prompt, retrieve
+from lodestone.operators import embed, index, prompt, retrieve
 
 EXPANDED = "query_id long, rank int, id string, num_tokens int, related array<struct<at:int,id:string,title:string,content:string,num_tokens:int,position:int>>"
 
@@ -122,3 +122,35 @@ def test_sources_shape(spark):  # noqa: ANN001
     both = spark.createDataFrame(rows, "query_id long, rank int, dataset_id string, id string, title string, content string, num_tokens int, position int, score double, related array<struct<at:int,id:string,title:string,content:string,num_tokens:int,position:int>>")
     got = retrieve.sources(both, retrieve.pack(both, 10)).orderBy("rank").collect()
     assert [(r["skip"], r["skip_reason"], [(c["id"], c["skip_reason"]) for c in r["relevantChunks"]]) for r in got] == [(False, "", [("b", "context_window")]), (True, "context_window", [])]
+
+
+def counting_model(told=0.5):  # noqa: ANN001, ANN201
+    """A vector of the text's length, whether it carries a role, and the size of the call."""
+
+    def load():  # noqa: ANN202
+        return lambda texts: ([[float(len(t)), float(t.startswith(("passage: ", "query: "))), float(len(texts))] for t in texts], told)
+
+    return load
+
+
+def test_embedding_by_a_model(spark):  # noqa: ANN001
+    rows = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(24)], "ord long, content string").coalesce(1)
+    got = embed.embedded(rows, counting_model(), "multilingual-e5-large").orderBy("ord").collect()
+    assert [r["vector"] and r["vector"][:2] for r in got] == [None if i == 3 else [i + 9.0, 1.0] for i in range(24)]
+    assert [r["vector"][2] for r in got if r["vector"]] == [10.0] * 20 + [3.0] * 3
+    assert [r["ord"] for r in got if r["seconds"]] == [0, 11, 21]
+    assert sum(r["seconds"] for r in got) == 1.5
+
+
+def test_embedding_of_queries_and_of_nothing(spark):  # noqa: ANN001
+    rows = spark.createDataFrame([(1, "ab", [9.0])], "query_id long, prompt string, vector array<double>")
+    plain = embed.embedded(rows, counting_model(told=0.0), "other", "query", content="prompt").first()
+    assert plain["vector"] == [2.0, 0.0, 1.0] and plain["seconds"] > 0  # an older vector is replaced; the call is timed here
+    assert embed.embedded(rows, counting_model(), "multilingual-e5", "query", content="prompt").first()["vector"] == [9.0, 1.0, 1.0]
+    assert embed.embedded(rows.limit(0), counting_model(), "other", content="prompt").collect() == []
+
+
+def test_embedding_wants_a_vector_for_each_text(spark):  # noqa: ANN001
+    rows = spark.createDataFrame([("a",), ("b",)], "content string").coalesce(1)
+    with pytest.raises(Exception, match="1 vectors for 2 texts"):
+        embed.embedded(rows, lambda: lambda texts: ([[1.0]], 0.0), "other").collect()
