@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a missing id where ids are joined; it sorts before all others.
@@ -85,6 +85,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def matched(rows: DataFrame, of: DataFrame, on: list[str], heavy: Column) -> DataFrame:
+    """rows joined with the one row of `of` that has their values of `on`; rows without one go.
+
+    heavy marks those rows of `of` that more than a thousandth of all rows ask for, so that there are fewer than a
+    thousand: they are broadcast, and no key that many rows share goes through the exchange.
+    """
+    hot = F.broadcast(of.where(heavy))
+    rest = rows.join(hot.select(*on), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(of.where(~heavy), on))
+
+
 # --- vectorised hashing of byte ranges -------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
