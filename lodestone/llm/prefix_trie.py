@@ -127,35 +127,46 @@ def _split_off(scanned: DataFrame, nodes: DataFrame) -> DataFrame | None:
     return materialise(marked.select("conv_id", F.col("depth").alias("place"), "role", "text", (F.col("split") + F.coalesce("more", F.lit(0))).alias("split")))
 
 
-def _ends_digests(ends: DataFrame) -> DataFrame:
-    """(depth, fp, ends_sha256) of (depth, fp, conv_id): ids run through the digest one after the other, so that a group of any size takes no memory."""
+_LISTED = "depth int, fp long, first_id long, ids string"
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ids of one node in sorted (depth, fp, conv_id), comma-joined, a batch at a time."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        depth, fp, conv = (b.column(c).to_numpy() for c in ("depth", "fp", "conv_id"))
+        starts = np.flatnonzero(np.concatenate([[True], (depth[1:] != depth[:-1]) | (fp[1:] != fp[:-1])]))
+        ids = [",".join(map(str, x.tolist())) for x in np.split(conv, starts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(depth[starts]), pa.array(fp[starts]), pa.array(conv[starts]), pa.array(ids)], ["depth", "fp", "first_id", "ids"])
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest a node of sorted runs (depth, fp, first_id, ids): they go through it one after the other, so that a node with any number of them takes no memory."""
+    key, digest = None, None
+    names = ["depth", "fp", "ends_sha256"]
+    for b in batches:
+        out: list[tuple] = []
+        for *own, ids in zip(*(b.column(c).to_pylist() for c in ("depth", "fp", "ids")), strict=True):
+            if own == key:
+                digest.update(b"," + ids.encode())
+                continue
+            if key:
+                out.append((*key, digest.hexdigest()))
+            key, digest = own, hashlib.sha256(ids.encode())
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], _DIGESTS)
+    if key:
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, digest.hexdigest()), strict=True))], _DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, digest = None, None
-        for b in batches:
-            out: list[tuple] = []
-            depth, fp, conv = (b.column(c).to_numpy() for c in ("depth", "fp", "conv_id"))
-            cuts = np.flatnonzero((depth[1:] != depth[:-1]) | (fp[1:] != fp[:-1])) + 1
-            for at, end in zip([0, *cuts], [*cuts, len(depth)], strict=True):
-                if end == at:
-                    continue
-                listed = ",".join(map(str, conv[at:end].tolist())).encode()
-                if key == (depth[at], fp[at]):
-                    digest.update(b"," + listed)
-                    continue
-                if key:
-                    out.append((*key, digest.hexdigest()))
-                key, digest = (depth[at], fp[at]), hashlib.sha256(listed)
-            if out:
-                yield _rows(out)
-        if key:
-            yield _rows([(*key, digest.hexdigest())])
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        d, f, s = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(f, pa.int64()), pa.array(s, pa.string())], ["depth", "fp", "ends_sha256"])
-
-    return ends.repartition("depth", "fp").sortWithinPartitions("depth", "fp", "conv_id").mapInArrow(run, "depth int, fp long, ends_sha256 string")
+
+_DIGESTS = pa.schema([("depth", pa.int32()), ("fp", pa.int64()), ("ends_sha256", pa.string())])
+
+
+def _ends_digests(ends: DataFrame) -> DataFrame:
+    """(depth, fp, ends_sha256) of (depth, fp, conv_id). Ids are sorted and joined by ranges, which divide a node that many conversations end at; only the digest itself is one pass over the joined runs."""
+    runs = ends.repartitionByRange("depth", "fp", "conv_id").sortWithinPartitions("depth", "fp", "conv_id").mapInArrow(_listed, _LISTED)
+    return runs.repartition("depth", "fp").sortWithinPartitions("depth", "fp", "first_id").mapInArrow(_digested, "depth int, fp long, ends_sha256 string")
 
 
 def _rolled_up(tree: DataFrame) -> DataFrame:
