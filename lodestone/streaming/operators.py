@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ACTIVE = "key string, seq long, change int, active long"
@@ -43,6 +45,106 @@ def coalesced(parts: DataFrame, every: str = "100 milliseconds", late: str = "1
     return parts.withWatermark("ts", late).groupBy("request_id", F.window("ts", every)).agg(joined.alias("content"))
 
 
+class _Anchored(StatefulProcessor):
+    """Holds parts until the watermark passes the end of the window that the first of them opened."""
+
+    def __init__(self, length_ms: int) -> None:
+        self.length = length_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "ms long, seq long, content string")
+
+    def _flush(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        """All windows that are over; what is left waits for a timer at the end of its own."""
+        held, out = sorted(self.parts.get()), []
+        while held and held[0][0] + self.length <= watermark:
+            anchor = held[0][0]
+            inside = [x for x in held if x[0] < anchor + self.length]
+            out.append((key[0], pd.Timestamp(anchor, unit="ms"), "".join(x[2] for x in inside), len(inside)))
+            held = held[len(inside) :]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held:
+            self.parts.put(held)
+            self.handle.registerTimer(held[0][0] + self.length)
+        else:
+            self.parts.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["request_id", "anchor", "content", "n"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(t), int(s), c or "") for b in rows for t, s, c in zip(b["ms"], b["seq"], b["content"], strict=True)]
+        self.parts.appendList(new)
+        yield from self._flush(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._flush(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def anchored(parts: DataFrame, length_ms: int = 100, late: str = "1 second") -> DataFrame:
+    """(request_id, anchor, content, n): parts (request_id, ts, seq, content) put together in windows that a request's first part opens, not the clock; the first part after one opens the next.
+
+    The part arms a timer for the window's end in event time, so that parts may come in any order up to `late`. Parts of
+    equal time go by seq. A request's state is its open window. It needs the RocksDB state store.
+    """
+    timed = parts.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return timed.groupBy("request_id").transformWithStateInPandas(_Anchored(length_ms), "request_id string, anchor timestamp, content string, n long", "append", "EventTime")
+
+
+TOTALS = "request_id string, closed_at long, tokens long, n_power long, per_query_kWh double, cpu_kWh double, gpu_kWh double, ram_kWh double, total_kWh double, duration double"
+_ENERGY = ("cpu_kWh", "gpu_kWh", "ram_kWh", "total_kWh", "duration")
+
+
+class _Totals(StatefulProcessor):
+    """Sums of a request's events; told once, when the watermark has passed its close."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.power = handle.getListState("power", "seq long, own boolean, " + ", ".join(f"{c} double" for c in _ENERGY))
+        self.known = handle.getValueState("known", "closed_at long, tokens_at long, tokens long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        closed_at, tokens_at, tokens = self.known.get() if self.known.exists() else (None, None, 0)
+        power = []
+        for b in rows:
+            for r in b.to_dict("records"):
+                if r["type"] == "close" and (closed_at is None or r["seq"] < closed_at):
+                    closed_at = int(r["seq"])
+                    for t in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(t)
+                    self.handle.registerTimer(int(r["ms"]) + 1)
+                elif r["type"] == "sources" and (tokens_at is None or r["seq"] > tokens_at):
+                    tokens_at, tokens = int(r["seq"]), int(r["tokens"] or 0)
+                elif str(r["type"]).startswith("power_"):
+                    power.append((int(r["seq"]), r["type"] != "power_index", *(float(r[c] or 0) for c in _ENERGY)))
+        self.known.update((closed_at, tokens_at, tokens))
+        if power:
+            self.power.appendList(power)
+        yield pd.DataFrame(columns=[c.split()[0] for c in TOTALS.split(", ")]).iloc[:0]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        closed_at, _, tokens = self.known.get()
+        before = [p for p in self.power.get() if p[0] < closed_at]
+        sums = [sum(p[i] for p in before) for i in range(2, 2 + len(_ENERGY))]
+        own = float(sum(p[2 + _ENERGY.index("total_kWh")] for p in before if p[1]))
+        self.power.clear()
+        self.known.clear()
+        yield pd.DataFrame([(key[0], closed_at, tokens, len(before), own, *map(float, sums))], columns=[c.split()[0] for c in TOTALS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def totals_at_close(events: DataFrame, late: str = "1 second") -> DataFrame:
+    """TOTALS of events (request_id, ts, seq, type, tokens, energies), a row for each request, once, when its close can't be preceded by anything late any more; then the request's state goes. A request that is never closed tells nothing. It needs the RocksDB state store."""
+    timed = events.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return timed.groupBy("request_id").transformWithStateInPandas(_Totals(), TOTALS, "append", "EventTime")
+
+
 def dispatch(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> None:
     """Gives each sink its type's events of a micro-batch; other types are left alone. For foreachBatch."""
     batch.persist()
