@@ -22,7 +22,8 @@ def js_trim(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return py_strip(c) == ""
+    """Whether py_strip() leaves nothing; it reads no further than the first letter."""
+    return F.rlike(c, F.lit(rf"\A[{PY_SPACE}]*\z"))
 
 
 def normalize_spaces(c: Column) -> Column:

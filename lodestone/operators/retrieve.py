@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..conf import EngineConf
 from ..functions import text, vector
@@ -22,6 +27,97 @@ def score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return q.join(chunks, "dataset_id").withColumn("score", vector.cosine(F.col("query_vector"), F.col("vector"), F.col("query_norm"), F.col("norm")))
 
 
+#: Chunks and queries of a data set that one task multiplies.
+CHUNK_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def _vectors(vectors: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The dimension of each vector, -1 where it is null or holds null, and a matrix of those of each dimension."""
+    lists = vectors.combine_chunks()
+    flat = pc.list_flatten(lists)
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(np.maximum(sizes, 0))
+    nulls = np.concatenate([[0], np.cumsum(pc.is_null(flat).to_numpy(zero_copy_only=False))])
+    dims = np.where(nulls[ends] == nulls[ends - np.maximum(sizes, 0)], sizes, -1)
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    return dims, {int(d): values[(ends[dims == d] - d)[:, None] + np.arange(d)] for d in np.unique(dims) if d >= 0}
+
+
+def _scores(queries: pa.ChunkedArray, chunks: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The cosine of every query with every chunk, and where there is none, as vector.cosine has it."""
+    (q_dims, q_of), (c_dims, c_of) = _vectors(queries), _vectors(chunks)
+    norms = []
+    for dims, of in ((q_dims, q_of), (c_dims, c_of)):
+        own = np.full(len(dims), np.nan)
+        for d, m in of.items():
+            own[dims == d] = np.sqrt((m * m).sum(1))
+        norms.append(own)
+    size = norms[0][:, None] * norms[1][None, :]
+    score = np.full(size.shape, np.nan)
+    for d in q_of.keys() & c_of.keys():
+        score[np.ix_(q_dims == d, c_dims == d)] = q_of[d] @ c_of[d].T
+    score /= size
+    known = (q_dims >= 0)[:, None] & (c_dims >= 0)[None, :]
+    score[known & (size == 0)] = np.nan
+    return score, ~(known & ((q_dims[:, None] == c_dims[None, :]) | (size == 0)))
+
+
+def _best(queries: pa.Table, chunks: pa.Table, top_n: int, places: int | None) -> pa.Table:
+    """The top_n of a block of chunks for each of a block of queries."""
+    position = chunks.column("position").to_numpy()
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        score, none = _scores(queries.column("query_vector"), chunks.column("vector"))
+        if places is not None:
+            score = np.round(score, places)
+    # As Spark sorts from the top: what isn't a number, numbers, nothing.
+    key = np.where(np.isnan(score), np.inf, score)
+    key[none] = -np.inf
+    n = min(top_n, len(position))
+    least = np.partition(key, len(position) - n, axis=1)[:, len(position) - n]
+    row, col = np.nonzero(key >= least[:, None])
+    order = np.lexsort((-position[col], -key[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < n
+    row, col = row[kept], col[kept]
+    values = pa.array(score[row, col], mask=none[row, col])
+    take = lambda name, at: queries.column(name).combine_chunks().take(pa.array(at))
+    return pa.table({"query_id": take("query_id", row), "dataset_id": take("dataset_id", row), "position": pa.array(position[col].astype(np.int32)), "score": values})
+
+
+def top(queries: DataFrame, chunks: DataFrame, top_n: int, places: int | None = None, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, dataset_id, position, score, rank): the same as top_chunks(score()), by position in the data set, without a row for each pair.
+
+    Chunks of a data set (dataset_id, position, vector) are dealt into blocks of positions and its queries (query_id,
+    dataset_id, query_vector) into blocks by a hash; each block meets each once, as the product of two matrices, and only
+    its top_n of every query go on. So a data set of any size spreads over tasks, and of vectors and numbers alone.
+    places: scores are rounded before they are ranked. Scores are those of vector.cosine: null with a vector that is
+    null, holds null or has another dimension, which comes last; NaN comes first.
+    """
+    if top_n < 1:
+        raise ValueError("top_n must be 1 or more")
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    of_queries = queries.groupBy("dataset_id").agg(F.ceil(F.count("*") / query_block).alias("n_query_blocks"))
+    of_chunks = chunks.groupBy("dataset_id").agg((F.floor(F.max("position") / chunk_block) + 1).alias("n_chunk_blocks"))
+    sizes = of_queries.join(of_chunks, "dataset_id")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = queries.select("dataset_id", "query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).join(sizes, "dataset_id")
+    asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("n_query_blocks"))).withColumn("chunk_block", upto("n_chunk_blocks")).drop("n_query_blocks", "n_chunk_blocks")
+    held = chunks.select("dataset_id", "position", F.col("vector").cast("array<double>").alias("vector")).join(sizes, "dataset_id")
+    held = held.withColumn("chunk_block", F.floor(F.col("position") / chunk_block)).withColumn("query_block", upto("n_query_blocks")).drop("n_query_blocks", "n_chunk_blocks")
+    block = ["dataset_id", "query_block", "chunk_block"]
+    schema = f"query_id {id_type}, dataset_id string, position int, score double"
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    met = asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInArrow(lambda q, c: _best(q, c, top_n, places) if q.num_rows and c.num_rows else empty, schema)
+    return top_chunks(met, top_n)
+
+
+def winners(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What top() found, with the other columns of its chunks; contents move for these alone."""
+    found = best.select("query_id", "rank", "score", F.col("dataset_id").alias("of_dataset"), F.col("position").alias("of_position"))
+    return found.join(chunks, (F.col("of_dataset") == F.col("dataset_id")) & (F.col("of_position") == F.col("position"))).drop("of_dataset", "of_position")
+
+
 def top_chunks(scored: DataFrame, top_n: int) -> DataFrame:
     """The top_n by score, NaN first, ties to the later position."""
     if top_n < 1:
@@ -97,7 +193,7 @@ def pack_flat(top: DataFrame, limit: int) -> DataFrame:
 
 def retrieve(queries: DataFrame, chunks: DataFrame, conf: EngineConf) -> tuple[DataFrame, DataFrame]:
     """The expanded top chunks of each query, and the verdicts on them and their related chunks."""
-    expanded = expand(top_chunks(score(queries, chunks), conf.top_n), chunks)
+    expanded = expand(winners(top(queries, chunks, conf.top_n), chunks), chunks)
     return expanded, pack(expanded, conf.budget)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..conf import EngineConf
 from ..functions import numbers, text, vector
 from ..operators import graph, index, prompt, retrieve
+from ..sources import shared
 
 CONF = EngineConf()
 TEMPLATES = {"0": "Context:\n{context_str}\n\nQuestion: {query_str}", "default": "{context_str}\n---\n{query_str} {{end}}"}
@@ -36,8 +37,9 @@ chunks AS (
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store is written once, as a service keeps it, and each use reads the columns that it needs."""
     own = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
-    return index.build(chunks(spark, sf_dir).join(own, "doc_id").withColumn("dataset_id", F.col("label")).drop("label", "doc_id"))
+    return shared.written(index.build(chunks(spark, sf_dir).join(own, "doc_id").withColumn("dataset_id", F.col("label")).drop("label", "doc_id")))
 
 
 STORE = (
@@ -62,6 +64,12 @@ def rounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return retrieve.score(asked(spark, sf_dir), own).withColumn("score", F.round("score", 6)), own
 
 
+def best(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The top chunks of each query by scores of six places, and the store."""
+    own = store(spark, sf_dir)
+    return retrieve.top(asked(spark, sf_dir), own, CONF.top_n, places=6), own
+
+
 SCORED = (
     STORE
     + """,
@@ -77,17 +85,19 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.top_chunks(rounded(spark, sf_dir)[0], CONF.top_n).select("query_id", "rank", "id", "score")
+    found, own = best(spark, sf_dir)
+    return retrieve.winners(found, own.select("dataset_id", "position", "id")).select("query_id", "rank", "id", "score")
 
 
 def retrieve_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = retrieve.top_chunks(rounded(spark, sf_dir)[0], CONF.top_n)
-    return retrieve.pack_flat(top, CONF.budget).select("query_id", "rank", "id", "num_tokens", "total", "skip", "skip_reason")
+    found, own = best(spark, sf_dir)
+    return retrieve.pack_flat(retrieve.winners(found, own.select("dataset_id", "position", "id", "num_tokens")), CONF.budget).select("query_id", "rank", "id", "num_tokens", "total", "skip", "skip_reason")
 
 
 def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, own = rounded(spark, sf_dir)
-    return retrieve.expand(retrieve.top_chunks(scored, CONF.top_n), own)
+    found, own = best(spark, sf_dir)
+    own = own.drop("vector", "norm")
+    return retrieve.expand(retrieve.winners(found, own), own)
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,16 @@ def raw_as_text(chunks: DataFrame, with_id: bool = True) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, text): lines with their numbers from 0, without line ends; no line after a last line end."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("l"))
-    kept = F.when(F.element_at("l", -1) == "", F.slice("l", F.lit(1), F.size("l") - 1)).otherwise(F.col("l"))
-    return whole.select("path", F.posexplode(kept).alias("line_no", "text"))
+    """(path, line_no, text): lines with their numbers from 0, without line ends (LF; a CR stays); no line after a last line end.
+
+    Files are read in splits. What a split's lines stand after is the running sum of the splits' counts, a row a split;
+    inside a split, lines are numbered as they are read.
+    """
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    sizes = read.groupBy("path", "split").agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    upto = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("path", "split", "first", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"))
+    return read.join(before, ["path", "split"]).select("path", (F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "text")
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
