@@ -5,27 +5,89 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import shared
 
 ALIGNED = "chunk_idx int, seq int, original_content string, content string, matched boolean"
 
 
-def first_prefix_match(lines: DataFrame, reference: DataFrame, key_length: int = 12) -> DataFrame:
-    """lines (line, ...) with the first reference line (line_no, ref) that begins with each, or null.
+_SCANNED = "line string, line_no long, part int, kind string, least array<long>"
+_SCANNED_ARROW = pa.schema([("line", pa.string()), ("line_no", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("least", pa.list_(pa.int64()))])
 
-    Lines of key_length code points or more meet only reference lines with the same beginning, by an equi-join; shorter
-    ones join on as many code points as they have, which the reference lists for each of its short beginnings.
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of one range in order, lines before references that equal them. What begins with a line follows it directly, so that lines wait on a stack, each inside the one below it, until a text doesn't begin with them.
+
+    Rows of kind done, of kind open for lines whose references may go on in the next range, and one of kind first: the
+    first reference of the range, with the lowest number of those that share its first 0, 1, 2, ... code points.
+    """
+    stack: list[list] = []
+    first, common, part = None, 0, None
+    lowest: dict[int, int] = {}
+
+    def popped(kind: str) -> tuple:
+        line, n = stack.pop()
+        if stack and n is not None:
+            stack[-1][1] = n if stack[-1][1] is None else min(stack[-1][1], n)
+        return line, n, part, kind, None
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCANNED_ARROW, strict=True)], schema=_SCANNED_ARROW)
+
+    for b in batches:
+        out: list[tuple] = []
+        for s, n, part in zip(*(b.column(c).to_pylist() for c in ("s", "line_no", "part")), strict=True):  # noqa: B007
+            while stack and not s.startswith(stack[-1][0]):
+                out.append(popped("done"))
+            if n is None:
+                stack.append([s, None])
+                continue
+            if first is None:
+                first, common = s, len(s)
+            while not s.startswith(first[:common]):
+                common -= 1
+            lowest[common] = min(lowest.get(common, n), n)
+            if stack:
+                stack[-1][1] = n if stack[-1][1] is None else min(stack[-1][1], n)
+        if out:
+            yield batch(out)
+    out = []
+    while stack:
+        out.append(popped("open"))
+    if first is not None:
+        least, held = [], None
+        for k in range(len(first), -1, -1):
+            held = min(lowest.get(k, held), held) if held is not None else lowest.get(k)
+            least.append(held)
+        out.append((first, None, part, "first", least[::-1]))
+    if out:
+        yield batch(out)
+
+
+def first_prefix_match(lines: DataFrame, reference: DataFrame) -> DataFrame:
+    """lines (line, ...) with line_no, the lowest number of a reference line (line_no, ref) that begins with it, or null.
+
+    Distinct lines and references are sorted together by ranges: those that begin with a line are an interval after it,
+    read once, however many begin alike. An interval that reaches into later ranges meets their first references, a row
+    a range. The empty line begins all; a null line or reference has no part in it.
     """
-    begin = F.explode(F.transform(F.sequence(F.lit(0), F.lit(key_length)), lambda n: F.struct(n.alias("n"), F.left("ref", n).alias("key"))))
-    listed = reference.select("line_no", "ref", begin.alias("k")).where(F.length("k.key") == F.col("k.n")).select("line_no", "ref", "k.n", "k.key")
-    n = F.least(F.length("line"), F.lit(key_length))
-    distinct = lines.select("line").distinct().withColumn("own_n", n).withColumn("own_key", F.left("line", n))
-    met = distinct.join(listed, (F.col("own_n") == F.col("n")) & (F.col("own_key") == F.col("key")) & F.startswith("ref", "line"))
-    first = met.groupBy(F.col("line").alias("of_line")).agg(F.min("line_no").alias("line_no"), F.min_by("ref", "line_no").alias("ref"))
-    return lines.join(first, F.col("line") == F.col("of_line"), "left").drop("of_line")
+    refs = reference.where("ref IS NOT NULL AND line_no IS NOT NULL").groupBy(F.col("ref").alias("s")).agg(F.min(F.col("line_no").cast("long")).alias("line_no"))
+    own = lines.where("line IS NOT NULL").select(F.col("line").alias("s")).distinct().withColumn("line_no", F.lit(None).cast("long"))
+    sorted_ = refs.unionByName(own).repartitionByRange("s").sortWithinPartitions("s", F.asc_nulls_first("line_no")).withColumn("part", F.spark_partition_id())
+    found = shared.written(sorted_.mapInArrow(_scan, _SCANNED))
+    waiting = found.where("kind = 'open'").select("line", F.col("part").alias("of_part"))
+    # Lengths alone, at most as many as the longest line has code points.
+    lengths = waiting.agg(F.collect_set(F.length("line")).alias("lengths"))
+    firsts = found.where("kind = 'first'").join(F.broadcast(lengths)).select("part", F.col("line").alias("first"), "least", F.explode(F.filter("lengths", lambda n: n <= F.length("line"))).alias("n"))
+    beginnings = firsts.select("part", F.expr("left(first, n)").alias("beginning"), F.expr("least[n]").alias("later"))
+    more = waiting.join(beginnings, (F.col("line") == F.col("beginning")) & (F.col("part") > F.col("of_part"))).groupBy(F.col("line").alias("of_line")).agg(F.min("later").alias("later"))
+    lowest = found.where("kind <> 'first'").select("line", "line_no").join(more, F.col("line") == F.col("of_line"), "left")
+    lowest = lowest.select(F.col("line").alias("of_line"), F.least("line_no", "later").alias("line_no")).where("line_no IS NOT NULL")
+    return lines.join(lowest, F.col("line") == F.col("of_line"), "left").drop("of_line")
 
 
 def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -42,7 +104,7 @@ def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataF
     """
     lines = chunks.select("chunk_idx", F.posexplode("lines").alias("at", "line"))
     usable = reference.where(F.col("en").isNotNull()).select("line_no", F.struct("de", "en").alias("both"), F.col("de").alias("ref"))
-    found = first_prefix_match(lines.where("line <> ''"), usable.select("line_no", "ref"))
+    found = first_prefix_match(lines.where("line <> ''"), usable)
     found = found.join(usable.select(F.col("line_no").alias("n"), "both"), F.col("line_no") == F.col("n"), "left")
     with_blank = found.select("chunk_idx", "at", "line", "both").unionByName(lines.where("line = ''").select("chunk_idx", "at", "line", F.lit(None).cast("struct<de:string,en:string>").alias("both")))
     per_chunk = with_blank.groupBy("chunk_idx").agg(F.array_sort(F.collect_list(F.struct("at", "line", "both.de", "both.en"))).alias("lines"))

@@ -89,3 +89,26 @@ def test_written_tables(spark: SparkSession) -> None:
     back = shared.written(table)
     assert sorted(back.collect()) == sorted(table.collect())
     assert back.schema == table.schema
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 40])
+def test_prefix_match_over_ranges(spark: SparkSession, ranges: int) -> None:
+    """Intervals of references that begin alike, over one range or many."""
+    from lodestone.operators import align
+
+    random.seed(6)
+    refs = [(random.randint(0, 10_000), "same beginning " * 3 + "".join(random.choices("abé", k=random.randint(0, 6)))) for _ in range(600)]
+    refs += [(random.randint(0, 10_000), "".join(random.choices("ab ", k=random.randint(0, 5)))) for _ in range(50)] + [(3, None), (None, "unnumbered")]
+    lines = ["", None, "same", "same beginning", "same beginning " * 3, "same beginning " * 4, "unnumbered", "zz", "b", "\U0001f600"]
+    lines += [r[: random.randint(0, len(r))] for _, r in refs if r is not None for _ in range(2)]
+    expected = [(x, min((n for n, r in refs if x is not None and r is not None and n is not None and r.startswith(x)), default=None)) for x in lines]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = align.first_prefix_match(spark.createDataFrame([(x,) for x in lines], "line string"), spark.createDataFrame(refs, "line_no long, ref string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert sorted(map(str, ((r["line"], r["line_no"]) for r in got))) == sorted(map(str, expected))
