@@ -13,12 +13,17 @@ JS_SPACE = r"\t-\r\x20\xa0  -     　﻿"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+#: The same one by one: Python's white space, and JavaScript's, which lacks four separators and NEL, and has the byte-order mark.
+PY_CHARS = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+JS_CHARS = "".join(c for c in PY_CHARS if c not in "\x1c\x1d\x1e\x1f\x85") + "\ufeff"
+
+
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{PY_SPACE}]+|[{PY_SPACE}]+\z", "")
+    return F.btrim(c, F.lit(PY_CHARS))
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{JS_SPACE}]+|[{JS_SPACE}]+\z", "")
+    return F.btrim(c, F.lit(JS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -28,7 +33,7 @@ def is_blank(c: Column) -> Column:
 
 def normalize_spaces(c: Column) -> Column:
     """Each run of white space becomes one blank, none at the ends."""
-    return py_strip(F.regexp_replace(c, rf"[{PY_SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, rf"[{PY_SPACE}]+", " "))
 
 
 def splitlines(c: Column) -> Column:

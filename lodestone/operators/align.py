@@ -102,7 +102,7 @@ def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataF
     beginning; the entry holds the whole reference line in both languages. Lines come with their candidates by a join on their beginnings, so the fold over one chunk sees only
     those. compat: a blank line between lines taken doesn't count among them, so that the last of them comes again.
     """
-    lines = chunks.select("chunk_idx", F.posexplode("lines").alias("at", "line"))
+    lines = shared.written(chunks.select("chunk_idx", F.posexplode("lines").alias("at", "line")))
     usable = reference.where(F.col("en").isNotNull()).select("line_no", F.struct("de", "en").alias("both"), F.col("de").alias("ref"))
     found = first_prefix_match(lines.where("line <> ''"), usable)
     found = found.join(usable.select(F.col("line_no").alias("n"), "both"), F.col("line_no") == F.col("n"), "left")

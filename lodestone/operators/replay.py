@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions import text
+
 #: An item: a chunk has a title and all lists, anything less is a plain text.
 LISTS = ("keywords", "negativeKeywords", "relevantChunksIds", "parameters")
 ITEM = {"id": "string", "title": "string", "content": "string", **dict.fromkeys(LISTS, "array<string>")}
 FIELDS = tuple(ITEM)
 #: What an action may need: create (id, start, end), delete (id), update (id, property, value or values), set (items); others change no item.
 ACTION = {"action": "string", "id": "string", "start": "long", "end": "long", "property": "string", "value": "string", "values": "array<string>", "items": f"array<struct<{', '.join(f'{k}: {v}' for k, v in ITEM.items())}>>"}
-#: White space as String.trim() knows it.
-SPACE = "\t\n\v\f\r \xa0                　﻿"
 
 
 def complete(items: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _create(items: list[dict], doc: Any, a: dict) -> list[dict]:
     if not a["id"] or start is None or end is None or start >= end or at is None or not _is_text(items[at]):
         return items
     content = items[at]["content"]
-    before, own, after = (x.strip(SPACE) for x in (content[:start], content[start:end], content[end:]))
+    before, own, after = (x.strip(text.JS_CHARS) for x in (content[:start], content[start:end], content[end:]))
     made = [(0, _text("", before))] if before else []
     made.append((1, {**_text("", own), "title": "", **{c: [] for c in LISTS}}))
     made += [(2, _text("", after))] if after else []
@@ -81,7 +81,7 @@ def _delete(items: list[dict], doc: Any, a: dict) -> list[dict]:
                 out[-1]["content"] += following["content"]
                 following = next(rest)
         item = following
-    return [x for x in out if x["content"].strip(SPACE)]
+    return [x for x in out if x["content"].strip(text.JS_CHARS)]
 
 
 def _update(items: list[dict], _: Any, a: dict) -> list[dict]:

@@ -112,3 +112,15 @@ def test_prefix_match_over_ranges(spark: SparkSession, ranges: int) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", held)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
     assert sorted(map(str, ((r["line"], r["line_no"]) for r in got))) == sorted(map(str, expected))
+
+
+def test_white_space_at_the_ends(spark: SparkSession) -> None:
+    """As str.strip() has it; String.trim() has the byte-order mark, but no separators of files, groups, records and units."""
+    from lodestone.functions import text
+
+    ends = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if c.isspace() or c in "﻿​᠎"] + ["x"]
+    rows = [(f"{c}{c} a{c}b {c}", f"{c}{c} a{c}b {c}".strip()) for c in ends] + [("", ""), (" \n　", ""), ("a" * 1000 + " ", "a" * 1000)]
+    got = spark.createDataFrame(rows, "t string, expected string").select(text.py_strip(F.col("t")), "expected", text.js_trim(F.col("t")), text.normalize_spaces(F.col("t")), "t").collect()
+    assert all(r[0] == r[1] for r in got)
+    assert all(r[3] == " ".join(r[4].split()) for r in got)
+    assert all(r[2] == r[4].strip("".join({*map(chr, range(0x3001))} & {c for c in map(chr, range(0x3001)) if c.isspace()} - set("\x1c\x1d\x1e\x1f\x85")) + "﻿") for r in got)
