@@ -68,6 +68,27 @@ def active_requests(changes: DataFrame, key: str, order: list[str]) -> DataFrame
     return run.withColumn("active", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto))).drop("sum")
 
 
+def open_requests(changes: DataFrame, limit_seconds: float) -> DataFrame:
+    """(key, request_id, ts, seq, change, abandoned, active) of changes (key, request_id, ts, seq, change, +1 or -1): how many requests are open after each.
+
+    A request begins with its first start. It ends with the first end after that, or limit_seconds after it begins, as
+    abandoned, a row of its own with a null seq. Other starts and ends count for nothing. At equal times those given up
+    go first (by when they began), then ends, then starts, each by seq.
+    """
+    begun = changes.where("change > 0").groupBy("key", "request_id").agg(F.min(F.struct("ts", "seq")).alias("b"))
+    ends = changes.where("change < 0").select(F.col("key").alias("k"), F.col("request_id").alias("r"), "ts", "seq")
+    met = begun.join(ends, (F.col("key") == F.col("k")) & (F.col("request_id") == F.col("r")) & (F.col("ts") >= F.col("b.ts")), "left")
+    first = met.groupBy("key", "request_id").agg(F.first("b").alias("b"), F.min(F.struct("ts", "seq")).alias("e"))
+    limit = F.col("b.ts") + F.make_interval(secs=F.lit(limit_seconds))
+    in_time = F.coalesce(F.col("e.ts") < limit, F.lit(False))
+    row = lambda ts, seq, change, abandoned, rank: F.struct(ts.alias("ts"), seq.cast("long").alias("seq"), F.lit(change).alias("change"), abandoned.alias("abandoned"), rank.alias("rank"))
+    start = row(F.col("b.ts"), F.col("b.seq"), 1, F.lit(False), F.lit(2))
+    end = row(F.when(in_time, F.col("e.ts")).otherwise(limit), F.when(in_time, F.col("e.seq")), -1, ~in_time, in_time.cast("int"))
+    rows = first.select("key", "request_id", F.inline(F.array(start, end)))
+    upto = Window.partitionBy("key").orderBy("ts", "rank", "seq", "request_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("active", F.sum("change").over(upto)).drop("rank")
+
+
 def captcha(solution: Column, key: str | None, override: str | None, verified: Column) -> Column:
     """The gate's verdict: pass, 400 without a solution, else what the outside check said."""
     if not key:

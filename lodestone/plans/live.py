@@ -111,6 +111,17 @@ def response_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("request_id", "closed_at", "tokens", "n_power", *[F.round(c, 9).alias(c) for c in ("per_query_kWh", *response.ENERGY)])
 
 
+def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups as requests of ten keys that take as many minutes as their value says; a third of them never ends. After an hour and a half they are given up."""
+    e = read(spark, sf_dir, "events").where("event_type = 'signup'").select((F.col("user_id") % 10).cast("string").alias("key"), F.col("event_id").cast("string").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    over = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 60_000_000))
+    change = lambda ts, seq, n: F.struct(ts.alias("at"), seq.alias("seq"), F.lit(n).alias("change"))
+    both = F.array(change(F.col("ts"), F.col("event_id") * 2, 1), F.when(F.col("event_id") % 3 != 0, change(over, F.col("event_id") * 2 + 1, -1)))
+    changes = e.select("key", "request_id", F.inline(F.filter(both, lambda x: x.isNotNull()))).withColumnRenamed("at", "ts")
+    counted = events.open_requests(changes, 5400)
+    return counted.select("key", "request_id", F.unix_micros("ts").alias("micros"), "seq", "change", "abandoned", "active")
+
+
 TIMED = f"""{RESPONSE}, body AS (SELECT request_id, CAST(seq + 1 AS BIGINT) AS seq, type FROM response),
 tops AS (SELECT request_id, max(seq) AS top, CAST(string_split(request_id, '/')[1] AS BIGINT) AS conv FROM body GROUP BY 1),
 every AS (
@@ -119,8 +130,13 @@ every AS (
 ), timed AS (SELECT request_id, n, type, CASE WHEN type = 'sources' THEN seq * 100 END AS tokens, CASE WHEN starts_with(type, 'power_') THEN (seq + 1) / 1000 END AS kwh FROM every)"""
 _OWN = "starts_with(type, 'power_') AND type <> 'power_index'"
 
-QUERIES = {f.__name__: f for f in (action_log, anchored_windows, response_steps, response_totals)}
+QUERIES = {f.__name__: f for f in (action_log, anchored_windows, response_steps, response_totals, open_requests)}
 SQL = {
+    "open_requests": """WITH s AS (SELECT CAST(user_id % 10 AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS request_id, CAST(epoch_us(ts) AS BIGINT) AS t, event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(epoch_us(ts) AS BIGINT) + CAST(floor(value * 60000000) AS BIGINT) END AS over FROM events WHERE event_type = 'signup'),
+      r AS (SELECT key, request_id, t AS micros, event_id * 2 AS seq, 1 AS change, false AS abandoned, 2 AS rank FROM s
+        UNION ALL SELECT key, request_id, over, event_id * 2 + 1, -1, false, 1 FROM s WHERE over < t + 5400000000
+        UNION ALL SELECT key, request_id, t + 5400000000, NULL, -1, true, 0 FROM s WHERE over IS NULL OR over >= t + 5400000000)
+      SELECT key, request_id, micros, seq, change, abandoned, CAST(sum(change) OVER (PARTITION BY key ORDER BY micros, rank, seq, request_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active FROM r""",
     "action_log": f"WITH RECURSIVE {ACTION_LOG} SELECT doc, CAST(ord AS INTEGER) AS ord, CASE WHEN x.title IS NULL THEN 'text' ELSE 'chunk' END AS kind, x.id AS id, x.title AS title, x.kw AS keywords, sha256(x.content) AS sha FROM ended",
     "anchored_windows": """WITH RECURSIVE own AS (SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS t, event_id FROM events),
       walk AS (SELECT user_id, min(t) AS anchor FROM own GROUP BY 1 UNION ALL SELECT user_id, t FROM (SELECT w.user_id, o.t, row_number() OVER (PARTITION BY w.user_id ORDER BY o.t) AS place FROM walk w JOIN own o ON o.user_id = w.user_id AND o.t >= w.anchor + 86400000000) WHERE place = 1)

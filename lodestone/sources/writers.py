@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import chunk_files
 
 
 def vector_store(store: DataFrame, path: str) -> None:
@@ -14,11 +15,13 @@ def vector_store(store: DataFrame, path: str) -> None:
 
 
 def split_chunks(chunks: DataFrame, path: str) -> int:
-    """A folder for each id with the last chunk of that id as JSON; chunks without a title or an id are left out. Returns how many were there to write, repeated ids and all."""
+    """Writes <id>.json for each chunk, the last of those that share an id; ones without a title or an id are left out. Other files in the folder stay. Returns how many chunks there were to write, repeated ids and all, as the tasks that wrote them counted."""
     usable = chunks.where(F.col("title").isNotNull() & (F.coalesce("id", F.lit("")) != "") & (F.col("kind") != "raw"))
-    last = usable.groupBy("id").agg(F.max_by(F.struct(*[c for c in usable.columns if c != "id"]), "ord").alias("r"))
-    last.select(F.col("id").alias("file"), F.to_json(F.struct("id", "r.*"), {"pretty": "true"}).alias("value")).write.mode("overwrite").partitionBy("file").text(path)
-    return usable.count()
+    own = [c for c in usable.columns if c not in {"id", "ord", "kind", "dataset_id"}]
+    last = usable.groupBy("id").agg(F.max_by(F.struct(*own), "ord").alias("r"), F.count("*").alias("_n"))
+    chunk_files.register(chunks.sparkSession)
+    last.select("id", "r.*", "_n").write.format("chunk_files").option("weight", "_n").mode("append").save(path)
+    return chunk_files.rows_written(path)
 
 
 def document(chunks: DataFrame) -> DataFrame:

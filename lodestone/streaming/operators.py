@@ -155,6 +155,96 @@ def dispatch(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) ->
         batch.unpersist()
 
 
+def tracked_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """events (request_id, type, seq, ts, ...) without those that are sent again within `late` of the first."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id", "type", "seq"])
+
+
+def into(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes micro-batches for foreachBatch, a folder each: a batch that is run again after a failure replaces what it wrote before, and adds nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+ACTIVE_ROW = "key string, request_id string, ts timestamp, seq long, change int, abandoned boolean, active long"
+
+
+class _Open(StatefulProcessor):
+    """A key's open requests and when they are given up. Rows wait until the watermark passes them, so that they count in their own order."""
+
+    def __init__(self, limit_ms: int) -> None:
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, kind int, seq long, request_id string")
+        self.opened = handle.getMapState("opened", "request_id string", "ms long")
+
+    def _count(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        held = sorted(self.waiting.get())
+        opened = {k[0]: v[0] for k, v in self.opened.iterator()}
+        out: list[tuple] = []
+
+        def told(ms: int, seq: int | None, request: str, change: int, abandoned: bool) -> None:
+            out.append((key[0], request, pd.Timestamp(ms, unit="ms"), seq, change, abandoned, len(opened)))
+
+        def given_up(upto: int) -> None:
+            for request, ms in sorted(opened.items(), key=lambda x: (x[1], x[0])):
+                if ms + self.limit <= upto:
+                    del opened[request]
+                    told(ms + self.limit, None, request, -1, True)
+
+        done = 0
+        for ms, kind, seq, request in held:
+            if ms > watermark:
+                break
+            given_up(ms)
+            if kind and request not in opened:
+                opened[request] = ms
+                told(ms, seq, request, 1, False)
+            elif not kind and opened.pop(request, None) is not None:
+                told(ms, seq, request, -1, False)
+            done += 1
+        given_up(watermark)
+        self.opened.clear()
+        for request, ms in opened.items():
+            self.opened.updateValue((request,), (ms,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        ahead = [ms + self.limit for ms in opened.values()] + [x[0] for x in held[done : done + 1]]
+        if held[done:]:
+            self.waiting.put(held[done:])
+        else:
+            self.waiting.clear()
+        if ahead:
+            self.handle.registerTimer(max(min(ahead), watermark + 1))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in ACTIVE_ROW.split(", ")])
+        yield frame.astype({"seq": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.waiting.appendList([(int(m), int(c > 0), int(s), r) for b in rows for m, c, s, r in zip(b["ms"], b["change"], b["seq"], b["request_id"], strict=True)])
+        yield from self._count(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._count(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def open_requests(changes: DataFrame, limit_ms: int, late: str = "1 second") -> DataFrame:
+    """ACTIVE_ROW of changes (key, request_id, ts, seq, change): how many requests are open after each, as operators.events.open_requests has it.
+
+    A request that isn't ended limit_ms after its start is given up by a timer in event time, which tells the decrement
+    that nobody sent. A key's state is its open requests. It needs the RocksDB state store.
+    """
+    timed = changes.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Open(limit_ms), ACTIVE_ROW, "append", "EventTime")
+
+
 def totals(events: DataFrame) -> DataFrame:
     """Running energy and count of each request, for update mode."""
     return events.groupBy("request_id").agg(F.sum("total_kWh").alias("total_kWh"), F.count("*").alias("n_events"))

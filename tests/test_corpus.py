@@ -233,7 +233,7 @@ def test_manual_index(spark, tmp_path):  # noqa: ANN001
     assert readers.raw_as_text(readers.manual_index(spark, str(path))).where("kind = 'text' AND id IS NOT NULL").count() == 2
     chunks = readers.manual_index(spark, str(path), "ds")
     assert writers.split_chunks(chunks, str(tmp_path / "out")) == 1
-    assert (tmp_path / "out" / "file=c").exists()
+    assert (tmp_path / "out" / "c.json").exists()
     assert '"title" : "T"' in writers.document(chunks).first()["value"]
 
 

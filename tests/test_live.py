@@ -176,3 +176,72 @@ def test_totals_stream(spark: SparkSession, tmp_path: Path) -> None:
     batches = [[r for r in EVENTS if r not in late], late, [event("z", 100, 0, "open")], [event("z", 200, 1, "open")]]
     got = streamed(spark, tmp_path, batches, EVENT, lambda e: streaming.totals_at_close(e, "30 seconds"), "totals")
     assert sorted(got) == TOTALS
+
+
+CHANGE = "key string, request_id string, ts timestamp, seq long, change int"
+CHANGES = [(k, r, T0 + timedelta(seconds=t), s, c) for k, r, t, s, c in [("k", "a", 0, 0, 1), ("k", "b", 1, 1, 1), ("k", "a", 3, 2, -1), ("k", "a", 4, 3, -1), ("k", "c", 11, 4, 1), ("k", "b", 12, 5, -1), ("k", "c", 13, 6, -1), ("j", "x", 2, 7, -1), ("j", "y", 5, 8, 1), ("j", "y", 6, 9, 1)]]
+OPEN = [("j", "y", 5, 8, 1, False, 1), ("j", "y", 15, None, -1, True, 0), ("k", "a", 0, 0, 1, False, 1), ("k", "a", 3, 2, -1, False, 1), ("k", "b", 1, 1, 1, False, 2), ("k", "b", 11, None, -1, True, 0), ("k", "c", 11, 4, 1, False, 1), ("k", "c", 13, 6, -1, False, 0)]
+
+
+def plain(rows: list[tuple]) -> list[str]:
+    return sorted(map(str, ((k, r, (ts - T0).total_seconds(), None if s is None or s != s else int(s), c, a, n) for k, r, ts, s, c, a, n in rows)))  # noqa: PLR0124
+
+
+def test_open_requests(spark: SparkSession) -> None:
+    """A request that nobody ends is given up; what comes for it later counts for nothing."""
+    from lodestone.operators import events
+
+    assert plain([tuple(r) for r in events.open_requests(spark.createDataFrame(CHANGES, CHANGE), 10).collect()]) == plain([(k, r, T0 + timedelta(seconds=t), *x) for k, r, t, *x in OPEN])
+    assert events.open_requests(spark.createDataFrame([], CHANGE), 10).collect() == []
+
+
+def test_open_requests_stream(spark: SparkSession, tmp_path: Path) -> None:
+    later = [("z", "z", T0 + timedelta(seconds=t), 99, -1) for t in (500, 600)]
+    batches = [CHANGES[4:7] + CHANGES[:1], CHANGES[1:4] + CHANGES[7:], later[:1], later[1:]]
+    got = streamed(spark, tmp_path, batches, CHANGE, lambda c: streaming.open_requests(c, 10_000, "60 seconds"), "opened")
+    assert plain(got) == plain([(k, r, T0 + timedelta(seconds=t), *x) for k, r, t, *x in OPEN])
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark: SparkSession, tmp_path: Path) -> None:
+    schema = "request_id string, type string, seq long, ts timestamp, value string"
+    row = lambda n, s: (f"r{n}", "user", 0, T0 + timedelta(seconds=s), f"v{n}")
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+
+    def run() -> list[str]:
+        events = streaming.tracked_once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+        query = events.writeStream.foreachBatch(streaming.into(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return sorted(r["value"] for r in spark.read.parquet(out).collect())
+
+    spark.createDataFrame([row(1, 0), row(2, 1), row(1, 2)], schema).coalesce(1).write.mode("append").parquet(source)
+    assert run() == ["v1", "v2"]
+    spark.createDataFrame([row(3, 3), row(2, 4)], schema).coalesce(1).write.mode("append").parquet(source)
+    once = run()
+    assert once == ["v1", "v2", "v3"]
+    # As if it had failed after its output and before it was told done: the last batch runs again.
+    commits = sorted((p for p in (tmp_path / "checkpoint/commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run() == once
+
+
+def test_chunk_files(spark: SparkSession, tmp_path: Path) -> None:
+    import json
+
+    from lodestone.sources import chunk_files, writers
+
+    rows = [("d", n, kind, i, t, c, ["k"]) for n, (kind, i, t, c) in enumerate([("chunk", "a", "old", "1"), ("chunk", "b", "ü", "2\n"), ("text", "c", None, "3"), ("raw", None, None, "4"), ("chunk", "", "x", "5"), ("chunk", "a", "new", "6"), ("chunk", None, "x", "7")])]
+    chunks = spark.createDataFrame(rows, "dataset_id string, ord int, kind string, id string, title string, content string, keywords array<string>").repartition(3)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/other.json").write_text("{}")
+    assert writers.split_chunks(chunks, str(tmp_path / "out")) == 3
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["_SUCCESS", "a.json", "b.json", "other.json"]
+    assert json.loads((tmp_path / "out/a.json").read_text()) == {"id": "a", "title": "new", "content": "6", "keywords": ["k"]}
+    assert (tmp_path / "out/b.json").read_text() == '{\n  "id": "b",\n  "title": "ü",\n  "content": "2\\n",\n  "keywords": [\n    "k"\n  ]\n}'
+
+    # Of a write that fails, nothing is published; a task that is being killed may still leave an unused folder.
+    bad = spark.range(20).select(F.when(F.col("id") == 13, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("id"))
+    chunk_files.register(spark)
+    with pytest.raises(Exception, match="broken"):
+        bad.write.format("chunk_files").mode("append").save(str(tmp_path / "bad"))
+    assert all(p.name.startswith("_staging-") for p in (tmp_path / "bad").glob("*"))
