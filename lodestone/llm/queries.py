@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def crc_of_id(modulus: int) -> Column:
+    """Null for a null id, which is neither learnt from nor held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
 
@@ -46,7 +47,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language_id.fit(docs.where(crc_of_id(4) != 2).select("text", "lang"))
-    return language_id.predict(docs, filters).select("doc_id", (crc_of_id(4) == 2).alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs, filters).select("doc_id", F.coalesce(crc_of_id(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = lm_scoring.score(docs, crc_of_id(5) != 1)
-    return scored.select("doc_id", (crc_of_id(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", F.coalesce(crc_of_id(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
