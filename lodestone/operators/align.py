@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -95,6 +95,27 @@ def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.withColumnRenamed("text", "other"), ["doc", "line_no"])
 
 
+def walk(items: Sequence[Mapping], compat: bool = True) -> Iterator[tuple[str, str, bool]]:
+    """(original_content, content, matched) of one chunk's lines in order, each with its candidate (line, de, en): the fold of align()."""
+    at = 0
+    while at < len(items):
+        line, de, en = items[at]["line"], items[at]["de"], items[at]["en"]
+        taken, upto = 1, at + 1
+        if line and de is not None:
+            whole = line
+            for k in range(at + 1, len(items)):
+                if not items[k]["line"]:
+                    continue
+                longer = f"{whole} {items[k]['line']}"
+                if not de.startswith(longer):
+                    break
+                whole, taken, upto = longer, taken + 1, k + 1
+            yield de, en, True
+        elif line:
+            yield line, "", False
+        at = at + taken if compat else upto
+
+
 def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataFrame:
     """ALIGNED rows: each chunk's lines (chunk_idx, lines array of normalised lines) against the reference (line_no, de, en) in ascending order.
 
@@ -111,26 +132,7 @@ def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataF
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for idx, items in zip(batch["chunk_idx"], batch["lines"], strict=True):
-                at, seq = 0, 0
-                while at < len(items):
-                    line, de, en = items[at]["line"], items[at]["de"], items[at]["en"]
-                    taken, upto = 1, at + 1
-                    if line and de is not None:
-                        whole, k = line, at + 1
-                        while k < len(items):
-                            if items[k]["line"]:
-                                if not de.startswith(f"{whole} {items[k]['line']}"):
-                                    break
-                                whole, taken, upto = f"{whole} {items[k]['line']}", taken + 1, k + 1
-                            k += 1
-                        out.append((idx, seq, de, en, True))
-                        seq += 1
-                    elif line:
-                        out.append((idx, seq, line, "", False))
-                        seq += 1
-                    at = at + taken if compat else upto
+            out = [(idx, seq, *x) for idx, items in zip(batch["chunk_idx"], batch["lines"], strict=True) for seq, x in enumerate(walk(items, compat))]
             yield pd.DataFrame(out, columns=["chunk_idx", "seq", "original_content", "content", "matched"])
 
     return per_chunk.mapInPandas(fold, ALIGNED)

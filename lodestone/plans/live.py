@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..operators import events, replay, response
 from .corpus import ITEMS, RESPONSE, items, known, parts, requests
 from .retrieval import read
@@ -122,6 +123,15 @@ def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("key", "request_id", F.unix_micros("ts").alias("micros"), "seq", "change", "abandoned", "active")
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark SQL alone: documents with blanks around, and the likeness of each vector to the next."""
+    sql.register(spark)
+    return spark.sql(f"""
+      SELECT d.doc_id, lodestone_preview(lodestone_py_strip(concat(' \u00a0', text, '\n\u2003'))) AS preview, lodestone_is_blank(left(text, 1)) AS blank, lodestone_approx_tokens(text) AS tokens,
+        lodestone_queue_seconds(d.doc_id % 7) AS seconds, round(lodestone_kwh(double(d.doc_id), 90D), 9) AS kwh, round(lodestone_cosine(cast(a.embedding AS ARRAY<DOUBLE>), cast(b.embedding AS ARRAY<DOUBLE>)), 6) AS likeness
+      FROM parquet.`{sf_dir}/documents.parquet` d LEFT JOIN parquet.`{sf_dir}/embeddings.parquet` a ON a.vec_id = d.doc_id LEFT JOIN parquet.`{sf_dir}/embeddings.parquet` b ON b.vec_id = d.doc_id + 1""")
+
+
 TIMED = f"""{RESPONSE}, body AS (SELECT request_id, CAST(seq + 1 AS BIGINT) AS seq, type FROM response),
 tops AS (SELECT request_id, max(seq) AS top, CAST(string_split(request_id, '/')[1] AS BIGINT) AS conv FROM body GROUP BY 1),
 every AS (
@@ -130,8 +140,11 @@ every AS (
 ), timed AS (SELECT request_id, n, type, CASE WHEN type = 'sources' THEN seq * 100 END AS tokens, CASE WHEN starts_with(type, 'power_') THEN (seq + 1) / 1000 END AS kwh FROM every)"""
 _OWN = "starts_with(type, 'power_') AND type <> 'power_index'"
 
-QUERIES = {f.__name__: f for f in (action_log, anchored_windows, response_steps, response_totals, open_requests)}
+QUERIES = {f.__name__: f for f in (action_log, anchored_windows, response_steps, response_totals, open_requests, sql_functions)}
 SQL = {
+    "sql_functions": """SELECT doc_id, CASE WHEN length(t) > 150 THEN left(t, 150) || '...' ELSE t END AS preview, trim(left(t0, 1), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, CAST(ceil(length(t0) / 4.0) AS INTEGER) AS tokens,
+        greatest(greatest(doc_id % 7, 1) - 1, 1) * 40 AS seconds, round(doc_id * 90 / 3600::DOUBLE / 1000::DOUBLE, 9) AS kwh, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS likeness
+      FROM (SELECT doc_id, text AS t0, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents) LEFT JOIN embeddings a ON a.vec_id = doc_id LEFT JOIN embeddings b ON b.vec_id = doc_id + 1""",
     "open_requests": """WITH s AS (SELECT CAST(user_id % 10 AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS request_id, CAST(epoch_us(ts) AS BIGINT) AS t, event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(epoch_us(ts) AS BIGINT) + CAST(floor(value * 60000000) AS BIGINT) END AS over FROM events WHERE event_type = 'signup'),
       r AS (SELECT key, request_id, t AS micros, event_id * 2 AS seq, 1 AS change, false AS abandoned, 2 AS rank FROM s
         UNION ALL SELECT key, request_id, over, event_id * 2 + 1, -1, false, 1 FROM s WHERE over < t + 5400000000
