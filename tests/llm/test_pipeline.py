@@ -12,6 +12,7 @@ from lodestone.llm import jaccard_join
 from lodestone.llm.queries import QUERIES
 
 from .test_operators import check_packed, components_by_force, removed_by_force
+from .test_variants_trie_exact import counts_by_force, rebuilt_by_force, trie_by_force
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,7 +74,10 @@ def test_registered_queries(spark, tmp_path):  # noqa: ANN001
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     vectors = [(i, [random.uniform(-1, 1) for _ in range(8)], 0) for i in range(210)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    talks = [(i // 4, i % 4, "user", random.choice(words)) for i in range(80)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
+    expected = {"op1": 30, "op11": len(counts_by_force([d[:2] for d in docs])), "op12": len(trie_by_force(rebuilt_by_force(talks)))}
     for name, query in QUERIES.items():
         n = query(spark, str(tmp_path)).select(F.count("*")).first()[0]
-        assert n == (30 if name.startswith("op1_") else 40), name
+        assert n == expected.get(name.split("_")[0], 40), name
