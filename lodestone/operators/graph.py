@@ -37,12 +37,17 @@ def edges_by_id(chunks: DataFrame) -> DataFrame:
 
 
 def enrich(chunks: DataFrame) -> DataFrame:
-    """content_length, content_plus_length (with the lengths of all related chunks, repeats and all, unknown ones 0) and relevantChunksIdsNum."""
-    length = chunks.groupBy(F.col("id").alias("related")).agg(F.max_by(F.length("content"), "ord").alias("related_length"))
+    """content_length, content_plus_length (with the lengths of all related chunks, repeats and all, unknown ones 0) and relevantChunksIdsNum.
+
+    A content_length that chunks bring counts for those that refer to them; their own is always that of the content.
+    """
+    measures = ("content_length", "content_plus_length", "relevantChunksIdsNum")
+    stored = F.coalesce("content_length", F.length("content")) if "content_length" in chunks.columns else F.length("content")
+    length = chunks.groupBy(F.col("id").alias("related")).agg(F.max_by(stored, "ord").alias("related_length"))
     more = chunks.select("ord", F.explode("relevantChunksIds").alias("related")).join(length, "related").groupBy(F.col("ord").alias("o")).agg(F.sum("related_length").alias("more"))
     own = F.length("content")
     joined = chunks.join(more, F.col("ord") == F.col("o"), "left")
-    return joined.select(*chunks.columns, own.alias("content_length"), (own + F.coalesce("more", F.lit(0))).alias("content_plus_length"), F.size("relevantChunksIds").alias("relevantChunksIdsNum"))
+    return joined.select(*[c for c in chunks.columns if c not in measures], own.alias("content_length"), (own + F.coalesce("more", F.lit(0))).alias("content_plus_length"), F.size("relevantChunksIds").alias("relevantChunksIdsNum"))
 
 
 def incoming(chunks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
+from . import embed
 
 
 #: Places of a data set that one task numbers.
@@ -58,6 +59,11 @@ def build(chunks: DataFrame, count: Callable[[Column], Column] = text.approx_tok
     return kept.withColumn("num_tokens", count(F.col("content"))).withColumn("norm", vector.norm(F.col("vector"))).drop("kind", "ord")
 
 
+def build_with(chunks: DataFrame, load: Callable[[], embed.Embedder], name: str, size: int = 10, count: Callable[[Column], Column] = text.approx_tokens) -> DataFrame:
+    """build() of chunks without vectors: a model (see embed.embedded) makes those of the chunks that are indexed, and no others. seconds: what the calls took."""
+    return build(embed.embedded(indexable(chunks), load, name, "passage", size), count)
+
+
 def batches(chunks: DataFrame, size: int = 10) -> DataFrame:
     """The number of the embedding call that each chunk goes into."""
     return numbered(chunks).withColumn("batch", F.floor(F.col("position") / size)).drop("position")

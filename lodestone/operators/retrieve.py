@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..conf import EngineConf
-from ..functions import text, vector
+from ..functions import numbers, text, vector
 
 
 ADMITTED, DUPLICATE, NO_ROOM = "", "duplicate", "context_window"
@@ -198,13 +198,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, conf: EngineConf) -> tuple[D
 
 
 def sources(expanded: DataFrame, packed: DataFrame) -> DataFrame:
-    """The answer to a query as rows (query_id, rank, content, score, title, relevantChunks, num_tokens, skip, position, skip_reason)."""
+    """The answer to a query as rows (query_id, rank, content, score, title, relevantChunks, num_tokens, skip, position, skip_reason); a score that JSON can't hold is null."""
     of = packed.groupBy(F.col("query_id").alias("q"), F.col("rank").alias("r")).agg(F.max_by(F.struct("skip", "skip_reason"), -F.col("at")).alias("own"), F.map_from_entries(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", F.struct("skip", "skip_reason"))))).alias("of_related"))
     joined = expanded.join(of, (F.col("query_id") == F.col("q")) & (F.col("rank") == F.col("r")))
     verdict = lambda x: F.element_at("of_related", x["at"])
     chunk = F.transform("related", lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["content"].alias("content"), x["num_tokens"].alias("num_tokens"), verdict(x)["skip"].alias("skip"), x["position"].alias("position"), verdict(x)["skip_reason"].alias("skip_reason")))
     none = F.slice(chunk, 1, 0)
-    return joined.select("query_id", "rank", "content", "score", "title", F.when(F.col("own.skip"), none).otherwise(chunk).alias("relevantChunks"), "num_tokens", F.col("own.skip").alias("skip"), "position", F.col("own.skip_reason").alias("skip_reason"))
+    return joined.select("query_id", "rank", "content", numbers.json_number(F.col("score")).alias("score"), "title", F.when(F.col("own.skip"), none).otherwise(chunk).alias("relevantChunks"), "num_tokens", F.col("own.skip").alias("skip"), "position", F.col("own.skip_reason").alias("skip_reason"))
 
 
 def token_totals(packed: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from pathlib import Path
 
 import pytest
 
-from lodestone.plans import corpus, live, retrieval
+from lodestone.plans import corpus, live, retrieval, shown
 
 duckdb = pytest.importorskip("duckdb")
 DATA = os.environ.get("LODESTONE_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = {**retrieval.QUERIES, **corpus.QUERIES, **live.QUERIES}, {**retrieval.SQL, **corpus.SQL, **live.SQL}
+QUERIES, SQL = {**retrieval.QUERIES, **corpus.QUERIES, **live.QUERIES, **shown.QUERIES}, {**retrieval.SQL, **corpus.SQL, **live.SQL, **shown.SQL}
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
 
 
