@@ -28,10 +28,10 @@ def with_sketch(rows: DataFrame, text: str, name: str, width: int = 5, scale: in
     return rows.withColumn(name, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(below))))).drop(words, hashes)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller sketch that the other holds; 1 for two empty ones, 0 where one alone is empty."""
+def containment(a: Column, b: Column, same: Column | bool = False) -> Column:
+    """The share of the smaller sketch that the other holds. An empty sketch tells nothing: then it is 1 where the texts are the same, else 0."""
     smaller = F.least(F.size(a), F.size(b))
-    return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).when(F.lit(same) if isinstance(same, bool) else same, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def as_text(sketch: Column) -> Column:
@@ -55,7 +55,8 @@ def fingerprint(docs: DataFrame, width: int = 5, scale: int = 5) -> DataFrame:
 
     Edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document
     by (doc_id, then a hash of the text), after the last the first. A null text is empty. Rows that repeat both id and
-    text count once; null ids come first. A single document is its own successor.
+    text count once; null ids come first. A single document is its own successor. Texts whose sketches are empty, as some
+    short ones' are, are alike only where they are the same.
     """
     rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("key", F.xxhash64("text"))
     joins = lambda a, b: (F.col(f"{a}doc_id") == F.col(f"{b}doc_id")) & (F.col(f"{a}key") == F.col(f"{b}key"))
@@ -63,7 +64,7 @@ def fingerprint(docs: DataFrame, width: int = 5, scale: int = 5) -> DataFrame:
     held = with_sketch(rows, "text", "sketch", width, scale).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"))
     order = successors(rows.select("doc_id", "key", F.length("text").alias("n_chars")).distinct())
     wanted = order.select(F.col("doc_id").alias("for_doc_id"), F.col("key").alias("for_key"), F.col("next.doc_id").alias("next_doc_id"), F.col("next.key").alias("next_key"), F.floor(F.col("n_chars") / 4).cast("int").alias("n_replaced"))
-    given = held.join(wanted, joins("", "next_")).select("for_doc_id", "for_key", F.expr("substring(text, 1, n_replaced)").alias("given"), F.col("sketch").alias("next_sketch"))
+    given = held.join(wanted, joins("", "next_")).select("for_doc_id", "for_key", "next_key", F.expr("substring(text, 1, n_replaced)").alias("given"), F.col("sketch").alias("next_sketch"))
     both = held.join(given, joins("", "for_")).withColumn("n_chars", F.length("text").cast("long"))
     edited = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) as int)), given)"))
     out = with_sketch(edited, "edited", "edited_sketch", width, scale)
@@ -73,6 +74,6 @@ def fingerprint(docs: DataFrame, width: int = 5, scale: int = 5) -> DataFrame:
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"),
+        containment(F.col("sketch"), F.col("next_sketch"), F.col("key") == F.col("next_key")).alias("near_next"),
     )
