@@ -26,11 +26,12 @@ SCHEMA = "doc_id long, lang_pred string, score double"
 
 @dataclass(frozen=True)
 class Config:
-    """sample_docs bounds the labelled rows of each language that the filters are fitted on; min_share: an n-gram belongs to a language if its rate there is this share of its highest rate in any."""
+    """sample_docs bounds the labelled rows of each language that the filters are fitted on; min_share: an n-gram belongs to a language if its rate there is this share of its highest rate in any, and if it occurs there min_count times, or that times total / min_of where the language's n-grams are fewer than min_of in total."""
 
     n: int = 3
     sample_docs: int = 1500
     min_count: int = 5
+    min_of: int = 10_000
     min_share: float = 0.5
     max_ngrams: int = 50_000
     slots_log2: int = 20
@@ -92,7 +93,7 @@ def fit(labelled: DataFrame, config: Config = Config()) -> Filters:
     """Filters from rows of (text, lang), without null languages: at most about sample_docs distinct texts of each, chosen by their hash, and of these n-grams at most max_ngrams a language, the most frequent.
 
     Only these n-grams, and their counts for each language that has them, reach the driver. Every language counts, in
-    masks of 64. Without labelled rows there is no language, and every prediction is und.
+    masks of 64, and one of little text keeps n-grams that are rarer in proportion. Without labelled rows there is no language, and every prediction is und.
     """
     bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("of_text", F.xxhash64("text"))
@@ -118,9 +119,9 @@ def fit(labelled: DataFrame, config: Config = Config()) -> Filters:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counts = materialise(sample.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    rate = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).withColumn("rate", F.col("n") / F.col("total"))
     best = rate.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
-    own = best.where((F.col("n") >= config.min_count) & (F.col("rate") >= config.min_share * F.col("best")))
+    own = best.where((F.col("n") >= config.min_count * F.least(F.lit(1.0), F.col("total") / config.min_of)) & (F.col("rate") >= config.min_share * F.col("best")))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     held = own.withColumn("place", first).where(F.col("place") <= config.max_ngrams).select("lang", "gram").toArrow()
     langs, grams = held["lang"].to_numpy(), held["gram"].to_numpy().view(np.uint64)
@@ -157,8 +158,8 @@ def _predicted(b: pa.RecordBatch, filters: Filters) -> tuple[list[str], np.ndarr
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """lang_pred and score of every row's whole text: und and 0 where it is null or has no letter.
 
-    Nothing but the text is looked at; rows that repeat get the same. Of languages with equal scores the first in
-    alphabetical order is taken. Texts are worked on in slices of about a megabyte, a longer one by itself.
+    Nothing but the text is looked at; rows that repeat get the same. Of languages with equal scores, 0 for all
+    among them, the first in alphabetical order is taken. Texts are worked on in slices of about a megabyte, a longer one by itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot and 64 languages, whatever the rows
 
