@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search
+from lodestone.llm import common, fingerprints, jaccard_join, language_id, license_scan, lm_scoring, packing, sentencepiece_codec, suffix_dedup, token_counts, topk_search
 from lodestone.llm.components import connected_components
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -140,23 +140,36 @@ def test_fingerprints(spark, rows, clashing, empty):  # noqa: ANN001
             out.add(h - (1 << 64) if h >= 1 << 63 else h)
         return {h for h in out if h < -(1 << 63) + (1 << 64) // 5}
 
-    def held(a, b):  # noqa: ANN001, ANN202
+    def held(a, b, same):  # noqa: ANN001, ANN202
         small = min(len(a), len(b))
-        return len(a & b) / small if small else float(len(a) == len(b))
+        return len(a & b) / small if small else float(same)
 
     for k, (i, t, *_) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         m = len(t) // 4
-        own, edited, following = sketch(t), sketch(t[: len(t) - m] + after[:m]), sketch(after)
+        changed = t[: len(t) - m] + after[:m]
+        own, edited, following = sketch(t), sketch(changed), sketch(after)
         r = got[i]
         assert r["fingerprint"] == "".join(f"{h % (1 << 64):016x}" for h in sorted(own))
         assert r["edited_fingerprint"] == "".join(f"{h % (1 << 64):016x}" for h in sorted(edited))
-        assert (r["near_edited"], r["near_next"]) == pytest.approx((held(own, edited), held(own, following)))
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((held(own, edited, t == changed), held(own, following, t == after)))
     assert fingerprints.fingerprint(empty).collect() == []
     odd = spark.createDataFrame([(None, "a b"), (3, "c d"), (3, "c d")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1) for r in fingerprints.fingerprint(odd).collect()) == [-1, 3]
 
 
+def test_empty_sketches_are_alike_for_equal_texts_alone(spark):  # noqa: ANN001
+    words = [f"q{i}" for i in range(200)]
+    sketched = fingerprints.with_sketch(spark.createDataFrame([(w,) for w in words], "w string"), "w", "s")
+    bare = [r["w"] for r in sketched.where("size(s) = 0").orderBy("w").limit(3).collect()]
+    docs = spark.createDataFrame([(1, bare[0]), (2, bare[1]), (3, bare[1]), (4, bare[2])], "doc_id long, text string")
+    got = fingerprints.fingerprint(docs).orderBy("doc_id").collect()
+    assert [r["fingerprint"] for r in got] == [""] * 4
+    assert [r["near_next"] for r in got] == [0, 1, 0, 0]
+    same = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [(r["near_edited"], r["near_next"]) for r in fingerprints.fingerprint(same).collect()] == [(1, 1), (1, 1)]
+
+
 def test_containment_of_unequal_documents(spark):  # noqa: ANN001
     random.seed(4)
     whole = [f"w{random.random()}" for _ in range(4000)]
@@ -237,6 +250,16 @@ def test_no_language_is_left_out(spark):  # noqa: ANN001
     assert kept.columns == table.columns and kept.count() == len(rows)
 
 
+def test_language_of_little_text(spark):  # noqa: ANN001
+    """One short text is all there is of a language, beside a long one of another: no n-gram of it occurs five times."""
+    polish = "Zażółć gęślą jaźń, niech każdy usłyszy"
+    english = " ".join("the other thing that they were thinking of was on the way there".split()) + " "
+    table = spark.createDataFrame([(1, polish, "pl"), (2, english * 500, "en"), (3, polish, None), (4, "they were there", None)], "doc_id long, text string, lang string")
+    filters = language_id.fit(table)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"] > 0.5) for r in language_id.predict(table, filters).collect()}
+    assert got == {1: ("pl", True), 2: ("en", True), 3: ("pl", True), 4: ("en", True)}
+
+
 # --- 5 ------------------------------------------------------------------------------
 
 
@@ -600,6 +623,39 @@ def test_best_fit():
     assert packing.best_fit([40, 30, 24, 34], 64, 9)[0] == [0, 1, 0, 1]
 
 
+@pytest.mark.parametrize("n_open", [1, 4, 1000])
+def test_best_fit_against_a_plain_list(n_open):  # noqa: ANN001
+    """The open bins in a list: the tightest that fits takes the piece, the fullest closes where none does."""
+    random.seed(17)
+    lengths = [random.choice([64, random.randint(1, 64), random.randint(1, 9)]) for _ in range(3000)]
+    free, closed = [], []
+    for n in lengths:
+        fits = [f for f in free if f >= n]
+        if fits:
+            free.remove(min(fits))
+            left = min(fits) - n
+        else:
+            if len(free) >= n_open:
+                closed.append(min(free))
+                free.remove(min(free))
+            left = 64 - n
+        (free if left else closed).append(left)
+    where, _ = packing.best_fit(lengths, 64, n_open)
+    used = Counter()
+    for w, n in zip(where, lengths, strict=True):
+        used[w] += n
+    assert sorted(64 - u for u in used.values()) == sorted(free + closed)
+
+
+def test_batches_are_gathered():
+    batches = [packing.pa.RecordBatch.from_pydict({"n": [i], "text": ["x" * size]}) for i, size in enumerate([3, 0, 9, 1, 40, 2, 0])]
+    for least in (1, 10, 100):
+        got = list(common.gathered(iter(batches), least=least))
+        assert [n for b in got for n in b["n"].to_pylist()] == list(range(7))
+        assert all(sum(map(len, b["text"].to_pylist())) >= least for b in got[:-1])
+    assert list(common.gathered(iter([]))) == [] and list(common.gathered(iter([batches[0].slice(0, 0)]))) == []
+
+
 def test_word_by_word_encoding_is_the_tokenizers():
     own = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["", "a b", "don't  It's x\x1c y", "éÉ é ́a", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ İK", "a\n\nb \t c", "😀日本"]
