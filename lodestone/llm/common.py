@@ -242,6 +242,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 32 << 20) ->
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until they hold `least` bytes of that column; what is larger comes in slices of about as much, a longer row by itself."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for b in slices(whole, column, least):
+            held.append(b)
+            size += pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+            if size >= least:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield pa.concat_batches(held)
+
+
 def distinct_words(docs: pa.Array, separator: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """What stands between separators in all texts: the distinct words, each place's number among them, and the number of places of each text."""
     cut = pc.split_pattern(docs, separator)

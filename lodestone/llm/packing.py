@@ -2,7 +2,7 @@
 
 A fixed number of bins is open. Each stands in a bitset under its free space, so that the tightest bin that still
 holds a piece is the lowest set bit from the piece's length on. When a piece fits nowhere and all bins are open, the
-fullest closes and a new one opens. The pieces of a group come longest first. Groups are dealt by a hash of the piece,
+fullest closes and a new one opens. Pieces are placed as they come, in order of their documents. Groups are dealt by a hash of the piece,
 so a sequence never waits for another task; what a group leaves underfull at its end is a fixed number of bins.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import distinct_words, materialise, slices, spread, texts, tidy
+from .common import distinct_words, gathered, materialise, spread, texts, tidy
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -75,18 +75,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for b in slices(whole):
-                ids, counts = own.encode(b.column("text"))
-                rows, at = [], 0
-                for doc, copy, n in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), counts.tolist(), strict=True):
-                    own_ids = ids[at : at + n].tobytes() + end
-                    at += n
-                    for k, i in enumerate(range(0, len(own_ids), 4 * size)):
-                        part = own_ids[i : i + 4 * size]
-                        rows.append((doc, copy, k, i // 4, len(part) // 4, zlib.crc32(part)))
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+        for b in gathered(batches):
+            ids, counts = own.encode(b.column("text"))
+            rows, at = [], 0
+            for doc, copy, n in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), counts.tolist(), strict=True):
+                own_ids = ids[at : at + n].tobytes() + end
+                at += n
+                for k, i in enumerate(range(0, len(own_ids), 4 * size)):
+                    part = own_ids[i : i + 4 * size]
+                    rows.append((doc, copy, k, i // 4, len(part) // 4, zlib.crc32(part)))
+            cols = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
     return texts(docs).withColumn("copy", F.monotonically_increasing_id()).mapInArrow(tidy(run), PIECES)
 
@@ -128,7 +127,7 @@ def pack(cut: DataFrame, size: int = 2048, n_open: int = 1024, group_rows: int =
     n_groups = max(1, -(-(cut.count() if rows is None else rows) // group_rows))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["doc_id", "copy", "piece"], kind="stable")  # an order of its own, whatever the exchange brings first
         where, offset = best_fit(group["length"].tolist(), size, n_open)
         return group.assign(sequence_id=group["bucket"].iloc[0] * (1 << 32) + np.array(where, "int64"), offset=offset).drop(columns="bucket")
 
