@@ -28,25 +28,40 @@ PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+#: Stands between words that are encoded together: a token of its own, and of no text without it.
+MARK = "\x01"
+
+
 class WordTokens:
-    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a worker."""
+    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, or goes from a letter to a full stop and the like, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a worker."""
 
     def __init__(self, path: str, kept: int = 200_000) -> None:
         self.lib, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[str, bytes] = {}
+        (self.mark,) = self.lib.encode(MARK, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
+    def learn(self, words: list[str], together: int = 1000) -> dict[str, bytes]:
+        """The ids of each word. Words are encoded a thousand together, as one text with marks between them."""
+        plain = [w for w in words if MARK not in w]
+        parts = [plain[i : i + together] for i in range(0, len(plain), together)]
         new: dict[str, bytes] = {}
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
+        for k in range(0, len(parts), 20):
+            some = parts[k : k + 20]
+            for part, e in zip(some, self.lib.encode_batch_fast([f" {MARK} ".join(p) for p in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                raw, at = ids.tobytes(), 4 * np.flatnonzero(ids == self.mark)
+                cuts = map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)])
+                new.update(zip(part, map(raw.__getitem__, cuts), strict=True))
+        for w in words if len(plain) < len(words) else ():
+            if MARK in w:
+                ids = self.lib.encode(w, add_special_tokens=False).ids
                 new[w] = packed(f"<{len(ids)}I", *ids)
         return new
 
     def encode(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each text's."""
-        words, codes, counts = distinct_words(pc.replace_substring(docs, "\n", " "), " ")
+        apart = pc.replace_substring_regex(pc.replace_substring(docs, "\n", " "), "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#%&$])", r"\1 \2")
+        words, codes, counts = distinct_words(apart, " ")
         found = list(map(self.known.get, words))
         new = self.learn([w for w, f in zip(words, found, strict=True) if f is None])
         if len(self.known) < self.kept:

@@ -658,6 +658,6 @@ def test_batches_are_gathered():
 
 def test_word_by_word_encoding_is_the_tokenizers():
     own = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["", "a b", "don't  It's x\x1c y", "éÉ é ́a", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ İK", "a\n\nb \t c", "😀日本"]
+    texts = ["", "a b", "don't  It's x\x1c y", "éÉ é ́a", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ İK", "a\n\nb \t c", "😀日本", "\x01", "a \x01 b\x01c", "x.,y é***! ,. z's.'t", "w.\u0301 a*\u0338 e\u0301, \u0301, q<\u0338", "<|endoftext|>. a<|endoftext|>,b", ", ".join(f"w{i}" for i in range(3000)), "\u00a0a.\u2003b;\r\nc"]
     ids, n = own.encode(packing.pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.lib.encode(t, add_special_tokens=False).ids for t in texts]
