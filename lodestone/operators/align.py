@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,37 @@ from ..functions import text
 from ..sources import shared
 
 ALIGNED = "chunk_idx int, seq int, original_content string, content string, matched boolean"
+_ALIGNED_ARROW = pa.schema([("chunk_idx", pa.int32()), ("seq", pa.int32()), ("original_content", pa.string()), ("content", pa.string()), ("matched", pa.bool_())])
+
+#: Bytes of an Arrow batch that are Python objects at a time, and rows and code points that are sent on at a time.
+READ_BYTES, SENT_ROWS, SENT_CHARS = 1 << 20, 4096, 1 << 20
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of the batches, of which few are Python objects at a time."""
+    for b in batches:
+        n = max(1, b.num_rows * READ_BYTES // max(1, b.nbytes))
+        for at in range(0, b.num_rows, n):
+            part = b.slice(at, n)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of few rows and not much text."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r if isinstance(x, str))
+        if len(held) >= SENT_ROWS or size >= SENT_CHARS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 _SCANNED = "line string, line_no long, part int, kind string, least array<long>"
@@ -25,6 +58,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows of kind done, of kind open for lines whose references may go on in the next range, and one of kind first: the
     first reference of the range, with the lowest number of those that share its first 0, 1, 2, ... code points.
     """
+    return _batches(_scanned(_rows(batches, "s", "line_no", "part")), _SCANNED_ARROW)
+
+
+def _scanned(rows: Iterable[tuple]) -> Iterator[tuple]:
     stack: list[list] = []
     first, common, part = None, 0, None
     lowest: dict[int, int] = {}
@@ -35,37 +72,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stack[-1][1] = n if stack[-1][1] is None else min(stack[-1][1], n)
         return line, n, part, kind, None
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCANNED_ARROW, strict=True)], schema=_SCANNED_ARROW)
-
-    for b in batches:
-        out: list[tuple] = []
-        for s, n, part in zip(*(b.column(c).to_pylist() for c in ("s", "line_no", "part")), strict=True):  # noqa: B007
-            while stack and not s.startswith(stack[-1][0]):
-                out.append(popped("done"))
-            if n is None:
-                stack.append([s, None])
-                continue
-            if first is None:
-                first, common = s, len(s)
-            while not s.startswith(first[:common]):
-                common -= 1
-            lowest[common] = min(lowest.get(common, n), n)
-            if stack:
-                stack[-1][1] = n if stack[-1][1] is None else min(stack[-1][1], n)
-        if out:
-            yield batch(out)
-    out = []
+    for s, n, part in rows:  # noqa: B007
+        while stack and not s.startswith(stack[-1][0]):
+            yield popped("done")
+        if n is None:
+            stack.append([s, None])
+            continue
+        if first is None:
+            first, common = s, len(s)
+        while not s.startswith(first[:common]):
+            common -= 1
+        lowest[common] = min(lowest.get(common, n), n)
+        if stack:
+            stack[-1][1] = n if stack[-1][1] is None else min(stack[-1][1], n)
     while stack:
-        out.append(popped("open"))
+        yield popped("open")
     if first is not None:
         least, held = [], None
         for k in range(len(first), -1, -1):
             held = min(lowest.get(k, held), held) if held is not None else lowest.get(k)
             least.append(held)
-        out.append((first, None, part, "first", least[::-1]))
-    if out:
-        yield batch(out)
+        yield first, None, part, "first", least[::-1]
 
 
 def first_prefix_match(lines: DataFrame, reference: DataFrame) -> DataFrame:
@@ -95,47 +122,60 @@ def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.withColumnRenamed("text", "other"), ["doc", "line_no"])
 
 
-def walk(items: Sequence[Mapping], compat: bool = True) -> Iterator[tuple[str, str, bool]]:
-    """(original_content, content, matched) of one chunk's lines in order, each with its candidate (line, de, en): the fold of align()."""
-    at = 0
-    while at < len(items):
-        line, de, en = items[at]["line"], items[at]["de"], items[at]["en"]
-        taken, upto = 1, at + 1
+def walk(items: Iterable[Mapping], compat: bool = True) -> Iterator[tuple[str, str, bool]]:
+    """(original_content, content, matched) of one chunk's lines in order, each with its candidate (line, de, en): the fold of align(). Of the lines, those that a reference line takes on are held at a time, and the one after."""
+    rest, ahead = iter(items), deque()
+
+    def has(k: int) -> bool:
+        while len(ahead) <= k and (x := next(rest, None)) is not None:
+            ahead.append(x if x["line"] else BLANK)
+        return len(ahead) > k
+
+    while has(0):
+        line, de, en = ahead[0]["line"], ahead[0]["de"], ahead[0]["en"]
+        taken, upto, k = 1, 1, 0
         if line and de is not None:
             whole = line
-            for k in range(at + 1, len(items)):
-                if not items[k]["line"]:
+            while has(k := k + 1):
+                if not ahead[k]["line"]:
                     continue
-                longer = f"{whole} {items[k]['line']}"
+                longer = f"{whole} {ahead[k]['line']}"
                 if not de.startswith(longer):
                     break
                 whole, taken, upto = longer, taken + 1, k + 1
             yield de, en, True
         elif line:
             yield line, "", False
-        at = at + taken if compat else upto
+        for _ in range(taken if compat else upto):
+            ahead.popleft()
+
+
+BLANK = {"line": "", "de": None, "en": None}
 
 
 def align(chunks: DataFrame, reference: DataFrame, compat: bool = True) -> DataFrame:
     """ALIGNED rows: each chunk's lines (chunk_idx, lines array of normalised lines) against the reference (line_no, de, en) in ascending order.
 
     A line takes the first reference line that begins with it, and following lines while the text joined stays a
-    beginning; the entry holds the whole reference line in both languages. Lines come with their candidates by a join on their beginnings, so the fold over one chunk sees only
-    those. compat: a blank line between lines taken doesn't count among them, so that the last of them comes again.
+    beginning; the entry holds the whole reference line in both languages. Lines come with their candidates by a join on their beginnings and stream
+    through the fold in order, so that a chunk of any length, and any number of them, needs the room of a few lines. compat: a blank line between lines taken doesn't count among them, so that the last of them comes again.
     """
     lines = shared.written(chunks.select("chunk_idx", F.posexplode("lines").alias("at", "line")))
     usable = reference.where(F.col("en").isNotNull()).select("line_no", F.struct("de", "en").alias("both"), F.col("de").alias("ref"))
     found = first_prefix_match(lines.where("line <> ''"), usable)
     found = found.join(usable.select(F.col("line_no").alias("n"), "both"), F.col("line_no") == F.col("n"), "left")
     with_blank = found.select("chunk_idx", "at", "line", "both").unionByName(lines.where("line = ''").select("chunk_idx", "at", "line", F.lit(None).cast("struct<de:string,en:string>").alias("both")))
-    per_chunk = with_blank.groupBy("chunk_idx").agg(F.array_sort(F.collect_list(F.struct("at", "line", "both.de", "both.en"))).alias("lines"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(idx, seq, *x) for idx, items in zip(batch["chunk_idx"], batch["lines"], strict=True) for seq, x in enumerate(walk(items, compat))]
-            yield pd.DataFrame(out, columns=["chunk_idx", "seq", "original_content", "content", "matched"])
+    def entries(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for idx, own in groupby(rows, itemgetter(0)):
+            for seq, x in enumerate(walk(({"line": line, "de": de, "en": en} for _, line, de, en in own), compat)):
+                yield idx, seq, *x
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(entries(_rows(batches, "chunk_idx", "line", "de", "en")), _ALIGNED_ARROW)
 
-    return per_chunk.mapInPandas(fold, ALIGNED)
+    ordered = with_blank.select(F.col("chunk_idx").cast("int").alias("chunk_idx"), "at", "line", "both.de", "both.en").repartition("chunk_idx").sortWithinPartitions("chunk_idx", "at", "line", "de", "en")
+    return ordered.mapInArrow(fold, ALIGNED)
 
 
 ATTRIBUTES = {"id": "string", "title": "string", "relevantChunksIds": "array<string>", "keywords": "array<string>"}

@@ -124,3 +124,26 @@ def test_white_space_at_the_ends(spark: SparkSession) -> None:
     assert all(r[0] == r[1] for r in got)
     assert all(r[3] == " ".join(r[4].split()) for r in got)
     assert all(r[2] == r[4].strip("".join({*map(chr, range(0x3001))} & {c for c in map(chr, range(0x3001)) if c.isspace()} - set("\x1c\x1d\x1e\x1f\x85")) + "﻿") for r in got)
+
+
+def test_alignment_holds_few_lines() -> None:
+    """Lines are walked as they come, and neither what is read nor what is sent on grows with them."""
+    from itertools import cycle, islice
+
+    import pyarrow as pa
+
+    from lodestone.operators import align
+
+    own = [("A", "A B C", "E"), ("", None, None), ("B", None, None), ("Q", None, None)]
+    endless = ({"line": line, "de": de, "en": en} for line, de, en in cycle(own))
+    assert list(islice(align.walk(endless), 5)) == [("A B C", "E", True), ("B", "", False), ("Q", "", False), ("A B C", "E", True), ("B", "", False)]
+    taken = 0
+
+    def batches():  # noqa: ANN202
+        nonlocal taken
+        while True:
+            taken += 1
+            yield pa.RecordBatch.from_pydict({"a": ["x" * 100_000] * 100, "n": list(range(100))})
+
+    first = next(align._batches(align._rows(batches(), "a", "n"), pa.schema([("a", pa.string()), ("n", pa.int64())])))
+    assert taken == 1 and first.num_rows == 11 and first.column("n").to_pylist() == list(range(11))
