@@ -170,18 +170,27 @@ def steps(state: np.ndarray, docs: list[str], known: Counts, config: Config, ran
     token, context, *_ = sequences(docs, known, config)
     shift = np.log(config.noise * noise_p).astype(np.float32)
     order = random.permutation(len(token))
+    cut = np.cumsum(noise_p)
+    cut /= cut[-1]
     for i in range(0, len(order), config.batch):
         some = order[i : i + config.batch]
         w, c = token[some], context[some]
-        noise = random.choice(n_out, config.noise, p=noise_p)
-        q = sum(places[k][c[:, k]] for k in range(config.context))
-        good = (q * vectors[w]).sum(1) + bias[w] - shift[w]
-        bad = q @ vectors[noise].T + bias[noise] - shift[noise]
+        noise = np.searchsorted(cut, random.random(config.noise), "right")  # as random.choice() draws them
+        q = places[0][c[:, 0]]
+        for k in range(1, config.context):
+            q += places[k][c[:, k]]
+        of_w, of_noise = vectors[w], vectors[noise]
+        good = (q * of_w).sum(1) + bias[w] - shift[w]
+        h = q @ of_noise.T
+        h += bias[noise] - shift[noise]
+        np.negative(h, out=h)
+        np.exp(h, out=h)
+        h += 1
+        np.reciprocal(h, out=h)
         g = 1 / (1 + np.exp(-good)) - 1
-        h = 1 / (1 + np.exp(-bad))
-        to_q = g[:, None] * vectors[w] + h @ vectors[noise]
+        to_q = g[:, None] * of_w + h @ of_noise
         to_v = _sums(n_out, w, g[:, None] * q) + _sums(n_out, noise, h.T @ q)
-        to_b = (np.bincount(w, g, n_out) + np.bincount(noise, h.sum(0), n_out)).astype(np.float32)
+        to_b = (np.bincount(w, g, n_out) + np.bincount(noise, np.ones(len(h), np.float32) @ h, n_out)).astype(np.float32)
         to_p = np.stack([_sums(n_out + 1, c[:, k], to_q) for k in range(config.context)])
         for x, grad, total in zip((places, vectors, bias), (to_p, to_v, to_b), sums, strict=True):
             grad /= len(some)
@@ -273,22 +282,71 @@ def train_all(training: DataFrame, n_docs: int, known: Counts, config: Config) -
     return Model(*parts_of(state, config)[:3]), tokens
 
 
-def log_probabilities(token: np.ndarray, context: np.ndarray, model: Model, block: int = 1024) -> np.ndarray:
-    """log10 of each token's output's probability, normalised over all outputs."""
-    out = np.empty(len(token), np.float32)
+#: Exponents whose sum is below this have products that a float32 holds.
+SAFE = 80.0
+
+
+def exponentials(model: Model) -> np.ndarray | None:
+    """exp() of each place's part of each output's score (context x (outputs + 1) x outputs), the bias with the first: a product of one row a place is exp() of the scores. None where numbers are so large that products may not be held."""
+    parts = model.places @ model.vectors.T
+    parts[0] += model.bias
+    if not np.abs(parts).max((1, 2)).sum() < SAFE:
+        return None
+    return np.exp(parts, out=parts)
+
+
+def log_sums(context: np.ndarray, model: Model, tables: np.ndarray | None, block: int = 256) -> np.ndarray:
+    """The logarithm of the sum of exp(score) over all outputs, for each context."""
+    out = np.empty(len(context), np.float32)
+    n_places = context.shape[1]
+    if tables is not None:
+        some, more = (np.empty((block, len(model.bias)), np.float32) for _ in range(2))
+        for i in range(0, len(context), block):
+            c = context[i : i + block]
+            x, y = some[: len(c)], more[: len(c)]
+            tables[0].take(c[:, 0], 0, out=x, mode="clip")
+            for k in range(1, n_places):
+                tables[k].take(c[:, k], 0, out=y, mode="clip")
+                if k < n_places - 1:
+                    x *= y
+            out[i : i + block] = np.einsum("ij,ij->i", x, y) if n_places > 1 else x.sum(1)
+        return np.log(out, out=out)
     turned = np.ascontiguousarray(model.vectors.T)
-    for i in range(0, len(token), block):
-        c = context[i : i + block]
-        q = model.places[0][c[:, 0]]
-        for k in range(1, c.shape[1]):
-            q = q + model.places[k][c[:, k]]
-        score = q @ turned
+    for i in range(0, len(context), block):
+        score = predicted(context[i : i + block], model) @ turned
         score += model.bias
         top = score.max(1)
-        own = score[np.arange(len(c)), token[i : i + block]] - top
         score -= top[:, None]
         np.exp(score, out=score)
-        out[i : i + block] = own - np.log(score.sum(1))
+        out[i : i + block] = np.log(score.sum(1)) + top
+    return out
+
+
+def predicted(context: np.ndarray, model: Model) -> np.ndarray:
+    q = model.places[0][context[:, 0]]
+    for k in range(1, context.shape[1]):
+        q += model.places[k][context[:, k]]
+    return q
+
+
+def log_probabilities(token: np.ndarray, context: np.ndarray, model: Model, tables: np.ndarray | None = None, block: int = 8192) -> np.ndarray:
+    """log10 of each token's output's probability, normalised over all outputs; tokens with one context share its sum. tables: those of exponentials(), or none."""
+    out = np.empty(len(token), np.float32)
+    if not len(token):
+        return out
+    rows = model.places.shape[1]
+    if rows ** context.shape[1] < 1 << 63:
+        key = np.zeros(len(token), np.int64)
+        for k in range(context.shape[1]):
+            key = key * rows + context[:, k]
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        sums = log_sums(context[first], model, tables)[inverse]
+    else:
+        sums = log_sums(context, model, tables)
+    for i in range(0, len(token), block):
+        w = token[i : i + block]
+        out[i : i + block] = np.einsum("ij,ij->i", predicted(context[i : i + block], model), model.vectors[w]) + model.bias[w]
+    out -= sums
     return out / np.float32(np.log(10))
 
 
@@ -311,6 +369,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = shared.value
+        tables = exponentials(model)
         total = np.log10(known.tokens + 0.5 * (known.distinct + 1))
         per_class = np.log10(known.class_tokens + 0.5 * (known.class_words + 1))
         head_log = np.log10(np.append(known.count, [known.docs, 0]) + 0.5)  # the end at -2, none at -1
@@ -321,7 +380,7 @@ def score(docs: DataFrame, learn: Column, config: Config = Config()) -> DataFram
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 in_class = token > config.words
                 rare = at == -1
-                gain = log_probabilities(token, context, model).astype(np.float64)
+                gain = log_probabilities(token, context, model, tables).astype(np.float64)
                 gain[in_class] -= per_class[token[in_class] - config.words - 1]
                 gain[in_class & ~rare] += head_log[at[in_class & ~rare]]
                 counted = ~rare & ((at >= 0) | (known.docs > 0))

@@ -661,3 +661,21 @@ def test_word_by_word_encoding_is_the_tokenizers():
     texts = ["", "a b", "don't  It's x\x1c y", "éÉ é ́a", "<|endoftext|> a<|startoftext|>b", "ΑΣ Σ İK", "a\n\nb \t c", "😀日本", "\x01", "a \x01 b\x01c", "x.,y é***! ,. z's.'t", "w.\u0301 a*\u0338 e\u0301, \u0301, q<\u0338", "<|endoftext|>. a<|endoftext|>,b", ", ".join(f"w{i}" for i in range(3000)), "\u00a0a.\u2003b;\r\nc"]
     ids, n = own.encode(packing.pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_lm_sums_by_products(monkeypatch):  # noqa: ANN001
+    """Tokens with one context share a sum, worked out as a sum of products; weights too large for that are scored one by one."""
+    rng = np.random.default_rng(3)
+    context = rng.integers(0, 9, (700, 4))[rng.integers(0, 700, 3000)]
+    token = rng.integers(0, 8, 3000)
+    asked, plain = [], lm_scoring.log_sums
+    monkeypatch.setattr(lm_scoring, "log_sums", lambda c, *rest: asked.append(len(c)) or plain(c, *rest))
+    for size in (1.0, 40.0):
+        model = lm_scoring.Model(rng.normal(size=(4, 9, 16)).astype(np.float32), (size * rng.normal(size=(8, 16))).astype(np.float32), rng.normal(size=8).astype(np.float32))
+        tables = lm_scoring.exponentials(model)
+        assert (tables is None) == (size > 1)
+        x = sum(model.places[k].astype(float)[context[:, k]] for k in range(4)) @ model.vectors.T.astype(float) + model.bias
+        expected = (x[np.arange(3000), token] - np.logaddexp.reduce(x, axis=1)) / math.log(10)
+        assert np.allclose(lm_scoring.log_probabilities(token, context, model, tables), expected, rtol=1e-4, atol=1e-4)
+    assert asked == [len(np.unique(context, axis=0))] * 2
+    assert not len(lm_scoring.log_probabilities(token[:0], context[:0], model))
