@@ -2,8 +2,8 @@
 
 Light (small) sets enumerate all subsets of the fixed sizes that a linked pair must have in common, and meet where two
 of these are equal. Heavy (large) sets stand in the inverted lists of their rarest shingles, as many as a linked pair
-can't avoid to share, and these lists are scanned. The boundary is where both together cost least, by the sizes of
-sets and the lengths of lists that a share of the documents shows; it decides what work is done, never what is found.
+can't avoid to share, and these lists are scanned. The boundary is where both together cost least, by the sizes of all
+sets and the lengths of all lists; it decides what work is done, never what is found.
 Sets a little above it do both, so that pairs across it meet too.
 
 Equal sets are one class throughout, with the smallest doc_id for its representative, so copies cost nothing further.
@@ -33,16 +33,20 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class Config:
-    """Linked: den * intersection >= num * union. sample: one document in so many tells which shingles are frequent (it orders the lists) and what sets and lists cost (it sets the boundary), and decides nothing else; of the shingles at most max_frequent are kept. light: the boundary, where it isn't to be chosen. largest_light: no boundary lies above this."""
+    """Linked: den * intersection >= num * union. sample: always 1, as every document is counted. buckets_log2: shingles are counted in so many buckets of hashes, which orders the lists. light: the boundary, where it isn't to be chosen. largest_light: no boundary lies above this."""
 
     width: int = 3
     num: int = 90
     den: int = 100
-    sample: int = 8
-    max_frequent: int = 100_000
+    sample: int = 1
+    buckets_log2: int = 18
     light: int | None = None
     largest_light: int = 1000
 
+    def __post_init__(self) -> None:
+        if self.sample != 1:
+            raise ValueError("sample must be 1: every document is counted")
+
     def overlap(self, a: int, b: int) -> int:
         """The smallest intersection of linked sets of these sizes."""
         return -(-self.num * (a + b) // (self.num + self.den))
@@ -58,6 +62,15 @@ class Config:
     def subsets(self, size: int, largest: int) -> int:
         return sum(comb(size, d) for d in range(self.deletions(size, largest) + 1))
 
+    def largest_boundary(self) -> int:
+        """No boundary can lie above this."""
+        if self.light is not None:
+            return self.light
+        for size in range(1, self.largest_light + 1):
+            if self.subsets(size, self.den * size // self.num) > 100_000:
+                return size - 1
+        return self.largest_light
+
     def boundary(self, costs: dict[int, tuple[int, float]]) -> int:
         """The largest light size. costs: for each size the number of sets, and what their lists cost: a row each, and the comparisons with half of the other members.
 
@@ -67,11 +80,9 @@ class Config:
             return self.light
         best, least = 0, sum(scan for _, scan in costs.values())
         rest = least
-        for size in range(1, self.largest_light + 1):
+        for size in range(1, self.largest_boundary() + 1):
             rest -= costs.get(size, (0, 0.0))[1]
             largest = self.den * size // self.num
-            if self.subsets(size, largest) > 100_000:
-                break
             total = rest + sum(n * self.subsets(s, largest) for s, (n, _) in costs.items() if s <= largest)
             if total <= least:
                 best, least = size, total
@@ -86,24 +97,31 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def keys_of(own: np.ndarray, config: Config, light: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The keys under which a set is listed. frequent: sorted hashes, with their counts."""
+def subset_keys(own: np.ndarray, config: Config, light: int) -> np.ndarray:
+    """The keys of a set's subsets, if it is small enough to meet a light one."""
     size, out = len(own), []
     largest = config.den * light // config.num
-    if 0 < size <= largest:
-        mixed = mix(own)
-        total = mixed.sum(keepdims=True)
-        for d in range(config.deletions(size, largest) + 1):
-            out += [(total - mixed[list(gone)].sum(keepdims=True))[0] for gone in combinations(range(size), d)]
-        out = [mix(np.array(out, np.uint64) ^ np.uint64(0x589965CC75374CC3))]
+    if not 0 < size <= largest:
+        return np.zeros(0, np.uint64)
+    mixed = mix(own)
+    total = mixed.sum(keepdims=True)
+    for d in range(config.deletions(size, largest) + 1):
+        out += [(total - mixed[list(gone)].sum(keepdims=True))[0] for gone in combinations(range(size), d)]
+    return mix(np.array(out, np.uint64) ^ np.uint64(0x589965CC75374CC3))
+
+
+def keys_of(own: np.ndarray, config: Config, light: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The keys under which a set is listed. frequent: sorted numbers of buckets, with their counts."""
+    size, out = len(own), [subset_keys(own, config, light)]
     if size > light:
         if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-            often = np.where(frequent[at] == own, counts[at], 0)
+            bucket = own >> np.uint64(64 - config.buckets_log2)
+            at = np.minimum(np.searchsorted(frequent, bucket), len(frequent) - 1)
+            often = np.where(frequent[at] == bucket, counts[at], 0)
             if often.any():
                 own = own[np.lexsort((own, often))]
         out.append(own[: config.prefix(size)])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out)
 
 
 def _sets(docs: DataFrame, config: Config, emit, schema: str) -> DataFrame:  # noqa: ANN001
@@ -117,63 +135,101 @@ def _sets(docs: DataFrame, config: Config, emit, schema: str) -> DataFrame:  # n
     return docs.mapInArrow(tidy(run), schema)
 
 
-def _sampled(docs: DataFrame, config: Config) -> DataFrame:
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(config.sample)) == 0)
-
-
 def frequent_shingles(docs: DataFrame, config: Config) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a fixed share of the documents, sorted, and their counts there. It only orders lists."""
-
-    def count(_: pa.Array, sets: list[np.ndarray]) -> dict:
-        key, n = np.unique(np.concatenate(sets), return_counts=True)
-        return {"key": pa.array(key[n > 2].view(np.int64)), "n": pa.array(n[n > 2], pa.int64())}
+    """The buckets of shingles (by the first bits of their hashes) that hold more than twice as many as the average, sorted, and their counts over all documents. It only orders lists.
 
-    top = _sets(_sampled(docs, config), config, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(config.max_frequent).toArrow()
-    key, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+    Each task counts all of its documents in one array of fixed size; these are added piece by piece.
+    """
+    buckets, pieces = 1 << config.buckets_log2, 64
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for whole in batches:
+            for b in slices(whole, most=1 << 20):
+                own = np.concatenate(shingle_sets(b.column("text").to_pylist(), config.width))
+                total += np.bincount((own >> np.uint64(64 - config.buckets_log2)).astype(np.int64), minlength=buckets)
+        if total.any():
+            yield added({k: x for k, x in enumerate(np.array_split(total, pieces))})
 
-def list_costs(docs: DataFrame, config: Config, order: Broadcast) -> dict[int, tuple[int, float]]:
-    """What Config.boundary takes, from the same share of the documents, equal sets counted once: at most a row a size up to the largest light one, all others together."""
+    def added(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "total": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-    def posted(_: pa.Array, sets: list[np.ndarray]) -> dict:
-        own = [(s, keys_of(s, config, 0, *order.value)) for s in sets if len(s)]
-        return {
-            "of_set": pa.array(np.array([mix(s).sum() for s, _ in own], np.uint64).view(np.int64)),
-            "size": pa.array([len(s) for s, _ in own], pa.int64()),
-            "keys": pa.array([k.view(np.int64) for _, k in own], pa.list_(pa.int64())),
-        }
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, x in zip(b.column("piece").to_pylist(), b.column("total"), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        if sums:
+            yield added(sums)
 
-    most = config.den * config.largest_light // config.num + 1
-    sets = _sets(_sampled(docs, config), config, posted, "of_set long, size long, keys array<long>").groupBy("of_set").agg(F.min("size").alias("size"), F.first("keys").alias("keys"))
-    each = sets.select(F.least("size", F.lit(most)).alias("size"), F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
-    # A list's length by its members' sizes, so that a frequent key is a few rows.
-    short = each.groupBy("key", "size").agg(F.count("*").alias("m"), F.sum(1 / F.col("n_keys")).alias("sets"))
-    length = F.sum("m").over(Window.partitionBy("key"))
-    cost = short.withColumn("scan", F.col("m") * (1 + (length - 1) * config.sample / 2.0)).groupBy("size").agg(F.sum("sets").alias("sets"), F.sum("scan").alias("scan"))
-    return {r["size"]: (round(r["sets"]), r["scan"]) for r in cost.collect()}
+    schema = "piece int, total binary"
+    rows = docs.select("text").mapInArrow(tidy(count), schema).repartition("piece").mapInArrow(tidy(add), schema).collect()
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = np.concatenate([np.frombuffer(r["total"], np.int64) for r in sorted(rows, key=lambda r: r["piece"])])
+    frequent = np.flatnonzero(total > max(2.0, 2 * total.mean()))
+    return frequent.astype(np.uint64), total[frequent]
 
 
-def profiles(docs: DataFrame, config: Config) -> DataFrame:
-    """(doc_id, class_a, class_b, size, sketch, keys): what lists need of each set; class_a and class_b are equal for equal sets."""
-    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, config))  # at most max_frequent * 16 bytes
-    light = config.light if config.light is not None else config.boundary(list_costs(docs, config, order))
+def profiles(docs: DataFrame, config: Config, order: Broadcast) -> DataFrame:
+    """(doc_id, class_a, class_b, size, sketch, keys, small): what lists need of each set; class_a and class_b are equal for equal sets. keys: those of a heavy set. small: the set itself, where it may turn out light or meet a light one."""
+    largest = config.den * config.largest_boundary() // config.num
 
     def emit(ids: pa.Array, sets: list[np.ndarray]) -> dict:
-        frequent, counts = order.value
         a = [mix(s).sum() + np.uint64(len(s)) for s in sets]
         b = [mix(s ^ np.uint64(0xE7037ED1A0B428DB)).sum() for s in sets]
+        lists = pa.list_(pa.int64())
         return {
             "doc_id": ids,
             "class_a": pa.array(np.array(a, np.uint64).view(np.int64)),
             "class_b": pa.array(np.array(b, np.uint64).view(np.int64)),
             "size": pa.array([len(s) for s in sets], pa.int64()),
             "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
-            "keys": pa.array([keys_of(s, config, light, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64())),
+            "keys": pa.array([keys_of(s, config, 0, *order.value).view(np.int64) for s in sets], lists),
+            "small": pa.array([s.view(np.int64) if len(s) <= largest else None for s in sets], lists),
         }
 
-    return _sets(docs, config, emit, "doc_id long, class_a long, class_b long, size long, sketch binary, keys array<long>")
+    return _sets(docs, config, emit, "doc_id long, class_a long, class_b long, size long, sketch binary, keys array<long>, small array<long>")
+
+
+def representatives(profile: DataFrame) -> DataFrame:
+    """One row for each class of equal sets, without the empty ones."""
+    first = [F.first(c).alias(c) for c in ("size", "sketch", "keys", "small")]
+    return profile.where("size > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), *first)
+
+
+def _shared(posted: DataFrame) -> DataFrame:
+    """(key, rep, size, n) of keys that several have."""
+    return materialise(posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "rep", "size", "n"))
+
+
+def heavy_lists(reps: DataFrame) -> DataFrame:
+    return _shared(reps.select("rep", "size", F.explode(F.array_distinct("keys")).alias("key")))
+
+
+def light_lists(reps: DataFrame, config: Config, light: int) -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [np.unique(subset_keys(np.array(s, np.int64).view(np.uint64), config, light)).view(np.int64) for s in b.column("small").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"rep": b.column("rep"), "size": b.column("size"), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    small = reps.where(F.col("size") <= config.den * light // config.num).select("rep", "size", "small")
+    return _shared(small.mapInArrow(tidy(emit), "rep long, size long, keys array<long>").select("rep", "size", F.explode("keys").alias("key")))
+
+
+def costs_of(reps: DataFrame, shared: DataFrame, config: Config) -> dict[int, tuple[int, float]]:
+    """What Config.boundary takes, from all distinct sets and all lists: at most a row a size up to the largest light one, all others together."""
+    most = config.den * config.largest_light // config.num + 1
+    size = F.least("size", F.lit(most)).alias("size")
+    rows = {r["size"]: (r["sets"], float(r["keys"])) for r in reps.groupBy(size).agg(F.count("*").alias("sets"), F.sum(F.size("keys")).alias("keys")).collect()}
+    pairs = {r["size"]: r["pairs"] for r in shared.groupBy(size).agg(F.sum((F.col("n") - 1) / 2.0).alias("pairs")).collect()}
+    return {k: (sets, keys + pairs.get(k, 0.0)) for k, (sets, keys) in rows.items()}
+
+
+def list_costs(docs: DataFrame, config: Config, order: Broadcast) -> dict[int, tuple[int, float]]:
+    """costs_of() the sets of docs."""
+    reps = materialise(representatives(profiles(docs, config, order)))
+    return costs_of(reps, heavy_lists(reps), config)
 
 
 def _near(cols: dict, i: np.ndarray, j: np.ndarray, config: Config) -> np.ndarray:
@@ -341,12 +397,15 @@ def classes_and_links(docs: DataFrame, config: Config = Config()) -> tuple[DataF
     Ids name rows. Empty sets are linked with nothing.
     """
     rows = texts(docs)
-    profile = materialise(profiles(rows, config))
-    reps = profile.where("size > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    reps = materialise(reps)
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, config))  # at most 16 bytes a bucket
+    profile = materialise(profiles(rows, config, order))
+    reps = materialise(representatives(profile))
     members = profile.select("doc_id", "class_a", "class_b", "size").join(reps.select("class_a", "class_b", "rep"), ["class_a", "class_b"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.col("size").alias("n_shingles"))
-    posted = reps.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = materialise(posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "rep"))
+    shared = heavy_lists(reps)
+    light = config.light if config.light is not None else config.boundary(costs_of(reps, shared, config))
+    if light:
+        shared = shared.where(F.col("size") > light).unionByName(light_lists(reps, config, light))
+    shared = shared.select("key", "rep")
     weights = shared.groupBy("rep").agg(F.count("*").alias("weight"))
     listed = materialise(weights.join(reps.select("rep", "size", "sketch"), "rep"))
     lists = shared.join(listed, "rep").select("key", "rep", "weight", "size", "sketch")

@@ -679,3 +679,18 @@ def test_lm_sums_by_products(monkeypatch):  # noqa: ANN001
         assert np.allclose(lm_scoring.log_probabilities(token, context, model, tables), expected, rtol=1e-4, atol=1e-4)
     assert asked == [len(np.unique(context, axis=0))] * 2
     assert not len(lm_scoring.log_probabilities(token[:0], context[:0], model))
+
+
+def test_every_document_is_counted(spark):  # noqa: ANN001
+    """A shingle of every document stands out however few there are, and the boundary's costs are those of all sets and lists."""
+    config = jaccard_join.Config(width=1, num=80)
+    rows = [(i, " ".join(["often", *(f"w{i}x{k}" for k in range(9))])) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    often = jaccard_join.shingle_sets(["often"], 1)[0]
+    own = {int(x) >> 64 - config.buckets_log2 for x in often}
+    frequent, counts = jaccard_join.frequent_shingles(table, config)
+    assert len(own & set(frequent.tolist())) == 1 and counts.max() >= 12
+    costs = jaccard_join.list_costs(table, config, spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+    assert costs[10][0] == 12
+    with pytest.raises(ValueError, match="every document"):
+        jaccard_join.Config(sample=8)
