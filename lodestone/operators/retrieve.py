@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,19 +99,39 @@ def top(queries: DataFrame, chunks: DataFrame, top_n: int, places: int | None =
     if top_n < 1:
         raise ValueError("top_n must be 1 or more")
     id_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, dataset_id string, position int, score double"
+    met = _blocks(queries, chunks, lambda q, c: _best(q, c, top_n, places), schema, ["position"], chunk_block, query_block)
+    return top_chunks(met, top_n)
+
+
+def _blocks(queries: DataFrame, chunks: DataFrame, found: Callable[[pa.Table, pa.Table], pa.Table], schema: str, columns: list[str], chunk_block: int, query_block: int) -> DataFrame:
+    """What found() makes of each block of a data set's queries with each block of its chunks (vector and columns)."""
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
     of_queries = queries.groupBy("dataset_id").agg(F.ceil(F.count("*") / query_block).alias("n_query_blocks"))
     of_chunks = chunks.groupBy("dataset_id").agg((F.floor(F.max("position") / chunk_block) + 1).alias("n_chunk_blocks"))
     sizes = of_queries.join(of_chunks, "dataset_id")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = queries.select("dataset_id", "query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).join(sizes, "dataset_id")
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("n_query_blocks"))).withColumn("chunk_block", upto("n_chunk_blocks")).drop("n_query_blocks", "n_chunk_blocks")
-    held = chunks.select("dataset_id", "position", F.col("vector").cast("array<double>").alias("vector")).join(sizes, "dataset_id")
-    held = held.withColumn("chunk_block", F.floor(F.col("position") / chunk_block)).withColumn("query_block", upto("n_query_blocks")).drop("n_query_blocks", "n_chunk_blocks")
+    held = chunks.select("dataset_id", *columns, F.floor(F.col("position") / chunk_block).alias("chunk_block"), F.col("vector").cast("array<double>").alias("vector")).join(sizes, "dataset_id")
+    held = held.withColumn("query_block", upto("n_query_blocks")).drop("n_query_blocks", "n_chunk_blocks")
     block = ["dataset_id", "query_block", "chunk_block"]
-    schema = f"query_id {id_type}, dataset_id string, position int, score double"
-    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    met = asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInArrow(lambda q, c: _best(q, c, top_n, places) if q.num_rows and c.num_rows else empty, schema)
-    return top_chunks(met, top_n)
+    return asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInArrow(lambda q, c: found(q, c) if q.num_rows and c.num_rows else empty, schema)
+
+
+def _all(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+    """Every query of a block with every chunk of another."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        score, none = _scores(queries.column("query_vector"), chunks.column("vector"))
+    row, col = np.divmod(np.arange(score.size), max(1, score.shape[1]))
+    take = lambda table, name, at: table.column(name).combine_chunks().take(pa.array(at))
+    return pa.table({"query_id": take(queries, "query_id", row), "id": take(chunks, "id", col), "score": pa.array(score.ravel(), mask=none.ravel())})
+
+
+def scores(queries: DataFrame, chunks: DataFrame, chunk_block: int = 1024, query_block: int = 256) -> DataFrame:
+    """(query_id, id, score): the same as score() of chunks (dataset_id, position, id, vector), as products of matrices. It has a row for each pair, so its work is that of its result; a task holds a block at a time."""
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    return _blocks(queries, chunks, _all, f"query_id {id_type}, id string, score double", ["id"], chunk_block, query_block)
 
 
 def winners(best: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -58,12 +58,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("dataset_id"), F.col("embedding").alias("query_vector"))
 
 
-def rounded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Scores to six places, so that equal ones are equal in any engine; and the store."""
-    own = store(spark, sf_dir)
-    return retrieve.score(asked(spark, sf_dir), own).withColumn("score", F.round("score", 6)), own
-
-
 def best(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The top chunks of each query by scores of six places, and the store."""
     own = store(spark, sf_dir)
@@ -81,7 +75,8 @@ scored AS (
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spark, sf_dir)[0].select("query_id", "id", "score")
+    """Scores to six places, so that equal ones are equal in any engine."""
+    return retrieve.scores(asked(spark, sf_dir), store(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def topk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,3 +147,17 @@ def test_alignment_holds_few_lines() -> None:
 
     first = next(align._batches(align._rows(batches(), "a", "n"), pa.schema([("a", pa.string()), ("n", pa.int64())])))
     assert taken == 1 and first.num_rows == 11 and first.column("n").to_pylist() == list(range(11))
+
+
+def test_all_scores_in_blocks(spark: SparkSession) -> None:
+    """Every pair, as it is scored one by one, whatever the vectors."""
+    random.seed(8)
+    odd = [None, [1.0, None, 2.0], [1.0, 2.0], [0.0, 0.0, 0.0], []]
+    vectors = lambda n: [random.choice(odd) if random.random() < 0.2 else [float(random.randint(-1, 1)) for _ in range(3)] for _ in range(n)]
+    chunks = spark.createDataFrame([(d, i, f"{d}{i}", v) for d, n in (("a", 40), ("b", 9)) for i, v in enumerate(vectors(n))], "dataset_id string, position int, id string, vector array<double>").withColumn("norm", vector.norm(F.col("vector")))
+    queries = spark.createDataFrame([(i, random.choice(["a", "b", "unknown", None]), v) for i, v in enumerate(vectors(30))], "query_id long, dataset_id string, query_vector array<double>")
+    told = lambda df: sorted(str(tuple(r)) for r in df.select("query_id", "id", F.round("score", 6)).collect())
+    expected = told(retrieve.score(queries, chunks))
+    assert len(expected) > 300
+    for sizes in ({}, {"chunk_block": 7, "query_block": 3}):
+        assert told(retrieve.scores(queries, chunks, **sizes)) == expected
