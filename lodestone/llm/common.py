@@ -257,18 +257,21 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", least: int
         yield pa.concat_batches(held)
 
 
-def distinct_words(docs: pa.Array, separator: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_words(docs: pa.Array, separator: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """What stands between separators in all texts: the distinct words, each place's number among them, and the number of places of each text."""
     cut = pc.split_pattern(docs, separator)
     words = cut.flatten().dictionary_encode()
-    return words.dictionary.to_pylist(), words.indices.to_numpy(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def spread(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a text of words becomes if word w is the lengths[w] numbers of flat after those of the words before it: all texts' numbers, and how many each text has."""
-    start = np.cumsum(lengths) - lengths
-    each = lengths[codes]
-    ends = np.cumsum(each)
-    at = np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+    return words.dictionary, words.indices.to_numpy(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spread(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, codes: np.ndarray, counts: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """What a text of words becomes if word w is the lengths[w] numbers of flat from start[w] on: all texts' numbers, and how many each text has. Words are placed a block at a time."""
+    ends = np.cumsum(lengths[codes])
+    out = np.empty(ends[-1] if len(ends) else 0, flat.dtype)
+    for i in range(0, len(codes), block):
+        own = codes[i : i + block]
+        each, upto = lengths[own], ends[i : i + block]
+        lo, hi = upto[0] - each[0], upto[-1]
+        out[lo:hi] = flat[np.repeat(start[own] - (upto - each), each) + np.arange(lo, hi)]
     upto = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(counts)]
-    return flat[at], np.diff(upto, prepend=0)
+    return out, np.diff(upto, prepend=0)

@@ -11,8 +11,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import islice
-from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -33,42 +31,46 @@ MARK = "\x01"
 
 
 class WordTokens:
-    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, or goes from a letter to a full stop and the like, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a worker."""
+    """Ids as the tokenizer gives them. No match of its pattern crosses a blank or a line end, or goes from a letter to a full stop and the like, so what stands between them is encoded once for all texts of a batch; the first `kept` words, among them the frequent ones, once a worker. Words and ids stand in Arrow and numpy arrays, of which a worker holds a few bytes a word."""
 
     def __init__(self, path: str, kept: int = 200_000) -> None:
         self.lib, self.kept = Tokenizer.from_file(path), kept
-        self.known: dict[str, bytes] = {}
+        self.words, self.flat, self.lengths = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         (self.mark,) = self.lib.encode(MARK, add_special_tokens=False).ids
 
-    def learn(self, words: list[str], together: int = 1000) -> dict[str, bytes]:
-        """The ids of each word. Words are encoded a thousand together, as one text with marks between them."""
-        plain = [w for w in words if MARK not in w]
-        parts = [plain[i : i + together] for i in range(0, len(plain), together)]
-        new: dict[str, bytes] = {}
-        for k in range(0, len(parts), 20):
-            some = parts[k : k + 20]
-            for part, e in zip(some, self.lib.encode_batch_fast([f" {MARK} ".join(p) for p in some], add_special_tokens=False), strict=True):
+    def learn(self, words: pa.Array, together: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and the number of each word's. Words are encoded a thousand together, as one text with marks between them; where one holds a mark, each by itself."""
+        flat, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), together):
+            part = words.slice(i, together).to_pylist()
+            if any(MARK in w for w in part):
+                each = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+                flat += each
+                lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+            else:
+                (e,) = self.lib.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)
                 ids = np.array(e.ids, "<u4")
-                raw, at = ids.tobytes(), 4 * np.flatnonzero(ids == self.mark)
-                cuts = map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)])
-                new.update(zip(part, map(raw.__getitem__, cuts), strict=True))
-        for w in words if len(plain) < len(words) else ():
-            if MARK in w:
-                ids = self.lib.encode(w, add_special_tokens=False).ids
-                new[w] = packed(f"<{len(ids)}I", *ids)
-        return new
+                marks = ids == self.mark
+                flat.append(ids[~marks])
+                lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(ids)]])) - 1)
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def encode(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each text's."""
-        apart = pc.replace_substring_regex(pc.replace_substring(docs, "\n", " "), "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#%&$])", r"\1 \2")
-        words, codes, counts = distinct_words(apart, " ")
-        found = list(map(self.known.get, words))
-        new = self.learn([w for w, f in zip(words, found, strict=True) if f is None])
-        if len(self.known) < self.kept:
-            self.known.update(islice(new.items(), self.kept - len(self.known)))
-        found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return spread(np.frombuffer(b"".join(found), "<u4"), lengths, codes, counts)
+        words, codes, counts = distinct_words(pc.replace_substring_regex(pc.replace_substring(docs, "\n", " "), "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#%&$])", r"\1 \2"), " ")
+        words = words.cast(pa.string())  # the session may ask for large ones
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(place))
+        own, each = self.learn(new)
+        held = len(self.words)
+        at = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = held + np.arange(len(new))
+        flat, lengths = np.concatenate([self.flat, own]), np.concatenate([self.lengths, each])
+        if more := min(len(new), self.kept - held):
+            self.words, self.lengths = pa.concat_arrays([self.words, new.slice(0, more)]), lengths[: held + more].copy()
+            self.flat = flat[: self.lengths.sum()].copy()
+        start = np.cumsum(lengths) - lengths
+        return spread(flat, start[at], lengths[at], codes, counts)
 
 
 _WORDS: dict[str, WordTokens] = {}
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_tokens(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in gathered(batches):
+        for b in gathered(batches, least=2 << 20):
             ids, counts = own.encode(b.column("text"))
             rows, at = [], 0
             for doc, copy, n in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), counts.tolist(), strict=True):

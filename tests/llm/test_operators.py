@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -663,6 +664,58 @@ def test_word_by_word_encoding_is_the_tokenizers():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_ids_of_many_batches_are_the_tokenizers():
+    """Words that are known from earlier batches, new ones, ones beyond what is kept, ones with a mark, and large strings."""
+    random.seed(23)
+    own = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), kept=50)
+    vocabulary = ["".join(random.choices("abcdeé.,'9\x01", k=random.randint(0, 6))) for _ in range(300)]
+    for kind in (packing.pa.string(), packing.pa.large_string()) * 3:
+        texts = [" ".join(random.choices(vocabulary, k=random.choice([0, 1, 40]))) for _ in range(20)]
+        ids, n = own.encode(packing.pa.array(texts, kind))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.words) == len(own.lengths) == 50 and own.lengths.sum() == len(own.flat)
+    ids, n = own.encode(packing.pa.array([], packing.pa.string()))
+    assert not len(ids) and not len(n)
+
+
+def test_spread_in_blocks():
+    rng = np.random.default_rng(24)
+    flat, start, lengths = rng.integers(0, 99, 400), rng.integers(0, 390, 60), rng.integers(0, 10, 60)
+    counts = np.array([0, 7, 0, 500, 1, 0])
+    codes = rng.integers(0, 60, counts.sum())
+    parts = np.split(codes, np.cumsum(counts)[:-1])
+    for block in (1, 7, 1000):
+        out, n = common.spread(flat, start, lengths, codes, counts, block)
+        assert out.tolist() == [x for c in codes for x in flat[start[c] : start[c] + lengths[c]].tolist()]
+        assert n.tolist() == [int(lengths[p].sum()) for p in parts]
+
+
+def test_packing_holds_little_of_its_texts(spark, monkeypatch):  # noqa: ANN001
+    """What a task of packing holds besides Arrow's and the tokenizer's own: less than 30 MB, of 12 MB of texts in batches of 1 MB."""
+    random.seed(25)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(3, 9))) for _ in range(150_000)]
+    texts = [" ".join(random.choices(vocabulary, k=1500)) for _ in range(1200)]
+    batches = [packing.pa.RecordBatch.from_pydict({"doc_id": [*range(i, i + 100)], "text": texts[i : i + 100], "copy": [*range(i, i + 100)]}) for i in range(0, 1200, 100)]
+
+    class Direct:
+        def withColumn(self, *_):  # noqa: ANN002, ANN202, N802
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: ANN001, ANN202, N802
+            return run
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "texts", lambda _: Direct())
+    monkeypatch.setattr(packing, "_WORDS", {tokenizer: packing.WordTokens(tokenizer)})
+    run = packing.pieces(None, tokenizer)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter(batches))) >= 1200
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_lm_sums_by_products(monkeypatch):  # noqa: ANN001
     """Tokens with one context share a sum, worked out as a sum of products; weights too large for that are scored one by one."""
     rng = np.random.default_rng(3)
